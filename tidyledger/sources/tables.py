@@ -76,6 +76,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores when the input has fewer files than the session has cores.
+
+    A small table often is a single row group, which one task would parse alone.
+    Large inputs have many files and are left as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def raw_orders(spark: SparkSession, sf_dir: str, feedback: bool = True) -> DataFrame:
     """One string row per order line, numbered by its place in the line table.
 
@@ -83,7 +93,7 @@ def raw_orders(spark: SparkSession, sf_dir: str, feedback: bool = True) -> DataF
     join with the documents.  The joins carry no hint: customers, parts and
     documents grow with the data, so Spark chooses by their measured size.
     """
-    lines = read_numbered_parquet(spark, f"{sf_dir}/lineitem.parquet")
+    lines = spread(read_numbered_parquet(spark, f"{sf_dir}/lineitem.parquet"), SOURCE_ROW)
     table = {
         name: read_table(spark, sf_dir, name) for name in ("orders", "customer", "nation", "part")
     }
