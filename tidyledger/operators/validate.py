@@ -30,6 +30,7 @@ from tidyledger.operators.prepare import (
     rows_where,
 )
 from tidyledger.schema import (
+    NUMBER_TYPE,
     SOURCE_ROW,
     ColumnSpec,
     DataQualityError,
@@ -342,11 +343,19 @@ def rejected_records(checked: DataFrame, schema: Schema, policy: QualityPolicy)
         F.col("_errors.message").alias("reasons"),
         F.map_from_arrays(
             F.array(*[F.lit(name) for name in shown]),
-            F.array(*[display_value(F.col(name)) for name in shown]),
+            F.array(*[display_value(_shown(checked, name)) for name in shown]),
         ).alias("values"),
     )
 
 
+def _shown(df: DataFrame, name: str) -> Column:
+    """A cell for display; decimals without the zeros of their fixed scale."""
+    if df.schema[name].dataType != NUMBER_TYPE:
+        return F.col(name)
+    text = F.regexp_replace(F.col(name).cast("string"), "0+$", "")
+    return F.regexp_replace(text, r"\.$", "")
+
+
 def duplicate_ids(checked: DataFrame, policy: QualityPolicy) -> DataFrame:
     key = policy.duplicate_column
     counted = valid_rows(checked, [key]).groupBy(key).agg(F.count("*").alias("records"))

@@ -9,8 +9,6 @@ same files as one that ran once.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,19 +23,9 @@ from tidyledger.schema import ORDER_SCHEMA, SOURCE_ROW, QualityPolicy, Schema
 BATCH = "batch_id"
 
 
-@dataclass(frozen=True)
-class Outputs:
-    """Folders of an incremental run; every one holds ``batch_id=<n>`` directories."""
-
-    root: str
-
-    def __getattr__(self, name: str) -> str:
-        if name in ("valid", "clean", "rejected", "findings", "run_log"):
-            return f"{self.root.rstrip('/')}/{name}"
-        raise AttributeError(name)
-
-    def checkpoint(self) -> str:
-        return f"{self.root.rstrip('/')}/_checkpoint"
+def output(root: str, name: str) -> str:
+    """Folder of one output; it holds ``batch_id=<n>`` directories."""
+    return f"{root.rstrip('/')}/{name}"
 
 
 def _write(df: DataFrame, folder: str, batch: int) -> None:
@@ -54,7 +42,7 @@ def _earlier_keys(spark: SparkSession, folder: str, key: str, batch: int) -> Dat
 
 
 def process_batch(
-    rows: DataFrame, batch: int, outputs: Outputs, schema: Schema, policy: QualityPolicy
+    rows: DataFrame, batch: int, root: str, schema: Schema, policy: QualityPolicy
 ) -> None:
     """One micro-batch: clean rows, quarantine, findings and a log line.
 
@@ -63,22 +51,22 @@ def process_batch(
     spark = rows.sparkSession
     key = policy.duplicate_column
     run = run_quality(rows, schema, policy, gate=False)
-    run = run.written(f"{outputs.root.rstrip('/')}/checked/{BATCH}={batch}")
+    run = run.written(f"{output(root, 'checked')}/{BATCH}={batch}")
     first = dedupe.keep_first(validate.valid_rows(run.checked), key)
-    seen = _earlier_keys(spark, outputs.clean, key, batch)
+    seen = _earlier_keys(spark, output(root, "clean"), key, batch)
     if seen is not None:
         first = first.join(seen, key, "left_anti")
-    _write(cleaning.apply_value_rules(first, schema), outputs.clean, batch)
-    _write(run.rejected, outputs.rejected, batch)
-    _write(run.findings, outputs.findings, batch)
-    accepted = spark.read.parquet(f"{outputs.clean}/{BATCH}={batch}")
+    _write(cleaning.apply_value_rules(first, schema), output(root, "clean"), batch)
+    _write(run.rejected, output(root, "rejected"), batch)
+    _write(run.findings, output(root, "findings"), batch)
+    accepted = spark.read.parquet(f"{output(root, 'clean')}/{BATCH}={batch}")
     counts = run.checked.agg(
         F.count("*").alias("rows_read"),
         F.count_if(~F.col(validate.REJECTED)).alias("rows_valid"),
         F.count_if(F.col(validate.REJECTED)).alias("rows_rejected"),
     ).unionByName(accepted.agg(F.count("*").alias("rows_cleaned")), allowMissingColumns=True)
     names = ("rows_read", "rows_valid", "rows_rejected", "rows_cleaned")
-    _write(counts.agg(*[F.max(name).alias(name) for name in names]), outputs.run_log, batch)
+    _write(counts.agg(*[F.max(name).alias(name) for name in names]), output(root, "run_log"), batch)
 
 
 def incremental_quality(
@@ -88,15 +76,14 @@ def incremental_quality(
     policy: QualityPolicy | None = None,
 ) -> StreamingQuery:
     """Process all files that have arrived since the last run, then stop."""
-    outputs = Outputs(folder)
     policy = policy or QualityPolicy()
 
     def handle(rows: DataFrame, batch: int) -> None:
-        process_batch(rows, batch, outputs, schema, policy)
+        process_batch(rows, batch, folder, schema, policy)
 
     return (
         stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", outputs.checkpoint())
+        .option("checkpointLocation", output(folder, "_checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
