@@ -6,6 +6,7 @@ stays visible; warnings mark cells a documented rule repairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
@@ -78,22 +79,25 @@ MISSING_COLUMNS = "required column(s) missing from the source data: "
 
 @dataclass(frozen=True)
 class Rule:
-    """One check: when it fires, and what it reports."""
+    """One check: when it fires, and what it reports.
+
+    The texts are built on demand: most plans only need to know whether it fires.
+    """
 
     fires: Column
     code: str
     severity: str
     column: str
-    message: Column
-    example: Column
+    message: Callable[[], Column]
+    example: Callable[[], Column]
 
     def issue(self) -> Column:
         return F.struct(
             F.lit(self.code).alias("code"),
             F.lit(self.severity).alias("severity"),
             F.lit(self.column).alias("column"),
-            self.message.alias("message"),
-            self.example.alias("example"),
+            self.message().alias("message"),
+            self.example().alias("example"),
         )
 
 
@@ -102,23 +106,49 @@ def _row_example(*detail: Column) -> Column:
     return F.concat(number, F.lit(": "), *detail) if detail else number
 
 
-def _error(fires: Column, code: str, column: str, message: Column) -> Rule:
-    return Rule(fires, code, "error", column, message, _row_example())
+def _error(fires: Column, code: str, column: str, message: Callable[[], Column]) -> Rule:
+    return Rule(fires, code, "error", column, message, _row_example)
 
 
-def _warning(fires: Column, code: str, column: str, message: str, *detail: Column) -> Rule:
-    return Rule(fires, code, "warning", column, F.lit(message), _row_example(*detail))
+def _warning(
+    fires: Column, code: str, column: str, message: str, detail: Callable[[], list[Column]] = list
+) -> Rule:
+    return Rule(
+        fires, code, "warning", column, lambda: F.lit(message), lambda: _row_example(*detail())
+    )
 
 
-def _parse_rules(spec: ColumnSpec) -> Rule:
+def _parse_rule(spec: ColumnSpec) -> Rule:
     code, wording = PARSE_CODES[spec.kind]
-    shown = quoted(F.col(raw_name(spec.name)))
+
+    def shown() -> Column:
+        return quoted(F.col(raw_name(spec.name)))
+
     if spec.kind == "numeric" and spec.derived:
-        return _warning(
-            parse_failed(spec), code, spec.name, DERIVED_NOT_NUMERIC.format(spec.name), shown
-        )
-    message = F.concat(F.lit(f"{spec.name}: "), shown, F.lit(wording))
-    return _error(parse_failed(spec), code, spec.name, message)
+        message = DERIVED_NOT_NUMERIC.format(spec.name)
+        return _warning(parse_failed(spec), code, spec.name, message, lambda: [shown()])
+    return _error(
+        parse_failed(spec),
+        code,
+        spec.name,
+        lambda: F.concat(F.lit(f"{spec.name}: "), shown(), F.lit(wording)),
+    )
+
+
+def _range_rule(spec: ColumnSpec) -> Rule:
+    cell = F.col(spec.name)
+    bounds = []
+    if spec.minimum is not None:
+        bounds.append((cell < F.lit(spec.minimum), BELOW_MINIMUM.format(spec.minimum)))
+    if spec.maximum is not None:
+        bounds.append((cell > F.lit(spec.maximum), ABOVE_MAXIMUM.format(spec.maximum)))
+    outside = F.coalesce(reduce(or_, [broken for broken, _ in bounds]), F.lit(False))
+
+    def message() -> Column:
+        wording = F.coalesce(*[F.when(broken, text) for broken, text in bounds])
+        return F.concat(F.lit(f"{spec.name}: "), short_number(cell), wording)
+
+    return _error(outside, OUT_OF_RANGE, spec.name, message)
 
 
 def _value_rules(spec: ColumnSpec) -> list[Rule]:
@@ -131,26 +161,22 @@ def _value_rules(spec: ColumnSpec) -> list[Rule]:
         message = MISSING_DEFAULTED.format(spec.name, spec.default)
         rules.append(_warning(missing, MISSING_VALUE, spec.name, message))
     elif spec.required:
-        message = F.lit(MISSING_REQUIRED.format(spec.name))
-        rules.append(_error(missing, MISSING_VALUE, spec.name, message))
+        required = MISSING_REQUIRED.format(spec.name)
+        rules.append(_error(missing, MISSING_VALUE, spec.name, lambda: F.lit(required)))
     if spec.kind in ("integer", "numeric"):
-        too_low = F.lit(False) if spec.minimum is None else cell < F.lit(spec.minimum)
-        too_high = F.lit(False) if spec.maximum is None else cell > F.lit(spec.maximum)
         if spec.minimum is not None or spec.maximum is not None:
-            wording = F.lit("")
-            if spec.maximum is not None:
-                wording = F.lit(ABOVE_MAXIMUM.format(spec.maximum))
-            if spec.minimum is not None:
-                wording = F.when(too_low, BELOW_MINIMUM.format(spec.minimum)).otherwise(wording)
-            message = F.concat(F.lit(f"{spec.name}: "), short_number(cell), wording)
-            rules.append(
-                _error(F.coalesce(too_low | too_high, F.lit(False)), OUT_OF_RANGE, spec.name, message)
-            )
+            rules.append(_range_rule(spec))
     elif spec.kind == "category":
         unknown = cell.isNotNull() & canonical_key(cell, spec).isNull()
         wording = NOT_RECOGNISED.format(", ".join(sorted(spec.allowed)))
-        message = F.concat(F.lit(f"{spec.name}: "), quoted(cell), F.lit(wording))
-        rules.append(_error(unknown, INVALID_CATEGORY, spec.name, message))
+        rules.append(
+            _error(
+                unknown,
+                INVALID_CATEGORY,
+                spec.name,
+                lambda: F.concat(F.lit(f"{spec.name}: "), quoted(cell), F.lit(wording)),
+            )
+        )
     return rules
 
 
@@ -165,7 +191,7 @@ def cell_rules(schema: Schema, columns: list[str]) -> list[Rule]:
     rules = []
     for kind in PARSE_CODES:
         of_kind = sorted((s for s in specs if s.kind == kind), key=lambda s: s.name)
-        rules += [_parse_rules(spec) for spec in of_kind]
+        rules += [_parse_rule(spec) for spec in of_kind]
     for spec in specs:
         rules += _value_rules(spec)
     return rules
@@ -183,7 +209,7 @@ def revenue_rules(policy: QualityPolicy, columns: list[str]) -> list[Rule]:
             REVENUE_OUTLIER,
             "revenue",
             OUTLIER.format(limit),
-            money_text(revenue),
+            lambda: [money_text(revenue)],
         )
     ]
     if {"quantity", "unit_price"} <= set(columns):
@@ -196,10 +222,9 @@ def revenue_rules(policy: QualityPolicy, columns: list[str]) -> list[Rule]:
                 REVENUE_MISMATCH,
                 "revenue",
                 MISMATCH,
-                F.lit("given "),
-                money_text(revenue),
-                F.lit(" -> "),
-                money_text(expected),
+                lambda: [
+                    F.lit("given "), money_text(revenue), F.lit(" -> "), money_text(expected)
+                ],
             ),
         ]
     return rules

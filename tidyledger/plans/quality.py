@@ -25,10 +25,27 @@ class QualityRun:
 
     source: DataFrame
     mapping: HeaderMapping
-    checked: DataFrame  # typed rows without the blank ones, with ``is_rejected``
-    complete: DataFrame  # the same with blank rows, which are rejected as well
     schema: Schema
     policy: QualityPolicy
+    kept: DataFrame | None = None  # checked rows that were persisted or written
+
+    def _check(self, prepared: DataFrame) -> DataFrame:
+        return validate.check_rows(prepare.coerce(prepared, self.schema), self.schema)
+
+    @cached_property
+    def checked(self) -> DataFrame:
+        """Typed rows without the blank ones, with ``is_rejected``."""
+        if self.kept is not None:
+            return self.kept
+        return self._check(prepare.prepare(self.source, self.schema))
+
+    @cached_property
+    def complete(self) -> DataFrame:
+        """Typed rows including blank ones, when a missing required value rejects those."""
+        always_rejected = any(spec.required and not spec.default for spec in self.schema)
+        if self.kept is not None or not always_rejected:
+            return self.checked
+        return self._check(prepare.normalise_cells(self.source, self.schema))
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -70,8 +87,7 @@ class QualityRun:
 
     def persist(self) -> QualityRun:
         """Keep the checked rows on the executors (lost blocks are recomputed)."""
-        stored = self.checked.persist(StorageLevel.MEMORY_AND_DISK)
-        return replace(self, checked=stored, complete=stored)
+        return replace(self, kept=self.checked.persist(StorageLevel.MEMORY_AND_DISK))
 
     def unpersist(self) -> None:
         self.checked.unpersist()
@@ -83,8 +99,7 @@ class QualityRun:
         columns, and a lost executor re-reads files instead of the raw export.
         """
         self.checked.write.mode("overwrite").parquet(folder)
-        stored = self.checked.sparkSession.read.parquet(folder)
-        return replace(self, checked=stored, complete=stored)
+        return replace(self, kept=self.checked.sparkSession.read.parquet(folder))
 
 
 def run_quality(
@@ -102,14 +117,7 @@ def run_quality(
     policy = policy or QualityPolicy()
     source, mapping = map_headers(raw, schema)
     validate.schema_gate(source, schema, rows_known=not gate)
-
-    def check(prepared: DataFrame) -> DataFrame:
-        return validate.check_rows(prepare.coerce(prepared, schema), schema)
-
-    checked = check(prepare.prepare(source, schema))
-    always_rejected = any(spec.required and not spec.default for spec in schema)
-    complete = check(prepare.normalise_cells(source, schema)) if always_rejected else checked
-    return QualityRun(source, mapping, checked, complete, schema, policy)
+    return QualityRun(source, mapping, schema, policy)
 
 
 def quality_metrics(run: QualityRun) -> DataFrame:
