@@ -59,6 +59,11 @@ def _run(spark: SparkSession, sf_dir: str, feedback: bool = False, blanks: bool
     return quality.run_quality(source(spark, sf_dir, feedback), policy=POLICY, gate=False)
 
 
+def _written(spark: SparkSession, sf_dir: str, blanks: bool = False) -> quality.QualityRun:
+    """A run whose parsed rows are written first, for results that scan them more than once."""
+    return _run(spark, sf_dir, blanks=blanks).written(shared_folder(spark, "checked"))
+
+
 def _clean(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return _run(spark, sf_dir).clean_columns(list(columns))
 
@@ -135,7 +140,7 @@ LOG_DETAILS = {
 
 
 def _log_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, sf_dir, blanks=True)
+    run = _written(spark, sf_dir, blanks=True)
     return report.run_log_row(run, run.clean_columns(["revenue", "status"]), LOG_DETAILS)
 
 
@@ -300,17 +305,17 @@ def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def issues_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir).issues
+    return _written(spark, sf_dir).issues
 
 
 @query
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir).findings
+    return _written(spark, sf_dir).findings
 
 
 @query
 def rows_with_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.rows_with_code(_run(spark, sf_dir).findings)
+    return validate.rows_with_code(_written(spark, sf_dir).findings)
 
 
 def _issue_rows(spark: SparkSession, sf_dir: str, code: str) -> DataFrame:
@@ -330,7 +335,7 @@ def revenue_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def duplicate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.duplicate_issues(_run(spark, sf_dir).complete, POLICY).select(
+    return validate.duplicate_issues(_written(spark, sf_dir).checked, POLICY).select(
         SOURCE_ROW, "message", "example"
     )
 
@@ -342,7 +347,7 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def duplicate_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = validate.valid_rows(_run(spark, sf_dir).complete, [SOURCE_ROW, "order_id"])
+    valid = validate.valid_rows(_written(spark, sf_dir).checked, [SOURCE_ROW, "order_id"])
     return dedupe.duplicated_rows(valid, "order_id").select(SOURCE_ROW, "order_id")
 
 
@@ -366,7 +371,7 @@ def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def valid_rows_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = _run(spark, sf_dir).checked
+    checked = _written(spark, sf_dir).checked
     quarantine = validate.rejected_rows(checked, [SOURCE_ROW])
     rows = checked.select(SOURCE_ROW, "order_id", "product")
     return clean.exclude_rows(rows, quarantine)
@@ -374,22 +379,22 @@ def valid_rows_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def partition_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.partition_difference(_run(spark, sf_dir, blanks=True))
+    return quality.partition_difference(_written(spark, sf_dir, blanks=True))
 
 
 @query
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir, blanks=True).summary
+    return _written(spark, sf_dir, blanks=True).summary
 
 
 @query
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.summary_lines(_run(spark, sf_dir, blanks=True).summary)
+    return validate.summary_lines(_written(spark, sf_dir, blanks=True).summary)
 
 
 @query
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_metrics(_run(spark, sf_dir, blanks=True))
+    return quality.quality_metrics(_written(spark, sf_dir, blanks=True))
 
 
 # ---------------------------------------------------------------------------
@@ -416,8 +421,7 @@ def categorical_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cleaning_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    run = _run(spark, sf_dir, blanks=True)
-    return run.written(shared_folder(spark, "checked")).actions
+    return _written(spark, sf_dir, blanks=True).actions
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidyledger.functions.cells import short_number
 from tidyledger.functions.texts import chunk_text
 from tidyledger.operators import classify, facts, kpi, numbercheck
+from tidyledger.operators.clean import export_order
 from tidyledger.plans.quality import QualityRun, quality_metrics
 from tidyledger.schema import ORDER_MONTH, SOURCE_ROW
 from tidyledger.sources.sinks import write_tables
@@ -257,7 +258,7 @@ def build_report(run: QualityRun, clean: DataFrame, digests: DataFrame, insights
                  classified: DataFrame | None = None) -> dict[str, DataFrame]:
     """All report tables by name; the run log is appended separately."""
     tables = {
-        "Clean_Data": clean_table(clean),
+        "Clean_Data": clean_table(export_order(clean)),
         "Data_Quality": quality_metrics(run),
         "Findings": or_placeholder(run.findings, NOTHING["findings"]),
         "Rejected_Records": or_placeholder(rejected_table(run), NOTHING["rejected"]),

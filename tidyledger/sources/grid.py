@@ -14,6 +14,7 @@ from tidyledger.schema import SOURCE_ROW, Schema, header_key
 from tidyledger.session import ensure_checkpoint_folder
 
 FIRST_DATA_ROW = 2
+BROADCAST_FILES = 100_000
 
 
 # ---------------------------------------------------------------------------
@@ -26,7 +27,8 @@ def read_numbered_parquet(
 
     The number is the row's index in its file plus the rows of the files before
     it.  Both come from file metadata, so a recomputed task gets the same
-    numbers, nothing is shuffled, and only one count per file is broadcast.
+    numbers and rows are not shuffled.  One count per file is broadcast, up to a
+    limit on the number of files.
     """
     data = spark.read.parquet(path)
     place = data.select(
@@ -42,7 +44,9 @@ def read_numbered_parquet(
         offsets = files.select(
             "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
         )
-        numbered = place.join(F.broadcast(offsets), "_file").withColumn(
+        if len(data.inputFiles()) <= BROADCAST_FILES:
+            offsets = F.broadcast(offsets)
+        numbered = place.join(offsets, "_file").withColumn(
             SOURCE_ROW, F.col("_index") + F.col("_before") + first_row
         )
     return numbered.select(SOURCE_ROW, *data.columns)
@@ -127,7 +131,9 @@ def read_csv_grid(
     separators outside quotes, counted in one pass over the lines.
     """
     lines = spark.read.text(path)
-    header_line = lines.orderBy("_metadata.file_path", "_metadata.file_block_start").first()
+    files = sorted(lines.inputFiles())
+    start = spark.read.text(files[0]).filter("_metadata.file_block_start = 0") if files else None
+    header_line = start.first() if start is not None else None
     if header_line is None:
         raise ValueError(f"{path} contains no data")
     if width is None:
