@@ -82,6 +82,30 @@ def coerce(prepared: DataFrame, schema: Schema) -> DataFrame:
     return prepared.select(SOURCE_ROW, *columns)
 
 
+def rejects_when_null(spec: ColumnSpec) -> bool:
+    """A missing or unparsed value is an error either way."""
+    return spec.required and not spec.default
+
+
+def typed_cells(df: DataFrame, schema: Schema) -> DataFrame:
+    """Normalise and parse in one projection, for results that need valid rows only.
+
+    The source text is kept just for columns where a cell that did not parse
+    counts differently from a missing one.
+    """
+    specs = {spec.name: spec for spec in schema}
+    columns = []
+    for name in data_columns(df):
+        spec = specs.get(name)
+        if spec is None:
+            columns.append(blank_to_null(F.col(name)).alias(name))
+            continue
+        columns.append(parse_cell(F.col(name), spec).alias(name))
+        if spec.kind in PARSED_KINDS and not rejects_when_null(spec) and not spec.derived:
+            columns.append(blank_to_null(F.col(name)).alias(raw_name(name)))
+    return df.select(SOURCE_ROW, *columns)
+
+
 def parse_failed(spec: ColumnSpec) -> Column:
     return F.col(raw_name(spec.name)).isNotNull() & F.col(spec.name).isNull()
 

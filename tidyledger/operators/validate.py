@@ -151,11 +151,11 @@ def _range_rule(spec: ColumnSpec) -> Rule:
     return _error(outside, OUT_OF_RANGE, spec.name, message)
 
 
-def _value_rules(spec: ColumnSpec) -> list[Rule]:
+def _value_rules(spec: ColumnSpec, columns: list[str]) -> list[Rule]:
     cell = F.col(spec.name)
     rules = []
     missing = cell.isNull()
-    if spec.kind in PARSE_CODES and not (spec.kind == "numeric" and spec.derived):
+    if raw_name(spec.name) in columns and not (spec.kind == "numeric" and spec.derived):
         missing = missing & F.col(raw_name(spec.name)).isNull()
     if spec.default:
         message = MISSING_DEFAULTED.format(spec.name, spec.default)
@@ -185,15 +185,19 @@ def cell_rules(schema: Schema, columns: list[str]) -> list[Rule]:
 
     Cells that did not parse come first (dates, then integers, then numbers by
     column name), then the value rules in schema order.  A cell that did not
-    parse is not reported as missing too.
+    parse is not reported as missing too.  Without the source text of a column
+    both look alike, which is enough to know whether a row is rejected.
     """
     specs = present(schema, columns)
     rules = []
     for kind in PARSE_CODES:
-        of_kind = sorted((s for s in specs if s.kind == kind), key=lambda s: s.name)
+        of_kind = sorted(
+            (s for s in specs if s.kind == kind and raw_name(s.name) in columns),
+            key=lambda s: s.name,
+        )
         rules += [_parse_rule(spec) for spec in of_kind]
     for spec in specs:
-        rules += _value_rules(spec)
+        rules += _value_rules(spec, columns)
     return rules
 
 

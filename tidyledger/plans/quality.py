@@ -29,23 +29,23 @@ class QualityRun:
     policy: QualityPolicy
     kept: DataFrame | None = None  # checked rows that were persisted or written
 
-    def _check(self, prepared: DataFrame) -> DataFrame:
-        return validate.check_rows(prepare.coerce(prepared, self.schema), self.schema)
-
     @cached_property
     def checked(self) -> DataFrame:
-        """Typed rows without the blank ones, with ``is_rejected``."""
+        """Typed rows without the blank ones, with source texts and ``is_rejected``."""
         if self.kept is not None:
             return self.kept
-        return self._check(prepare.prepare(self.source, self.schema))
+        prepared = prepare.prepare(self.source, self.schema)
+        return validate.check_rows(prepare.coerce(prepared, self.schema), self.schema)
 
     @cached_property
     def complete(self) -> DataFrame:
-        """Typed rows including blank ones, when a missing required value rejects those."""
-        always_rejected = any(spec.required and not spec.default for spec in self.schema)
-        if self.kept is not None or not always_rejected:
+        """Typed rows with ``is_rejected``, enough for results on valid rows.
+
+        Blank rows lack required values and are rejected, so they need no test.
+        """
+        if self.kept is not None or not any(map(prepare.rejects_when_null, self.schema)):
             return self.checked
-        return self._check(prepare.normalise_cells(self.source, self.schema))
+        return validate.check_rows(prepare.typed_cells(self.source, self.schema), self.schema)
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -56,11 +56,7 @@ class QualityRun:
         return self.clean_columns(None)
 
     def clean_columns(self, columns: list[str] | None) -> DataFrame:
-        """Clean rows with the named columns only.
-
-        Blank rows need no test of their own here: they lack required values and
-        are rejected anyway, so columns nobody asked for are not read.
-        """
+        """Clean rows with the named columns only; no other column is read."""
         return clean.clean_rows(self.complete, self.schema, self.policy, columns)
 
     @cached_property
