@@ -17,7 +17,6 @@ from tidyledger.operators.prepare import (
 from tidyledger.operators.validate import (
     EXAMPLES,
     first_examples,
-    joined_examples,
     rejected_rows,
     valid_rows,
 )
@@ -244,24 +243,30 @@ def _row_changes(rows: DataFrame, action: str) -> DataFrame:
 
 
 def _summarise(changes: DataFrame, stage: str, order: list[str]) -> DataFrame:
-    """Count changes per action and show the first three distinct examples."""
-    keys = ["action"]
-    counts = changes.groupBy(*keys).agg(
-        F.count("*").alias("records"), F.max(F.struct("place", "detail")).alias("last")
+    """Count changes per action and show the first three distinct examples.
+
+    Two passes over the changes: one counts (and finds the few constant
+    examples), one picks the first varying examples.
+    """
+    constant = F.when(F.col("once"), F.col("example")).alias("constant")
+    grouped = changes.groupBy("action", "place", "detail", constant).agg(
+        F.count("*").alias("records"), F.min(SOURCE_ROW).alias(SOURCE_ROW)
     )
-    varying = changes.filter(~F.col("once")).select(*keys, "place", SOURCE_ROW, "example")
-    constant = (
-        changes.filter("once")
-        .groupBy(*keys, "place", "example")
-        .agg(F.min(SOURCE_ROW).alias(SOURCE_ROW))
-        .select(*keys, "place", SOURCE_ROW, "example")
+    entry = F.struct("place", SOURCE_ROW, F.col("constant").alias("example"))
+    counts = grouped.groupBy("action").agg(
+        F.sum("records").alias("records"),
+        F.max(F.struct("place", "detail")).alias("last"),
+        F.collect_list(F.when(F.col("constant").isNotNull(), entry)).alias("constants"),
     )
-    examples = first_examples(
-        varying.unionByName(constant), keys, ["place", SOURCE_ROW], ["example"]
+    varying = changes.filter(~F.col("once")).select(
+        "action", "place", SOURCE_ROW, F.struct("place", SOURCE_ROW, "example").alias("entry")
     )
-    rows = joined_examples(", ")
-    action = F.col("action")
-    return counts.join(examples, keys, "left").select(
+    firsts = first_examples(varying, ["action"], ["place", SOURCE_ROW], ["entry"])
+    entries = F.array_compact(F.array(*[f"entry_{n}" for n in range(1, EXAMPLES + 1)]))
+    every = F.array_sort(F.concat(entries, F.col("constants")))
+    texts = F.slice(F.array_distinct(F.transform(every, lambda e: e["example"])), 1, EXAMPLES)
+    action, rows = F.col("action"), F.array_join(texts, ", ")
+    return counts.join(firsts, "action", "left").select(
         F.lit(stage).alias("stage"),
         F.array_position(F.lit(order), action).cast("int").alias("position"),
         "action",
@@ -270,7 +275,7 @@ def _summarise(changes: DataFrame, stage: str, order: list[str]) -> DataFrame:
         F.when(action == "blank_rows_dropped", F.concat(F.lit("row "), rows))
         .when(action.isin("rejected_rows_removed", "duplicate_orders_removed"),
               F.concat(F.lit("rows "), rows))
-        .otherwise(joined_examples())
+        .otherwise(F.array_join(texts, "; "))
         .alias("examples"),
     )
 
