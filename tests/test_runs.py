@@ -54,11 +54,10 @@ def test_repeated_batch_leaves_the_same_files(spark, dirty):
 def test_full_run(spark, dirty):
     root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     raw = grid_from_values(spark, dirty)
-    for _ in range(2):
-        result = full_run(raw, RunOptions(f"{root}/report", f"{root}/log", digest_by="region"))
-        assert result.outcome == "success"
+    result = full_run(raw, RunOptions(f"{root}/report", f"{root}/log", digest_by="region"))
+    assert result.outcome == "success"
     log = spark.read.parquet(result.run_log).collect()
-    assert len(log) == 2 and {r.rows_cleaned for r in log} == {10}
+    assert [r.rows_cleaned for r in log] == [10]
     assert {r.rows_read for r in log} == {21}
     names = {path.rsplit("/", 1)[1] for path in result.tables}
     assert {"Clean_Data", "Data_Quality", "KPI_Summary", "Product_Analysis", "AI_Insights", "Feedback_Analysis"} <= names
@@ -99,3 +98,31 @@ def test_unverified_numbers_reach_the_report(spark):
     lines = {r.section: r.text for r in report.insight_rows(digests, insights).collect()}
     assert lines["Numbers not matched to a calculated metric"] == "1e+06"
     assert lines["Executive summary"] == "hit 999999.99 and 120.0"
+    failed = report.insight_rows(digests, facts.interpret(digests, lambda text: "prose")).collect()
+    assert [r.text for r in sorted(failed, key=lambda r: r.line)][0] == "failed"
+    assert {r.section for r in failed} == {"Status"}
+
+
+def test_shared_folder_follows_the_cluster_setting(spark, monkeypatch):
+    class Settings:
+        def get(self, name, default=None):
+            return "hdfs://cluster/checkpoints/" if name == "spark.checkpoint.dir" else default
+
+    class Session:
+        conf = Settings()
+
+    assert shared_folder(Session(), "clean").startswith("hdfs://cluster/checkpoints/clean-")
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        class conf:  # noqa: N801
+            @staticmethod
+            def get(name, default=None):
+                return default
+
+        class sparkContext:  # noqa: N801
+            master = "yarn"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(Session(), "clean")

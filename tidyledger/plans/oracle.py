@@ -310,7 +310,7 @@ NUMBERS = rf"""marked AS (SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}\p{{N
     '\1' || chr(2) || '\2', 'g') AS text FROM documents),
 found AS (SELECT doc_id, regexp_extract_all(text,
     chr(2) || '(-?\p{{Nd}}(?:' || chr(2) || '?[\p{{Nd}},])*(?:\.\p{{Nd}}+)?%?)', 1) AS tokens FROM marked),
-numbers AS (SELECT doc_id, unnest(range(1, len(tokens) + 1))::bigint AS position,
+numbers AS (SELECT doc_id, unnest(range(1, len(tokens) + 1))::int AS position,
     replace(unnest(tokens), chr(2), '') AS token FROM found),
 valued AS (SELECT *, try_cast(replace(rtrim(token, '%'), ',', '') AS double) AS value FROM numbers)"""
 
@@ -523,8 +523,9 @@ def sheet_number(x: str) -> str:
 CLEAN_TEXT = """SELECT source_row{cast}, strftime(date, '%Y-%m-%d') AS date, order_id, customer, product, category,
   quantity{cast}, {price} AS unit_price, {revenue} AS revenue, region, status, order_month, {feedback} AS feedback
 FROM clean"""
-SECTION_ROWS = f"""paragraphs AS (SELECT scope, 1 AS section_position, 'Executive summary' AS section,
-  [executive_summary] AS items FROM told UNION ALL
+SECTION_ROWS = f"""paragraphs AS (SELECT scope, 0 AS section_position, 'Status' AS section,
+  ['generated', 'interpretation generated from the deterministic KPI output'] AS items FROM told UNION ALL
+SELECT scope, 1, 'Executive summary', [executive_summary] FROM told UNION ALL
 SELECT scope, 2, 'Positive trends', list_transform(positive_trends, lambda x: '- ' || x) FROM told UNION ALL
 SELECT scope, 3, 'Negative trends', list_transform(negative_trends, lambda x: '- ' || x) FROM told UNION ALL
 SELECT scope, 4, 'Items requiring attention', list_transform(watch_items, lambda x: '- ' || x) FROM told UNION ALL

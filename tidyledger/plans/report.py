@@ -139,9 +139,18 @@ def kpi_summary_long(clean: DataFrame) -> DataFrame:
 def insight_rows(digests: DataFrame, insights: DataFrame) -> DataFrame:
     """Insight records as report lines: ``(scope, section_position, section, line, text)``.
 
-    Long paragraphs are chunked, list items become bullets, and every record
-    ends with its number check and the figures it was given.
+    Every record starts with its status.  A generated one goes on with its
+    sentences (long paragraphs are chunked, list items become bullets), its
+    number check and the figures it was given.
     """
+    status = insights.select(
+        facts.SCOPE,
+        F.lit(0).alias("section_position"),
+        F.lit("Status").alias("section"),
+        F.posexplode(F.array("status", "status_detail")).alias("line", "text"),
+    )
+    insights = insights.filter("status = 'generated'")
+    digests = digests.join(insights.select(facts.SCOPE), facts.SCOPE, "left_semi")
     lists = ("positive_trends", "negative_trends", "watch_items")
     entries = []
     for position, (title, name) in enumerate(INSIGHT_SECTIONS.items(), start=1):
@@ -184,7 +193,7 @@ def insight_rows(digests: DataFrame, insights: DataFrame) -> DataFrame:
         F.col("position").alias("line"),
         F.col("line").alias("text"),
     )
-    return sections.unionByName(check).unionByName(supplied)
+    return status.unionByName(sections).unionByName(check).unionByName(supplied)
 
 
 def unverified_by_scope(digests: DataFrame, insights: DataFrame) -> DataFrame:
