@@ -7,7 +7,7 @@ from conftest import HEADERS, order
 from tidyledger.plans.quality import run_quality
 from tidyledger.plans.run import RunOptions, full_run
 from tidyledger.schema import SOURCE_ROW
-from tidyledger.session import shared_folder
+from tidyledger.session import shared_folder, stored
 from tidyledger.sources import sinks
 from tidyledger.sources.grid import grid_from_values
 from tidyledger.streaming import incremental
@@ -92,8 +92,8 @@ def test_unverified_numbers_reach_the_report(spark):
     from tidyledger.plans import report
 
     rows = [order(Order_ID=f"T-{i}", Order_Date=f"2025-0{1 + i % 2}-05") for i in range(6)]
-    clean = run_quality(grid_from_values(spark, [HEADERS, *rows])).clean
-    digests = facts.facts_digest(clean)
+    clean = stored(run_quality(grid_from_values(spark, [HEADERS, *rows])).clean, "clean")
+    digests = stored(facts.facts_digest(clean), "digests")
     insights = facts.interpret(digests, lambda text: '{"executive_summary": "hit 999999.99 and 120.0"}')
     lines = {r.section: r.text for r in report.insight_rows(digests, insights).collect()}
     assert lines["Numbers not matched to a calculated metric"] == "1e+06"
