@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.llm import exact_dedup, html_text, jaccard_join, langid, packing, secrets, warc
+from tidyledger.llm import exact_dedup, html_text, jaccard_join, katz, langid, packing, secrets, warc
 from tidyledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,22 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(rows, samples).drop("text")
 
 
+@query
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    scores = katz.katz_scores(docs, ~held_out)
+    return scores.select(
+        F.col("id").alias("doc_id"),
+        (~F.col("learn")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Half of the documents, by a hash of their id, plays the history; the result has all of them.
