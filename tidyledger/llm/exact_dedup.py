@@ -95,7 +95,7 @@ def _records(group: pa.Table) -> np.ndarray:
 
 def _raw(records: np.ndarray) -> np.ndarray:
     """All 32 bytes of the digests; numpy's fixed strings would drop zero bytes at the end."""
-    return np.ascontiguousarray(records).view(np.uint8).reshape(len(records), -1)[:, :32]
+    return np.ascontiguousarray(records).view(np.uint8).reshape(len(records), _SLOT.itemsize)[:, :32]
 
 
 def _index(group: pa.Table) -> pa.Table:
