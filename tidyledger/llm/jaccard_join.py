@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyledger.llm.common import blocks, components, local_forest, mix, shingle_hashes, text_bytes, word_hashes
+from tidyledger.llm.groups import GROUP, Forest, group_links
 from tidyledger.session import stored
 
 PERCENT = 75  # least similarity, in hundredths
 WORDS = 5
-FRAGMENT_BYTES = 16 << 20  # of text, for one fragment
-SEND_POSTINGS = 3_000_000  # that a task gathers before it sends them
-GROUP = 512  # texts of a candidate group that one task compares with each other
+FRAGMENT_BYTES = 12 << 20  # of text, for one fragment
+SEND_POSTINGS = 1_000_000  # that a task gathers before it sends them
 COUNT_POSTINGS = 1 << 20  # n-grams of a group that are counted at a time
 _LAST = np.uint64(16)
 
@@ -243,121 +243,39 @@ def _survivors(percent: int):
 # ---------------------------------------------------------------------------
 # Pairs of a candidate group
 # ---------------------------------------------------------------------------
-def group_links(
-    sizes: np.ndarray, tokens: list[np.ndarray], percent: int, left: int | None = None
-) -> list[tuple[int, int]]:
-    """Links ``(a, b)`` by place that connect what is similar: a forest of the similarity graph.
-
-    With ``left``, only pairs of one of the first ``left`` texts with any other count.
-    """
-    count = len(tokens)
-    parent = list(range(count))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    owner = np.repeat(np.arange(count), [len(x) for x in tokens])
-    grams = np.concatenate(tokens)
-    order = np.argsort(grams, kind="stable")
-    grams, owner = grams[order], owner[order]
-    new = np.ones(len(grams), bool)
-    new[1:] = grams[1:] != grams[:-1]
-    runs = np.append(np.flatnonzero(new), len(grams))
-    # Fragments of the group's own order: partial overlaps are counted for each and summed.
-    cuts = np.unique(np.append(np.searchsorted(runs, np.arange(0, len(grams), COUNT_POSTINGS)), len(runs) - 1))
-    links = []
-    for a in range(count if left is None else left):
-        others = np.array([b for b in range(count) if find(b) != find(a)])
-        if not len(others):
-            continue
-        overlap = np.zeros(count, np.int64)
-        mine = tokens[a]
-        for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-            heads = grams[runs[x:y]]
-            low, high = np.searchsorted(mine, [heads[0], heads[-1] + np.uint64(1)])
-            at = x + np.searchsorted(heads, mine[low:high])
-            place = _spread(runs[at], runs[at + 1] - runs[at])
-            overlap += np.bincount(owner[place], minlength=count)
-        union = sizes[a] + sizes - overlap
-        for b in others[(100 * overlap >= percent * union)[others]]:
-            if find(a) != find(int(b)):
-                parent[find(int(b))] = find(a)
-                links.append((a, int(b)))
-    return links
-
-
-def _grouped(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """All rows of a key in one partition, one after the other, those of the left side first."""
-    return rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("left"))
-
-
-def _compare(rows: DataFrame, keys: list[str], percent: int) -> DataFrame:
-    """Links within each key; with rows marked ``left`` only pairs that have one of them."""
-
-    def emit(group: list[tuple]) -> Iterator[pa.RecordBatch]:
-        once: dict[int, tuple] = {}
-        for row in group:
-            once.setdefault(row[0], row)
-        group = list(once.values())
-        sizes = np.array([x[1] for x in group], np.int64)
-        left = sum(x[3] for x in group) or None
-        links = group_links(sizes, [_eight(x[2]) for x in group], percent, left)
-        if links:
-            a, b = (np.array(x) for x in zip(*links, strict=True))
-            classes = np.array([x[0] for x in group], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(classes[b]), pa.array(classes[a])], names=["a", "b"])
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group = None, []
-        for part in parts:
-            columns = [x.to_pylist() for x in part.columns]
-            for row, now in zip(zip(*columns[:4], strict=True), zip(*columns[4:], strict=True), strict=True):
-                if now != key and group:
-                    yield from emit(group)
-                    group = []
-                key = now
-                group.append(row)
-        if group:
-            yield from emit(group)
-
-    chosen = _grouped(rows, keys).select("class", "n", "tokens", "left", *keys)
-    return chosen.mapInArrow(run, "a long, b long")
-
-
-def similar_classes(sets: DataFrame, groups: DataFrame, percent: int = PERCENT, group: int = GROUP) -> DataFrame:
-    """Links ``(a, b)`` between similar sets of each candidate group ``(node, root)``."""
-    chunks = F.ceil(F.count("*") / group).cast("int").alias("chunks")
-    dealt = groups.join(groups.groupBy("root").agg(chunks), "root").select(
-        F.col("node").alias("class"),
-        "root",
-        "chunks",
-        F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"),
-    )
-    plain = stored(sets.drop("prefix").join(dealt, "class"), "jaccard-members").withColumn("left", F.lit(False))
-    links = _compare(plain.where("chunks = 1"), ["root"], percent)
-    large = plain.where("chunks > 1")
-    if large.isEmpty():
-        return links
-    # The first member meets all chunks of its group.
-    everywhere = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    first = large.where("class = root").withColumn("left", F.lit(True)).withColumn("chunk", everywhere)
-    met = stored(_compare(first.unionByName(large.where("class <> root")), ["root", "chunk"], percent), "jaccard-first")
-    links = links.unionByName(met)
-    rest = large.join(met.select(F.col("a").alias("class")), "class", "left_anti").where("class <> root")
-    rest = stored(rest, "jaccard-rest")
-    if rest.isEmpty():
+def set_links(percent: int):
+    """Compares sets ``(size, shared n-grams)``, for :func:`group_links`."""
+
+    def compare(rows: list[tuple], left: int | None) -> list[tuple[int, int]]:
+        sizes, tokens = np.array([x[0] for x in rows], np.int64), [_eight(x[1]) for x in rows]
+        owner = np.repeat(np.arange(len(rows)), [len(x) for x in tokens])
+        grams = np.concatenate(tokens)
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        new = np.ones(len(grams), bool)
+        new[1:] = grams[1:] != grams[:-1]
+        runs = np.append(np.flatnonzero(new), len(grams))
+        # Fragments of the group's own order: partial overlaps are counted for each and summed.
+        cuts = np.unique(np.append(np.searchsorted(runs, np.arange(0, len(grams), COUNT_POSTINGS)), len(runs) - 1))
+        forest, links = Forest(len(rows)), []
+        for a in range(len(rows) if left is None else left):
+            others = forest.apart(a)
+            if not len(others):
+                continue
+            overlap = np.zeros(len(rows), np.int64)
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                heads = grams[runs[x:y]]
+                low, high = np.searchsorted(tokens[a], [heads[0], heads[-1] + np.uint64(1)])
+                at = x + np.searchsorted(heads, tokens[a][low:high])
+                place = _spread(runs[at], runs[at + 1] - runs[at])
+                overlap += np.bincount(owner[place], minlength=len(rows))
+            union = sizes[a] + sizes - overlap
+            for b in others[(100 * overlap >= percent * union)[others]].tolist():
+                if forest.join(a, b):
+                    links.append((a, b))
         return links
-    # What is not similar to it meets every chunk, block by block.
-    count = rest.groupBy("root").agg(F.ceil(F.count("*") / group).cast("int").alias("blocks"))
-    blocks_of = rest.join(count, "root").withColumn("block", F.pmod(F.xxhash64("class", F.lit(7)), F.col("blocks")).cast("int"))
-    blocks_of = blocks_of.withColumn("left", F.lit(True)).withColumn("chunk", everywhere)
-    others = large.join(count, "root").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return links.unionByName(
-        _compare(blocks_of.unionByName(others.select(blocks_of.columns)), ["root", "block", "chunk"], percent)
-    )
+
+    return compare
 
 
 def jaccard_components(
@@ -392,7 +310,9 @@ def jaccard_components(
         F.col("class").alias("a"), F.col("least").alias("b")
     )
     groups = stored(components(local_forest(near).distinct(), "jaccard-candidates"), "jaccard-groups")
-    roots = components(similar_classes(sets, groups, percent, group), "jaccard-links")
+    members = sets.select(F.col("class").alias("node"), "n", "tokens")
+    links = group_links(members, groups, set_links(percent), "jaccard", group)
+    roots = components(links, "jaccard-links")
     own = facts.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     own = own.join(roots.withColumnRenamed("node", "class"), "class", "left")
     own = stored(own.withColumn("root", F.coalesce("root", "class")), "jaccard-classes")
