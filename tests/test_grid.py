@@ -61,16 +61,52 @@ def test_csv_grid_keeps_long_rows(spark):
     assert rows == [(2, "2025-01-01", "x,y", None), (3, "2025-01-02", None, None), (4, "2025-01-03", "p", "q")]
 
 
+def test_csv_grid_over_files(spark):
+    """Own header, column order and line breaks in each file; the numbers do not depend on the splits."""
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    with open(f"{folder}/b.csv", "w") as handle:
+        handle.write("Qty,Order ID,Comment\n" + "".join(f'{i},B{i},"two\n{"x" * i}\n""lines"""\n' for i in range(60)))
+    with open(f"{folder}/a.csv", "w") as handle:
+        handle.write("\nOrder ID,Units\nA1,1\n\nA2,2,more\n")
+    with open(f"{folder}/c.csv", "w") as handle:
+        handle.write("Order ID,Qty\nC1,5\n")
+    want = [(2, "A1", "1", None, None), (3, None, None, None, None), (4, "A2", "2", "more", None)]
+    want += [(5 + i, f"B{i}", str(i), None, f'two\n{"x" * i}\n"lines"') for i in range(60)] + [(65, "C1", "5", None, None)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "300", "97"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            frame = grid.read_csv_grid(spark, folder, schema=ORDER_SCHEMA)
+            assert frame.columns == [SOURCE_ROW, "order_id", "quantity", "extra_column_3", "feedback"]
+            assert sorted((tuple(r) for r in frame.collect()), key=lambda r: r[0]) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    plain = grid.read_csv_grid(spark, folder)
+    assert plain.columns == [SOURCE_ROW, "Order ID", "Units", "extra_column_3", "Qty", "Comment"]
+
+
+def test_written_tables_are_read_back_as_a_grid(spark):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    frame = spark.createDataFrame([("1", 'two\nlines "x", y'), ("2", "")], "id string, text string").coalesce(1)
+    sinks.write_tables({"t": frame}, folder)
+    rows = grid.read_csv_grid(spark, f"{folder}/t").orderBy(SOURCE_ROW).collect()
+    assert [(r[0], r.id, r.text or "") for r in rows] == [(2, "1", 'two\nlines "x", y'), (3, "2", "")]
+
+
 def test_run_log_trim(spark):
     folder = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/log"
-    log = spark.range(20).select(F.col("id").alias("run_id"), F.format_string("2025-01-%02d", "id").alias("started_at"))
+    log = spark.range(30).select(F.col("id").alias("run_id"), F.format_string("2025-01-%02d", "id").alias("started_at"))
     sinks.append_run_log(log, folder)
-    assert sinks.trim_run_log(spark, folder, 30) == folder
-    assert sinks.trim_run_log(spark, folder, 1) == folder
-    trimmed = sinks.trim_run_log(spark, folder, 6)
-    assert sorted(r.run_id for r in spark.read.parquet(trimmed).collect()) == [15, 16, 17, 18, 19]
-    sinks.append_run_log(log.limit(1), trimmed)
-    assert sinks.trim_run_log(spark, trimmed, 6).endswith("-v3")
+    for most in (40, 1):
+        sinks.trim_run_log(spark, folder, most)
+        assert sinks.run_log_folder(spark, folder).endswith("/v1")
+    sinks.trim_run_log(spark, folder, 12)
+    assert sorted(r.run_id for r in sinks.read_run_log(spark, folder).collect()) == list(range(19, 30))
+    sinks.append_run_log(log.limit(1), folder)  # the caller's path stays the same
+    assert sinks.read_run_log(spark, folder).count() == 12
+    sinks.trim_run_log(spark, folder, 3)  # never below the documented minimum
+    assert sorted(r.run_id for r in sinks.read_run_log(spark, folder).collect()) == list(range(21, 30))
+    assert sinks.run_log_folder(spark, folder).endswith("/v3")
 
 
 def test_sink_cells(spark):

@@ -1,11 +1,13 @@
 """What the plans must look like to hold at scale, and SQL comparison on small tables."""
 
 import math
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from tidyledger.plans.oracle import ORACLE
 from tidyledger.plans.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -68,8 +70,9 @@ def comparable(rows, columns):
 
 
 @pytest.mark.parametrize("name", [
-    "by_category", "kpi_overall", "rejected_records", "clean_orders", "cleaning_actions",
+    "by_category", "kpi_overall", "rejected_records", "clean_orders", "cleaning_actions", "findings",
     "facts_digest", "verify_numbers", "chunk_documents", "parse_model_json", "trend_change",
+    "csv_grid", "classify_keywords", "kpi_grouping_sets", "extract_chat_text",
 ])
 def test_query_equals_sql(spark, sql, name):
     frame = QUERIES[name](spark, SMALL)
@@ -80,7 +83,15 @@ def test_query_equals_sql(spark, sql, name):
 
 
 def test_every_query_has_sql():
-    assert set(driver.oracle_sql()) == set(driver.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLE) <= set(driver.oracle_sql())
+
+
+def test_library_imports_nothing_from_the_text_operators():
+    folder = Path(__file__).resolve().parents[1] / "tidyledger"
+    for path in folder.rglob("*.py"):
+        if "llm" not in path.relative_to(folder).parts:
+            assert "tidyledger.llm" not in path.read_text(), path
 
 
 def test_entry(spark):

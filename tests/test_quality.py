@@ -25,6 +25,7 @@ def test_rejected_rows_and_reasons(run):
     assert rejected[9].reasons == ["date: '31/02/2025' is not an accepted date format"]
     assert rejected[9].order_id == "A-6"
     assert rejected[16]["values"]["region"] == "Central"
+    assert rejected[9]["values"]["date"] == "31/02/2025"  # as written, though it is no date
     assert rejected[11].codes == ["OUT_OF_RANGE"]
     assert rejected[11].reasons == ["quantity: 0 is below the documented minimum of 1"]
 

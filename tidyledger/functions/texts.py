@@ -16,8 +16,6 @@ BEARER = r"(?i)bearer(?U:\s|[\x1c-\x1f])+[A-Za-z0-9._\-]{4,}"
 API_KEY = r"(?<![\p{L}\p{N}_])sk-[A-Za-z0-9._\-]{6,}(?:(?<=[A-Za-z0-9_])(?![\p{L}\p{N}_])|(?<=[.\-])(?=[\p{L}\p{N}_]))"
 MASK = "***"
 CHUNK_SIZE = 500
-LIST_ITEMS = 8
-ITEM_CHARS = 300
 YEARS = (1900, 2100)
 MONEY_LIKE = 1000
 
@@ -66,9 +64,9 @@ def chunk_text(col: Column, size: int = CHUNK_SIZE) -> Column:
     )
 
 
-def clean_string_list(items: Column) -> Column:
-    """Non-empty entries, trimmed, shortened, at most eight."""
+def clean_string_list(items: Column, most: int | None = None, chars: int | None = None) -> Column:
+    """Non-empty entries, trimmed; at most ``most`` of at most ``chars`` characters if given."""
     kept = F.filter(items, lambda item: item.isNotNull() & (F.length(strip(item)) > 0))
-    return F.slice(
-        F.transform(kept, lambda item: F.left(strip(item), F.lit(ITEM_CHARS))), 1, LIST_ITEMS
-    )
+    short = (lambda item: strip(item)) if chars is None else (lambda item: F.left(strip(item), F.lit(chars)))
+    trimmed = F.transform(kept, short)
+    return trimmed if most is None else F.slice(trimmed, 1, most)

@@ -67,6 +67,8 @@ def classify_text(
                 errors += [failure] * len(part)
             yield pd.DataFrame({"label": labels, "error": errors}, dtype=object)
 
+    # A labeller may be remote or random: Spark must not repeat a call to evaluate a filter.
+    label_batches = label_batches.asNondeterministic()
     text = F.col(column) if max_chars is None else F.left(F.col(column), F.lit(max_chars))
     labelled = texts.withColumn("_label", label_batches(text))
     allowed = F.col("_label.label").isin(*categories)
@@ -83,6 +85,29 @@ def classify_text(
     )
 
 
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def classify_keywords(texts: DataFrame, key: str, column: str, rules: DataFrame) -> DataFrame:
+    """Category of every non-blank text by a table of rules ``(rule, category, keyword)``.
+
+    The distinct words of a text (lower case) are joined with the keywords by equality; of
+    all rules that apply the one with the smallest number counts.  Texts without any
+    keyword are ``unclassified``.  The join carries no hint: Spark broadcasts the rules by
+    their measured size and splits frequent words otherwise.
+    """
+    rows = texts.filter(~is_blank(F.col(column)))
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit(WORD), F.lit(0)))
+    said = rows.select(key, F.explode(words).alias("_word"))
+    table = rules.select("rule", "category", F.lower("keyword").alias("_word"))
+    first = said.join(table, "_word").groupBy(key).agg(F.min(F.struct("rule", "category")).alias("_first"))
+    return rows.join(first, key, "left").select(
+        *rows.columns,
+        F.col("_first.category").alias("category"),
+        F.when(F.col("_first").isNotNull(), CLASSIFIED).otherwise(UNCLASSIFIED).alias("classification"),
+    )
+
+
 def classification_summary(classified: DataFrame) -> DataFrame:
     """Rows per category with their share; unusable labels and failures as own lines."""
     counts = classified.groupBy("classification", "category").agg(F.count("*").alias("records"))

@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidyledger.functions.cells import canonical_key, line_revenue, money_text, month_of
+from tidyledger.functions.cells import canonical_key, line_revenue, money_text, month_of, normalise_text
 from tidyledger.operators.dedupe import keep_first, later_duplicates
-from tidyledger.operators.prepare import (
-    any_cell,
-    change_example,
-    data_columns,
-    present,
-    whitespace_changes,
-)
-from tidyledger.operators.validate import (
-    EXAMPLES,
-    first_examples,
-    rejected_rows,
-    valid_rows,
-)
+from tidyledger.operators.prepare import BLANK, SPACES, change_example, present, text_columns
+from tidyledger.operators.validate import EXAMPLES, rejected_rows, valid_rows
 from tidyledger.schema import (
     MONEY_TYPE,
     ORDER_MONTH,
@@ -159,23 +151,27 @@ def exclude_rows(df: DataFrame, rejected: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Audit log
 # ---------------------------------------------------------------------------
-def _change(action: str, place: int, example: Column, once: bool, detail: str | None = None) -> Column:
-    """One entry of a row's change list.
+@dataclass(frozen=True)
+class Change:
+    """One kind of change: when it happens and how an example is shown.
 
     ``place`` orders the examples of an action before the row number does;
     ``once`` marks an example that is the same text for every row.
     """
-    return F.struct(
-        F.lit(action).alias("action"),
-        F.lit(detail or {**PREPARATION, **CLEANING}[action]).alias("detail"),
-        F.lit(place).alias("place"),
-        F.lit(once).alias("once"),
-        example.cast("string").alias("example"),
-    )
 
+    action: str
+    place: int
+    fires: Column
+    example: Callable[[], Column]
+    once: bool = False
+    detail: str | None = None
 
-def _entry(fires: Column, change: Column) -> Column:
-    return F.when(fires, F.array(change)).otherwise(F.array())
+    def text(self) -> str:
+        return self.detail or {**PREPARATION, **CLEANING}[self.action]
+
+
+def _row_number() -> Column:
+    return F.col(SOURCE_ROW).cast("string")
 
 
 def category_edits(schema: Schema, columns: list[str]) -> list[tuple[str, Column, Column]]:
@@ -189,93 +185,103 @@ def category_edits(schema: Schema, columns: list[str]) -> list[tuple[str, Column
 def categorical_changes(kept: DataFrame, schema: Schema) -> DataFrame:
     """Every category cell that changes, in long form."""
     edits = [
-        _entry(
+        F.when(
             before != after,
-            F.struct(
-                F.lit(place).alias("position"),
-                F.lit(name).alias("column"),
-                before.alias("before"),
-                after.alias("after"),
+            F.array(
+                F.struct(
+                    F.lit(place).alias("position"),
+                    F.lit(name).alias("column"),
+                    before.alias("before"),
+                    after.alias("after"),
+                )
             ),
-        )
+        ).otherwise(F.array())
         for place, (name, before, after) in enumerate(category_edits(schema, kept.columns))
     ]
     return kept.select(SOURCE_ROW, F.inline(F.concat(*edits)))
 
 
-def value_changes(kept: DataFrame, schema: Schema) -> DataFrame:
-    """What the value rules change in every kept row, one line per change."""
-    entries = []
-    for place, (_, before, after) in enumerate(category_edits(schema, kept.columns)):
-        example = change_example(before, after)
-        entries.append(
-            _entry(before != after, _change("categorical_values_normalised", place, example, False))
+def value_changes(schema: Schema, columns: list[str]) -> list[Change]:
+    """What the value rules change in a kept row."""
+    changes = []
+    for place, (_, before, after) in enumerate(category_edits(schema, columns)):
+        changes.append(
+            Change("categorical_values_normalised", place, before != after,
+                   lambda x=before, y=after: change_example(x, y))
         )
-    for place, spec in enumerate(spec for spec in present(schema, kept.columns) if spec.default):
-        example = F.lit(f"{spec.name} = {spec.default!r}")
+    for place, spec in enumerate(spec for spec in present(schema, columns) if spec.default):
+        example = f"{spec.name} = {spec.default!r}"
         detail = CLEANING["default_values_filled"].format(repr(spec.name))
-        entries.append(
-            _entry(
-                F.col(spec.name).isNull(),
-                _change("default_values_filled", place, example, True, detail),
-            )
+        changes.append(
+            Change("default_values_filled", place, F.col(spec.name).isNull(), lambda x=example: F.lit(x), True, detail)
         )
-    if {"quantity", "unit_price", "revenue"} <= set(kept.columns):
+    if {"quantity", "unit_price", "revenue"} <= set(columns):
         given = F.col("revenue")
         computed = line_revenue(F.col("quantity"), F.col("unit_price"))
-        example = change_example(money_text(given), money_text(computed))
-        entries += [
-            _entry(
-                F.round(given, 2) != computed, _change("revenue_recalculated", 0, example, False)
-            ),
-            _entry(
-                given.isNull(),
-                _change("revenue_recalculated", 1, F.lit(BLANK_REVENUE_EXAMPLE), True),
-            ),
+        changes += [
+            Change("revenue_recalculated", 0, F.round(given, 2) != computed,
+                   lambda: change_example(money_text(given), money_text(computed))),
+            Change("revenue_recalculated", 1, given.isNull(), lambda: F.lit(BLANK_REVENUE_EXAMPLE), True),
         ]
-    return kept.select(SOURCE_ROW, F.inline(F.concat(*entries)))
+    return changes
 
 
-def _row_changes(rows: DataFrame, action: str) -> DataFrame:
-    """Removed rows as changes; the example is the row number."""
-    number = F.col(SOURCE_ROW).cast("string")
-    return rows.select(SOURCE_ROW, F.inline(F.array(_change(action, 0, number, False))))
+def _fired(rows: DataFrame, changes: list[Change], first: int = 0) -> DataFrame:
+    """``(source_row, change)``: the numbers of the changes of every row."""
+    numbers = [F.when(change.fires, F.lit(first + k)) for k, change in enumerate(changes)]
+    return rows.select(SOURCE_ROW, F.explode(F.array_compact(F.array(*numbers))).alias("change"))
 
 
-def _summarise(changes: DataFrame, stage: str, order: list[str]) -> DataFrame:
+def _summarise(fired: DataFrame, rows: DataFrame, changes: list[Change], stage: str, order: list[str]) -> DataFrame:
     """Count changes per action and show the first three distinct examples.
 
-    Two passes over the changes: one counts (and finds the few constant
-    examples), one picks the first varying examples.
+    Changes are counted and ranked by number.  Example texts are built from ``rows`` only
+    for the changes that are shown, at most three of each action, so they can be broadcast.
     """
-    constant = F.when(F.col("once"), F.col("example")).alias("constant")
-    grouped = changes.groupBy("action", "place", "detail", constant).agg(
+    facts = F.array(
+        *[
+            F.struct(
+                F.lit(order.index(change.action) + 1).alias("position"),
+                F.lit(change.place).alias("place"),
+                F.lit(change.once).alias("once"),
+            )
+            for change in changes
+        ]
+    )
+    known = fired.withColumn("fact", F.get(facts, F.col("change"))).select(SOURCE_ROW, "change", "fact.*")
+    counts = known.groupBy("position", "change", "place", "once").agg(
         F.count("*").alias("records"), F.min(SOURCE_ROW).alias(SOURCE_ROW)
     )
-    entry = F.struct("place", SOURCE_ROW, F.col("constant").alias("example"))
-    counts = grouped.groupBy("action").agg(
-        F.sum("records").alias("records"),
-        F.max(F.struct("place", "detail")).alias("last"),
-        F.collect_list(F.when(F.col("constant").isNotNull(), entry)).alias("constants"),
+    place = Window.partitionBy("position").orderBy("place", SOURCE_ROW)
+    varying = known.filter(~F.col("once")).withColumn("rank", F.row_number().over(place))
+    varying = varying.filter(F.col("rank") <= EXAMPLES).select(SOURCE_ROW, "change", "position", "place")
+    texts = [F.when(F.col("change") == k, change.example().cast("string")) for k, change in enumerate(changes)]
+    shown = rows.join(F.broadcast(varying), SOURCE_ROW).select(
+        "position", F.struct("place", SOURCE_ROW, F.coalesce(*texts).alias("example")).alias("entry")
     )
-    varying = changes.filter(~F.col("once")).select(
-        "action", "place", SOURCE_ROW, F.struct("place", SOURCE_ROW, "example").alias("entry")
+    constant = [
+        F.when(F.col("change") == k, change.example().cast("string")) for k, change in enumerate(changes) if change.once
+    ]
+    entry = F.struct("place", SOURCE_ROW, (F.coalesce(*constant) if constant else F.lit("")).alias("example"))
+    details = F.array(*[F.lit(change.text()) for change in changes])
+    totals = counts.groupBy("position").agg(
+        F.sum("records").alias("records"),
+        F.max(F.struct("place", F.get(details, F.col("change")).alias("detail"))).alias("last"),
+        F.collect_list(F.when(F.col("once"), entry)).alias("constants"),
     )
-    firsts = first_examples(varying, ["action"], ["place", SOURCE_ROW], ["entry"])
-    entries = F.array_compact(F.array(*[f"entry_{n}" for n in range(1, EXAMPLES + 1)]))
-    every = F.array_sort(F.concat(entries, F.col("constants")))
-    texts = F.slice(F.array_distinct(F.transform(every, lambda e: e["example"])), 1, EXAMPLES)
-    action, rows = F.col("action"), F.array_join(texts, ", ")
-    return counts.join(firsts, "action", "left").select(
+    listed = shown.groupBy("position").agg(F.collect_list("entry").alias("entries"))
+    every = F.array_sort(F.concat(F.coalesce("entries", F.array().cast("array<struct<place:int,source_row:bigint,example:string>>")), F.col("constants")))
+    examples = F.slice(F.array_distinct(F.transform(every, lambda e: e["example"])), 1, EXAMPLES)
+    action, numbers = F.get(F.array(*[F.lit(x) for x in order]), F.col("position") - 1), F.array_join(examples, ", ")
+    return totals.join(listed, "position", "left").select(
         F.lit(stage).alias("stage"),
-        F.array_position(F.lit(order), action).cast("int").alias("position"),
-        "action",
+        "position",
+        action.alias("action"),
         "records",
         F.col("last.detail").alias("detail"),
-        F.when(action == "blank_rows_dropped", F.concat(F.lit("row "), rows))
-        .when(action.isin("rejected_rows_removed", "duplicate_orders_removed"),
-              F.concat(F.lit("rows "), rows))
-        .otherwise(F.array_join(texts, "; "))
+        F.when(action == "blank_rows_dropped", F.concat(F.lit("row "), numbers))
+        .when(action.isin("rejected_rows_removed", "duplicate_orders_removed"), F.concat(F.lit("rows "), numbers))
+        .otherwise(F.array_join(examples, "; "))
         .alias("examples"),
     )
 
@@ -294,28 +300,26 @@ def _known_actions(spark: SparkSession, stage: str, entries: list[tuple[str, int
     )
 
 
-def preparation_actions(source: DataFrame, schema: Schema, mapping: HeaderMapping) -> DataFrame:
+def preparation_actions(audit: DataFrame, schema: Schema, mapping: HeaderMapping) -> DataFrame:
     """What preparation changed: ``(stage, position, action, records, detail, examples)``.
 
-    ``source`` holds the rows as read, under canonical headers.
+    ``audit`` holds the prepared rows, blank ones included, with the texts that
+    white-space normalisation changed (see :func:`prepare.audited`).
     """
     order = list(PREPARATION)
-    spaces = whitespace_changes(source, schema).select(
-        SOURCE_ROW,
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit(order[3]).alias("action"),
-                    F.lit(PREPARATION[order[3]]).alias("detail"),
-                    F.col("position").alias("place"),
-                    F.lit(False).alias("once"),
-                    change_example(F.col("before"), F.col("after")).alias("example"),
-                )
-            )
-        ),
-    )
-    blank = _row_changes(source.filter(~any_cell(source)), "blank_rows_dropped")
-    changed = _summarise(blank.unionByName(spaces), "prepare", order)
+    texts = text_columns(audit, schema)
+    changes = [Change(order[0], 0, F.col(BLANK), _row_number)]
+    def in_place(place: int) -> Callable[[Column], Column]:
+        return lambda change: change["place"] == place
+
+    for place, _ in enumerate(texts):
+        before = F.get(F.filter(SPACES, in_place(place)), F.lit(0))["before"]
+        changes.append(
+            Change(order[3], place, F.exists(SPACES, in_place(place)),
+                   lambda x=before: change_example(x, normalise_text(x)))
+        )
+    rows = audit.select(SOURCE_ROW, BLANK, SPACES)
+    changed = _summarise(_fired(rows, changes), rows, changes, "prepare", order)
     renamed = [f"{before!r} -> {after!r}" for before, after in mapping.recognised]
     entries = [
         (action, len(items), items)
@@ -324,23 +328,38 @@ def preparation_actions(source: DataFrame, schema: Schema, mapping: HeaderMappin
     ]
     if not entries:
         return changed
-    return changed.unionByName(_known_actions(source.sparkSession, "prepare", entries, order))
+    return changed.unionByName(_known_actions(audit.sparkSession, "prepare", entries, order))
 
 
-def cleaning_actions(checked: DataFrame, schema: Schema, policy: QualityPolicy) -> DataFrame:
-    """What cleaning changed, same columns as :func:`preparation_actions`."""
+def cleaning_actions(
+    checked: DataFrame, schema: Schema, policy: QualityPolicy, entered: DataFrame | None = None
+) -> DataFrame:
+    """What cleaning changed, same columns as :func:`preparation_actions`.
+
+    ``entered`` lists the source rows of the clean table where more than these rows decide
+    about duplicates (an incremental run).
+    """
     key = policy.duplicate_column
     order = list(CLEANING)
     valid = valid_rows(checked)
-    rejected = rejected_rows(checked, [SOURCE_ROW])
-    changes = _row_changes(rejected, "rejected_rows_removed")
+    values = value_changes(schema, valid.columns)
+    changes = [
+        Change("rejected_rows_removed", 0, F.lit(True), _row_number),
+        Change("duplicate_orders_removed", 0, F.lit(True), _row_number),
+        *values,
+    ]
+    fired = rejected_rows(checked, [SOURCE_ROW]).withColumn("change", F.lit(0))
     kept = valid
-    if key in checked.columns:
+    if entered is not None:
+        kept = valid.join(entered, SOURCE_ROW, "left_semi")
+        repeated = valid.select(SOURCE_ROW).join(entered, SOURCE_ROW, "left_anti")
+        fired = fired.unionByName(repeated.select(SOURCE_ROW, F.lit(1).alias("change")))
+    elif key in checked.columns:
         kept = keep_first(valid, key)
         repeated = later_duplicates(valid.select(SOURCE_ROW, key), key)
-        changes = changes.unionByName(_row_changes(repeated, "duplicate_orders_removed"))
-    changes = changes.unionByName(value_changes(kept, schema))
-    actions = _summarise(changes, "clean", order)
+        fired = fired.unionByName(repeated.select(SOURCE_ROW, F.lit(1).alias("change")))
+    fired = fired.unionByName(_fired(kept, values, first=2))
+    actions = _summarise(fired, checked, changes, "clean", order)
     if "date" not in checked.columns:
         return actions
     derived = valid_rows(checked, [SOURCE_ROW]).limit(1).select(

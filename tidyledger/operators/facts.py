@@ -26,7 +26,9 @@ from tidyledger.schema import MONEY_TYPE, ORDER_MONTH
 MAX_CHARS = 12_000
 SECTIONS = ("period_change", "monthly_trend", "top_products", "status_distribution")
 SHORTEST_ENTRY = 30
-MAX_NEGATIVES = 5
+ENDS = ("product_count", "best_product", "worst_product", "month_count", "first_month", "last_month",
+        "changes")
+SALTS = 64
 SCOPE = "scope"
 FACT_INPUTS = ["product", "region", *kpi.SNAPSHOT_INPUTS]
 
@@ -54,11 +56,17 @@ def _percent_text(part: Column, whole: Column) -> Column:
 
 
 def _section(rows: DataFrame, name: str, order: list[Column], limit: int) -> DataFrame:
-    """Collect at most ``limit`` ordered entries per scope: all that can fit the budget."""
+    """Collect at most ``limit`` ordered entries per scope: all that can fit the budget.
+
+    The entries of a scope are first ranked in ``SALTS`` parts, each cut to the limit, so
+    no task sorts all entries of a scope, whatever the budget is.
+    """
+    salt = F.pmod(F.xxhash64("json"), F.lit(SALTS))
+    parts = rows.withColumn("_salt", salt)
+    local = F.row_number().over(Window.partitionBy(SCOPE, "_salt").orderBy(*order))
+    parts = parts.withColumn("_rank", local).filter(F.col("_rank") <= limit).drop("_salt", "_rank")
     window = Window.partitionBy(SCOPE).orderBy(*order)
-    numbered = rows.withColumn("_rank", F.row_number().over(window)).filter(
-        F.col("_rank") <= limit
-    )
+    numbered = parts.withColumn("_rank", F.row_number().over(window)).filter(F.col("_rank") <= limit)
     entry = F.struct("_rank", *[c for c in rows.columns if c != SCOPE])
     return numbered.groupBy(SCOPE).agg(F.array_sort(F.collect_list(entry)).alias(name))
 
@@ -155,7 +163,23 @@ def fact_sections(clean: DataFrame, by: str | None = None, max_chars: int = MAX_
             statuses, "status_distribution", [F.desc("orders"), F.col("status")], limit
         ),
     }
-    facts = kpi.snapshot(scoped, [SCOPE]).join(labels, SCOPE, "left")
+    # First and last of the whole lists; the lists themselves are cut to the budget.
+    ends = products.groupBy(SCOPE).agg(
+        F.count("*").alias("product_count"),
+        F.min(F.struct((-net).alias("rank"), "key", "net")).alias("best_product"),
+        F.max(F.struct((-net).alias("rank"), "key", "net")).alias("worst_product"),
+    )
+    span = months.groupBy(SCOPE).agg(
+        F.count("*").alias("month_count"),
+        F.min(F.struct(F.col(ORDER_MONTH).alias("key"), "net")).alias("first_month"),
+        F.max(F.struct(F.col(ORDER_MONTH).alias("key"), "net")).alias("last_month"),
+    )
+    # At most one entry for each compared metric.
+    told = changes.groupBy(SCOPE).agg(
+        F.array_sort(F.collect_list(F.struct("position", "metric", "change", "pct"))).alias("changes")
+    )
+    facts = kpi.snapshot(scoped, [SCOPE]).join(labels, SCOPE, "left").join(told, SCOPE, "left")
+    facts = facts.join(ends, SCOPE, "left").join(span, SCOPE, "left")
     for name, rows in sections.items():
         facts = facts.join(rows, SCOPE, "left")
     return facts
@@ -220,6 +244,7 @@ def facts_digest(clean: DataFrame, by: str | None = None, max_chars: int = MAX_C
         SCOPE,
         F.coalesce(F.col("period"), F.lit(kpi.ALL_PERIODS)).alias("period"),
         *[F.col(f"_{name}").alias(name) for name in scalars if name != "period"],
+        *ENDS,
         *SECTIONS,
         digest.alias("digest"),
     )
@@ -260,22 +285,24 @@ def supplied_values(digests: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Sentences
 # ---------------------------------------------------------------------------
-def narrate(digests: DataFrame) -> DataFrame:
-    """Template sentences from the facts of every scope; no number is computed here."""
-    top, points = F.col("top_products"), F.col("monthly_trend")
-    first, last = F.try_element_at(top, F.lit(1)), F.try_element_at(top, F.lit(-1))
-    start, end = F.try_element_at(points, F.lit(1)), F.try_element_at(points, F.lit(-1))
+def narrate(digests: DataFrame, most_changes: int | None = None) -> DataFrame:
+    """Template sentences from the facts of every scope; no number is computed here.
+
+    At most ``most_changes`` changes are told if given.
+    """
+    first, last = F.col("best_product"), F.col("worst_product")
+    start, end = F.col("first_month"), F.col("last_month")
     summary = F.concat(
         F.lit("Over "), F.col("period"), F.lit(" the business recorded a net revenue of "),
         F.col("net_revenue"), F.lit(" across "), F.col("order_count"),
         F.lit(" orders (average order value "), F.col("average_order_value"), F.lit(")."),
     )
     leader = F.when(
-        F.size(top) >= 1,
+        F.col("product_count") >= 1,
         F.concat(first["key"], F.lit(" led net revenue with "), float_text(first["net"])),
     )
     moved = F.when(
-        F.size(points) >= 2,
+        F.col("month_count") >= 2,
         F.concat(
             F.lit("net revenue moved from "), float_text(start["net"]), F.lit(" in "), start["key"],
             F.lit(" to "), float_text(end["net"]), F.lit(" in "), end["key"],
@@ -288,16 +315,17 @@ def narrate(digests: DataFrame) -> DataFrame:
             F.col("cancellation_rate_pct"), F.lit("% of all orders"),
         ),
     )
-    known = F.filter(F.col("period_change"), lambda change: change["pct"].isNotNull())
+    kind = "array<struct<position:int,metric:string,change:decimal(38,2),pct:string>>"
+    every = F.coalesce(F.col("changes").cast(kind), F.array().cast(kind))
     changes = F.transform(
-        known,
+        F.filter(every, lambda change: change["pct"].isNotNull()),
         lambda change: F.concat(
             change["metric"], F.lit(" was "), F.when(change["change"] >= 0, "up").otherwise("down"),
             F.lit(" "), F.ltrim(change["pct"], F.lit("-")), F.lit("% versus the previous period"),
         ),
     )
     management = F.when(
-        F.size(top) >= 2,
+        F.col("product_count") >= 2,
         F.concat(
             F.lit("protect momentum in "), first["key"], F.lit(" while reviewing "), last["key"],
             F.lit(" performance"),
@@ -307,7 +335,7 @@ def narrate(digests: DataFrame) -> DataFrame:
         SCOPE,
         summary.alias("executive_summary"),
         F.array_compact(F.array(leader, moved)).alias("positive_trends"),
-        F.slice(changes, 1, MAX_NEGATIVES).alias("negative_trends"),
+        (changes if most_changes is None else F.slice(changes, 1, most_changes)).alias("negative_trends"),
         F.array_compact(F.array(watch)).alias("watch_items"),
         management.alias("management_summary"),
     )
@@ -323,10 +351,13 @@ NARRATIVE = (
 Writer = Callable[[str], str]
 
 
-def replies(digests: DataFrame, fn: Writer | None = None) -> DataFrame:
-    """One reply per digest: from ``fn(digest)`` in Arrow batches, or from the templates."""
+def replies(digests: DataFrame, fn: Writer | None = None, most_changes: int | None = None) -> DataFrame:
+    """One reply per digest: from ``fn(digest)`` in Arrow batches, or from the templates.
+
+    ``fn`` may be remote or random: write the replies once before several tables use them.
+    """
     if fn is None:
-        written = narrate(digests).select(SCOPE, F.to_json(F.struct(*NARRATIVE)).alias("reply"))
+        written = narrate(digests, most_changes).select(SCOPE, F.to_json(F.struct(*NARRATIVE)).alias("reply"))
         return written.withColumn("error", F.lit(None).cast("string"))
 
     @F.pandas_udf("reply string, error string")
@@ -340,6 +371,7 @@ def replies(digests: DataFrame, fn: Writer | None = None) -> DataFrame:
                     rows.append((None, f"{type(error).__name__}: {error}"))
             yield pd.DataFrame(rows, columns=["reply", "error"], dtype=object)
 
+    write = write.asNondeterministic()
     answered = digests.select(SCOPE, write(F.col("digest")).alias("_answer"))
     return answered.select(SCOPE, "_answer.*")
 
@@ -350,15 +382,26 @@ def _text_field(payload: Column, name: str) -> Column:
     return F.when(is_text, F.btrim(value.cast("string"))).otherwise("")
 
 
-def _list_field(payload: Column, name: str) -> Column:
+def _list_field(payload: Column, name: str, most: int | None, chars: int | None) -> Column:
     entries = F.try_variant_get(payload, f"$.{name}", "array<variant>")
     texts = F.filter(entries, lambda item: F.schema_of_variant(item) == "STRING")
-    cleaned = clean_string_list(F.transform(texts, lambda item: item.cast("string")))
+    cleaned = clean_string_list(F.transform(texts, lambda item: item.cast("string")), most, chars)
     return F.coalesce(cleaned, F.array().cast("array<string>"))
 
 
-def interpret(digests: DataFrame, fn: Writer | None = None, enabled: bool = True) -> DataFrame:
-    """One insight record per scope; a failure is a status, never an exception."""
+def interpret(
+    digests: DataFrame,
+    fn: Writer | None = None,
+    enabled: bool = True,
+    most_items: int | None = None,
+    item_chars: int | None = None,
+    most_changes: int | None = None,
+) -> DataFrame:
+    """One insight record per scope; a failure is a status, never an exception.
+
+    Lists are whole unless limits are given.  With ``fn``, write the records before several
+    tables use them: every use of this plan would call it again.
+    """
     if not enabled:
         empty = F.array().cast("array<string>")
         return digests.select(
@@ -370,7 +413,7 @@ def interpret(digests: DataFrame, fn: Writer | None = None, enabled: bool = True
                 for name in NARRATIVE
             ],
         )
-    parsed = parse_model_json(replies(digests, fn), "reply")
+    parsed = parse_model_json(replies(digests, fn, most_changes), "reply")
     payload = F.col("parsed")
     is_object = F.coalesce(F.schema_of_variant(payload).startswith("OBJECT"), F.lit(False))
     detail = (
@@ -380,7 +423,8 @@ def interpret(digests: DataFrame, fn: Writer | None = None, enabled: bool = True
         .otherwise("interpretation generated from the deterministic KPI output")
     )
     fields = [
-        F.when(is_object, _list_field(payload, name) if name.endswith(("trends", "items"))
+        F.when(is_object, _list_field(payload, name, most_items, item_chars)
+               if name.endswith(("trends", "items"))
                else _text_field(payload, name)).alias(name)
         for name in NARRATIVE
     ]

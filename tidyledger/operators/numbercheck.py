@@ -7,12 +7,8 @@ from pyspark.sql import functions as F
 
 from tidyledger.functions.texts import extract_numbers, needs_check, number_value
 
-# Tolerance of a match, and how many numbers a report lists.
+# Tolerance of a match.
 ABSOLUTE, RELATIVE = 0.01, 0.005
-LISTED = 10
-
-BROADCAST_FACTS = 100_000
-SALTS = 32
 
 
 def numbers_in(texts: DataFrame, key: str, column: str) -> DataFrame:
@@ -48,33 +44,20 @@ def _fact_ranges(facts: DataFrame, column: str) -> DataFrame:
     )
 
 
-def unmatched_numbers(
-    numbers: DataFrame, facts: DataFrame, column: str, broadcast_limit: int = BROADCAST_FACTS
-) -> DataFrame:
+def unmatched_numbers(numbers: DataFrame, facts: DataFrame, column: str) -> DataFrame:
     """Numbers worth a check that lie within the tolerance of no fact.
 
-    A tolerance match becomes an equality on buckets plus an exact test.  Few
-    facts (counted first) are broadcast and the numbers stay where they are;
-    beyond the limit both sides are shuffled by bucket, and the numbers of a
-    frequent bucket are spread over salts that the facts are copied to.
+    A tolerance match becomes an equality on buckets plus an exact test, without any
+    hint: Spark broadcasts the facts by their measured size.  Beyond that both sides are
+    shuffled by value, and equal values, however many texts hold them, arrive as one row
+    for each task.
     """
-    checked = numbers.filter(needs_check(F.col("value"))).withColumn(
-        "bucket", _bucket(F.col("value"))
-    )
-    ranges = _fact_ranges(facts, column)
+    checked = numbers.filter(needs_check(F.col("value")))
+    values = checked.select("value").distinct().withColumn("bucket", _bucket(F.col("value")))
+    ranges = _fact_ranges(facts, column).withColumnRenamed("bucket", "_bucket")
     near = F.abs(F.col("value") - F.col("fact")) <= F.col("reach")
-    if ranges.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        on = (F.col("bucket") == F.col("_bucket")) & near
-        found = checked.join(
-            F.broadcast(ranges.withColumnRenamed("bucket", "_bucket")), on, "left_anti"
-        )
-        return found.drop("bucket")
-    salted = checked.withColumn("salt", F.pmod(F.xxhash64(*numbers.columns), F.lit(SALTS)))
-    copies = ranges.withColumnRenamed("bucket", "_bucket").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
-    )
-    on = (F.col("bucket") == F.col("_bucket")) & (F.col("salt") == F.col("_salt")) & near
-    return salted.join(copies, on, "left_anti").drop("bucket", "salt")
+    matched = values.join(ranges, (F.col("bucket") == F.col("_bucket")) & near, "left_semi").select("value")
+    return checked.join(matched, "value", "left_anti").select(*numbers.columns)
 
 
 def _to_cents(value: Column) -> Column:
@@ -82,25 +65,25 @@ def _to_cents(value: Column) -> Column:
     return F.coalesce(F.round(value.try_cast("decimal(38,10)"), 2).cast("double"), value)
 
 
-def verify_numbers(texts: DataFrame, key: str, column: str, facts: DataFrame, fact: str) -> DataFrame:
-    """The first ten distinct unverified numbers of every text, by position.
+def verify_numbers(
+    texts: DataFrame, key: str, column: str, facts: DataFrame, fact: str, most: int | None = None
+) -> DataFrame:
+    """The distinct unverified numbers of every text, by position; at most ``most`` of a text if given.
 
     Only numbers without a match are shuffled, by text; the numbers of one text
     are bounded by the text itself.
     """
-    return first_distinct(unmatched_numbers(numbers_in(texts, key, column), facts, fact), key)
+    return first_distinct(unmatched_numbers(numbers_in(texts, key, column), facts, fact), key, most)
 
 
-def first_distinct(numbers: DataFrame, key: str) -> DataFrame:
-    """The first ten distinct values (two decimals) per text, by position."""
+def first_distinct(numbers: DataFrame, key: str, most: int | None = None) -> DataFrame:
+    """The distinct values (two decimals) per text, by position; all of them or the first ``most``."""
     distinct = (
         numbers.select(key, "position", _to_cents(F.col("value")).alias("value"))
         .groupBy(key, "value")
         .agg(F.min("position").alias("position"))
     )
     window = Window.partitionBy(key).orderBy("position")
-    return (
-        distinct.withColumn("rank", F.row_number().over(window))
-        .filter(F.col("rank") <= LISTED)
-        .select(key, "rank", "value")
-    )
+    ranked = distinct.withColumn("rank", F.row_number().over(window))
+    ranked = ranked if most is None else ranked.filter(F.col("rank") <= most)
+    return ranked.select(key, "rank", "value")

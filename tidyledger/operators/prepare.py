@@ -9,13 +9,18 @@ from tidyledger.functions.cells import blank_to_null, is_blank, normalise_text,
 from tidyledger.schema import PARSED_KINDS, SOURCE_ROW, TEXT_KINDS, ColumnSpec, Schema
 
 
+# Columns of an audited table: is the row blank, and which texts did white space change?
+BLANK = "is_blank_row"
+SPACES = "space_changes"
+
+
 def raw_name(name: str) -> str:
     """Column that keeps the source text of a parsed cell."""
     return f"{name}__raw"
 
 
 def data_columns(df: DataFrame) -> list[str]:
-    return [name for name in df.columns if name != SOURCE_ROW]
+    return [name for name in df.columns if name not in (SOURCE_ROW, BLANK, SPACES)]
 
 
 def present(schema: Schema, columns: list[str]) -> list[ColumnSpec]:
@@ -68,6 +73,28 @@ def prepare(df: DataFrame, schema: Schema) -> DataFrame:
     return rows_where(cells, F.coalesce(*data_columns(cells)).isNotNull())
 
 
+def audited(df: DataFrame, schema: Schema) -> DataFrame:
+    """Normalised cells of all rows, with what preparation changes in each (``BLANK``, ``SPACES``).
+
+    One pass over the rows as read serves the rows themselves and the audit log.
+    """
+    texts = text_columns(df, schema)
+    changes = [
+        F.when(
+            normalise_text(F.col(name)) != F.col(name),
+            F.struct(F.lit(place).alias("place"), F.col(name).alias("before")),
+        )
+        for place, name in enumerate(texts)
+    ]
+    kind = "array<struct<place:int,before:string>>"
+    spaces = F.array_compact(F.array(*changes)) if changes else F.array()
+    cells = [
+        (normalise_text if name in texts else blank_to_null)(F.col(name)).alias(name) for name in data_columns(df)
+    ]
+    wide = df.select(SOURCE_ROW, *cells, spaces.cast(kind).alias(SPACES))
+    return wide.withColumn(BLANK, F.coalesce(*data_columns(df)).isNull() if data_columns(df) else F.lit(True))
+
+
 def coerce(prepared: DataFrame, schema: Schema) -> DataFrame:
     """Parse dates, integers and numbers; the source text stays in ``<name>__raw``."""
     specs = {spec.name: spec for spec in schema}
@@ -79,7 +106,8 @@ def coerce(prepared: DataFrame, schema: Schema) -> DataFrame:
             columns.append(F.col(name).alias(raw_name(name)))
         else:
             columns.append(F.col(name))
-    return prepared.select(SOURCE_ROW, *columns)
+    audit = [name for name in (BLANK, SPACES) if name in prepared.columns]
+    return prepared.select(SOURCE_ROW, *columns, *audit)
 
 
 def rejects_when_null(spec: ColumnSpec) -> bool:

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from tidyledger.functions.cells import (
     canonical_key,
-    display_value,
     line_revenue,
     money_text,
     quoted,
@@ -31,7 +30,6 @@ from tidyledger.operators.prepare import (
     rows_where,
 )
 from tidyledger.schema import (
-    NUMBER_TYPE,
     SOURCE_ROW,
     ColumnSpec,
     DataQualityError,
@@ -305,52 +303,71 @@ def all_issues(checked: DataFrame, schema: Schema, policy: QualityPolicy) -> Dat
     return issues.unionByName(duplicate_issues(checked, policy))
 
 
-def first_examples(
-    rows: DataFrame, keys: list[str], order: list[str], values: list[str], k: int = EXAMPLES
-) -> DataFrame:
-    """First ``k`` rows per group, side by side as ``<value>_1 .. <value>_k``.
-
-    Spark limits each group to ``k`` rows before the shuffle, so a group that
-    holds most of the data still arrives as a few rows per task.
-    """
-    ranked = rows.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    ).filter(F.col("_rank") <= k)
-    picks = [
-        F.max(F.when(F.col("_rank") == n, F.col(value))).alias(f"{value}_{n}")
-        for value in values
-        for n in range(1, k + 1)
-    ]
-    return ranked.groupBy(*keys).agg(*picks)
-
-
 def joined_examples(separator: str = "; ", k: int = EXAMPLES) -> Column:
     """The distinct examples of :func:`first_examples` as one text."""
     return F.array_join(F.array_distinct(F.array(*[f"example_{n}" for n in range(1, k + 1)])), separator)
 
 
-def findings(issues: DataFrame) -> DataFrame:
-    """Findings per code, severity and column: count, first message, first three examples."""
-    keys = ["code", "severity", "column"]
-    counts = issues.groupBy(*keys).agg(F.count("*").alias("records"))
-    examples = first_examples(issues, keys, [SOURCE_ROW], ["message", "example"])
-    return (
-        counts.join(examples, keys)
-        .select(
-            *keys,
-            "records",
-            F.col("message_1").alias("message"),
-            joined_examples().alias("examples"),
+def _numbered_rules(schema: Schema, policy: QualityPolicy, columns: list[str]) -> list[tuple[Rule, Column]]:
+    """Every rule with the condition under which it is reported; the one on duplicate keys is last."""
+    kept = ~F.col(REJECTED)
+    rules = [(rule, rule.fires) for rule in cell_rules(schema, columns)]
+    rules += [(rule, kept & rule.fires) for rule in revenue_rules(policy, columns)]
+    key = policy.duplicate_column
+    if key in columns:
+        shown = quoted(F.col(key).cast("string"))
+        rules.append(
+            (_warning(F.lit(False), DUPLICATE_ORDER_ID, key, DUPLICATE, lambda: [shown]), F.lit(False))
         )
+    return rules
+
+
+def findings(checked: DataFrame, schema: Schema, policy: QualityPolicy) -> DataFrame:
+    """Findings per code, severity and column: count, first message, first three examples.
+
+    Rules are counted and ranked by number; texts are built only for the rows that are
+    shown, at most three of each finding, which is why they can be broadcast.
+    """
+    columns = checked.columns
+    rules = _numbered_rules(schema, policy, columns)
+    heads = [(rule.code, rule.severity, rule.column) for rule, _ in rules]
+    groups = list(dict.fromkeys(heads))
+    fired = checked.select(
+        SOURCE_ROW,
+        F.explode(F.array_compact(F.array(*[F.when(fires, F.lit(k)) for k, (_, fires) in enumerate(rules)]))).alias("rule"),
+    )
+    key = policy.duplicate_column
+    if key in columns:
+        repeated = later_duplicates(valid_rows(checked, [SOURCE_ROW, key]), key)
+        fired = fired.unionByName(repeated.select(SOURCE_ROW, F.lit(len(rules) - 1).alias("rule")))
+    of_rule = F.array(*[F.lit(groups.index(head)) for head in heads])
+    fired = fired.withColumn("finding", F.get(of_rule, F.col("rule")))
+    counts = fired.groupBy("finding").agg(F.count("*").alias("records"))
+    place = Window.partitionBy("finding").orderBy(SOURCE_ROW, "rule")
+    shown = fired.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= EXAMPLES)
+    texts = [F.when(F.col("rule") == k, F.struct(rule.message().alias("message"), rule.example().alias("example")))
+             for k, (rule, _) in enumerate(rules)]
+    written = checked.join(F.broadcast(shown), SOURCE_ROW).select("finding", "rank", F.coalesce(*texts).alias("text"))
+    examples = written.groupBy("finding").agg(
+        F.max(F.when(F.col("rank") == 1, F.col("text.message"))).alias("message"),
+        *[F.max(F.when(F.col("rank") == n, F.col("text.example"))).alias(f"example_{n}") for n in range(1, EXAMPLES + 1)],
+    )
+    head = F.get(
+        F.array(*[F.struct(*[F.lit(x).alias(n) for x, n in zip(g, ("code", "severity", "column"))]) for g in groups]),
+        F.col("finding"),
+    )
+    return (
+        counts.join(examples, "finding")
+        .select(head.alias("head"), "records", "message", joined_examples().alias("examples"))
+        .select("head.*", "records", "message", "examples")
         .orderBy(F.col("severity") != "error", "code", "column")
     )
 
 
 def rejected_records(checked: DataFrame, schema: Schema, policy: QualityPolicy) -> DataFrame:
-    """Quarantine: one row per rejected record with codes, reasons and every cell value.
+    """Quarantine: one row per rejected record with codes, reasons and the whole text of every cell.
 
-    A cell that did not parse shows as empty, as it would in the typed table; its
-    text is in the reason.
+    Dates and numbers are stored as they were written in the source.
     """
     columns = checked.columns
     errors = [
@@ -363,6 +380,7 @@ def rejected_records(checked: DataFrame, schema: Schema, policy: QualityPolicy)
         for name in data_columns(checked)
         if name != REJECTED and not name.endswith("__raw")
     ]
+    sources = [raw_name(name) if raw_name(name) in columns else name for name in shown]
     rows = rejected_rows(checked).withColumn("_errors", F.concat(*errors))
     order_id = F.col("order_id") if "order_id" in columns else F.lit(None).cast("string")
     return rows.select(
@@ -372,19 +390,11 @@ def rejected_records(checked: DataFrame, schema: Schema, policy: QualityPolicy)
         F.col("_errors.message").alias("reasons"),
         F.map_from_arrays(
             F.array(*[F.lit(name) for name in shown]),
-            F.array(*[display_value(_shown(checked, name)) for name in shown]),
+            F.array(*[F.coalesce(F.col(name).cast("string"), F.lit("")) for name in sources]),
         ).alias("values"),
     )
 
 
-def _shown(df: DataFrame, name: str) -> Column:
-    """A cell for display; decimals without the zeros of their fixed scale."""
-    if df.schema[name].dataType != NUMBER_TYPE:
-        return F.col(name)
-    text = F.regexp_replace(F.col(name).cast("string"), "0+$", "")
-    return F.regexp_replace(text, r"\.$", "")
-
-
 def duplicate_ids(checked: DataFrame, policy: QualityPolicy) -> DataFrame:
     key = policy.duplicate_column
     counted = valid_rows(checked, [key]).groupBy(key).agg(F.count("*").alias("records"))

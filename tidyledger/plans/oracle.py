@@ -7,12 +7,26 @@ from the Spark expressions: other functions, other patterns, other shapes.
 
 from __future__ import annotations
 
-from tidyledger.schema import ORDER_SCHEMA
-
+# The rules are spelled out here once more, so a wrong entry on one side shows.
+COLUMNS = ["date", "order_id", "customer", "product", "category", "quantity", "unit_price", "revenue", "region",
+           "status", "feedback"]
+TEXTS = ["order_id", "customer", "product", "category", "region", "status", "feedback"]
+ALLOWED = {
+    "category": ["Apparel", "Electronics", "Home & Kitchen", "Office Supplies", "Outdoors"],
+    "region": ["East", "North", "South", "West"],
+    "status": ["Cancelled", "Completed", "Pending", "Refunded"],
+}
+SPELLED = {
+    "category": "electronics=Electronics electronic=Electronics home_and_kitchen=Home_&_Kitchen "
+                "home_&_kitchen=Home_&_Kitchen home-kitchen=Home_&_Kitchen kitchen=Home_&_Kitchen "
+                "office_supplies=Office_Supplies office-supplies=Office_Supplies officesupplies=Office_Supplies "
+                "outdoor=Outdoors outdoors=Outdoors apparel=Apparel clothing=Apparel",
+    "region": "north=North n=North south=South s=South east=East e=East west=West w=West",
+    "status": "completed=Completed complete=Completed closed=Completed pending=Pending in_progress=Pending "
+              "cancelled=Cancelled canceled=Cancelled refunded=Refunded refund=Refunded",
+}
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 TOKENS = "('', 'na', 'n/a', 'null', 'none', 'nan', '-')"
-COLUMNS = [spec.name for spec in ORDER_SCHEMA]
-TEXTS = [spec.name for spec in ORDER_SCHEMA if spec.kind in ("text", "category")]
 THRESHOLD = 40000
 
 
@@ -48,8 +62,8 @@ def date(x: str) -> str:
 
 
 def canonical(x: str, column: str) -> str:
-    spec = next(spec for spec in ORDER_SCHEMA if spec.name == column)
-    cases = " ".join(f"WHEN '{key}' THEN '{value}'" for key, value in spec.lookup().items())
+    pairs = [entry.replace("_", " ").split("=") for entry in SPELLED[column].split()]
+    cases = " ".join(f"WHEN '{spelling}' THEN '{value}'" for spelling, value in pairs)
     return f"CASE lower({x}) {cases} END"
 
 
@@ -213,13 +227,9 @@ def _issues() -> str:
     for name, least in (("quantity", 1), ("unit_price", 0), ("revenue", 0)):
         rules.append(issue(f"{name} < {least}", "OUT_OF_RANGE", "error", name,
                            f"format('{name}: {{:g}} is below the documented minimum of {least}', {name}::double)"))
-    for spec in ORDER_SCHEMA:
-        if spec.kind == "category":
-            allowed = ", ".join(sorted(spec.allowed))
-            rules.append(issue(f"{spec.name} IS NOT NULL AND {spec.name}_value IS NULL",
-                               "INVALID_CATEGORY", "error", spec.name,
-                               f"'{spec.name}: ' || {quoted(spec.name)} || "
-                               f"' is not a recognised value (allowed: {allowed})'"))
+    for name, values in ALLOWED.items():
+        rules.append(issue(f"{name} IS NOT NULL AND {name}_value IS NULL", "INVALID_CATEGORY", "error", name,
+                           f"'{name}: ' || {quoted(name)} || ' is not a recognised value (allowed: {', '.join(values)})'"))
     rules.append(issue(f"revenue > {THRESHOLD}", "REVENUE_OUTLIER", "warning", "revenue",
                        f"'revenue exceeds the configured outlier threshold ({THRESHOLD}) - kept, "
                        "but worth a manual review'",
@@ -381,18 +391,18 @@ lists AS (SELECT region, coalesce(string_agg(json, ', ' ORDER BY rank) FILTER (s
   coalesce(string_agg(json, ', ' ORDER BY rank) FILTER (section = 4), '') AS t4 FROM shown GROUP BY region)"""
 NARRATIVES = f"""
 tops AS (SELECT region, count(*) AS n, arg_min(key, rank) AS first_key, arg_min(net, rank) AS first_net,
-  arg_max(key, rank) AS last_key FROM kept3 GROUP BY region),
+  arg_max(key, rank) AS last_key FROM entries WHERE section = 3 GROUP BY region),
 points AS (SELECT region, count(*) AS n, arg_min(key, rank) AS first_key, arg_min(net, rank) AS first_net,
-  arg_max(key, rank) AS last_key, arg_max(net, rank) AS last_net FROM kept2 GROUP BY region),
+  arg_max(key, rank) AS last_key, arg_max(net, rank) AS last_net FROM entries WHERE section = 2 GROUP BY region),
 downs AS (SELECT region, list(key || ' was ' || CASE WHEN net >= 0 THEN 'up ' ELSE 'down ' END
   || ltrim(pct, '-') || '% versus the previous period' ORDER BY rank) AS items
-  FROM kept1 WHERE pct IS NOT NULL GROUP BY region),
+  FROM entries WHERE section = 1 AND pct IS NOT NULL GROUP BY region),
 told AS (SELECT s.region AS scope, 'Over ' || s.period || ' the business recorded a net revenue of ' || net_revenue
   || ' across ' || order_count || ' orders (average order value ' || average_order_value || ').' AS executive_summary,
   list_filter([t.first_key || ' led net revenue with ' || {float_text('t.first_net')},
    CASE WHEN p.n >= 2 THEN 'net revenue moved from ' || {float_text('p.first_net')} || ' in ' || p.first_key
      || ' to ' || {float_text('p.last_net')} || ' in ' || p.last_key END], lambda x: x IS NOT NULL) AS positive_trends,
-  coalesce(d.items[1:5], []) AS negative_trends,
+  coalesce(d.items, []) AS negative_trends,
   CASE WHEN cancellation_rate_pct <> '0.0' THEN ['cancelled or refunded orders accounted for '
     || cancellation_rate_pct || '% of all orders'] ELSE [] END AS watch_items,
   CASE WHEN t.n >= 2 THEN 'protect momentum in ' || t.first_key || ' while reviewing ' || t.last_key
@@ -481,18 +491,9 @@ UNION ALL SELECT 'clean', 6, 'derived_columns_added', 1,
 LOG = f"""read AS (SELECT (SELECT count(*) FROM export) AS rows_read, (SELECT count(*) FROM valid) AS rows_valid,
   (SELECT count(*) FROM checked WHERE is_rejected) AS rows_rejected, (SELECT count(*) FROM kept) AS rows_cleaned,
   (SELECT sum(cents) FILTER (realised) FROM clean)::double / 100 AS net_revenue)"""
-SHOWN = {
-    "date": "strftime(date, '%Y-%m-%d %H:%M:%S')", "quantity": "quantity::varchar",
-    "unit_price": "unit_price", "revenue": "revenue",
-}
-
-
 def shown(name: str) -> str:
-    if name in ("unit_price", "revenue"):
-        return f"coalesce(regexp_replace(regexp_replace({name}::varchar, '0+$', ''), '\\.$', ''), '')"
-    if name in ("date", "quantity"):
-        return f"coalesce({SHOWN[name]}, '')"
-    return f"coalesce(CASE WHEN length({name}) > 80 THEN left({name}, 77) || '...' ELSE {name} END, '')"
+    """Dates and numbers as they were written, other cells normalised; whole texts."""
+    return f"coalesce({name if name in TEXTS else name + '_text'}, '')"
 
 
 _REASON_RANK = """CASE code WHEN 'INVALID_DATE' THEN 1 WHEN 'INVALID_INTEGER' THEN 2 WHEN 'INVALID_NUMBER' THEN 3
@@ -527,7 +528,7 @@ SECTION_ROWS = f"""paragraphs AS (SELECT scope, 0 AS section_position, 'Status'
   ['generated', 'interpretation generated from the deterministic KPI output'] AS items FROM told UNION ALL
 SELECT scope, 1, 'Executive summary', [executive_summary] FROM told UNION ALL
 SELECT scope, 2, 'Positive trends', list_transform(positive_trends, lambda x: '- ' || x) FROM told UNION ALL
-SELECT scope, 3, 'Negative trends', list_transform(negative_trends, lambda x: '- ' || x) FROM told UNION ALL
+SELECT scope, 3, 'Negative trends', list_transform(negative_trends[1:5], lambda x: '- ' || x) FROM told UNION ALL
 SELECT scope, 4, 'Items requiring attention', list_transform(watch_items, lambda x: '- ' || x) FROM told UNION ALL
 SELECT scope, 5, 'Management summary', [management_summary] FROM told UNION ALL
 SELECT scope, 6, 'Number check', ['no unverified figures detected in the AI narrative'] FROM told),
@@ -535,6 +536,7 @@ supplied AS ({SUPPLIED_LINES})
 SELECT scope, section_position, section, unnest(range(0, len(items)))::int AS line, unnest(items) AS text FROM paragraphs
 UNION ALL SELECT scope, 7, 'Metrics supplied to the model', position, line FROM supplied"""
 
+TOTAL_NET = "(SELECT net FROM sets WHERE dimension = 'overall')"
 ORACLE: dict[str, str] = {
     "grid_ragged_pad": f"WITH {LINES} SELECT source_row, " + ", ".join(
         f'CASE WHEN l_linenumber >= {i} THEN {value}::varchar END AS "{name}"'
@@ -582,9 +584,12 @@ ORACLE: dict[str, str] = {
         for n, kind in (("date", "date"), ("quantity", "integer"), ("unit_price", "numeric"), ("revenue", "numeric"))),
     "fill_defaults": f"WITH {RAW} SELECT source_row, coalesce({norm('customer')}, 'Unknown Customer') AS customer FROM raw",
     "recompute_revenue": f"{BASE} SELECT source_row, revenue::double AS given, computed::double AS revenue FROM valid",
-    "schema_gate": """SELECT 'complete' AS input, 'ok' AS outcome UNION ALL SELECT 'no quantity',
-      'required column(s) missing from the source data: quantity, status' UNION ALL SELECT 'no rows',
-      'the source range contains no data rows (only a header row was found)'""",
+    "schema_gate": f"""WITH {RAW}, counted AS (SELECT 'complete' AS input, count(*) AS n, '' AS missing FROM raw
+      UNION ALL SELECT 'no quantity', count(*), 'quantity, status' FROM raw
+      UNION ALL SELECT 'no rows', count(*), '' FROM raw WHERE source_row < 0)
+      SELECT input, CASE WHEN n = 0 THEN 'the source range contains no data rows (only a header row was found)'
+        WHEN missing <> '' THEN 'required column(s) missing from the source data: ' || missing ELSE 'ok' END AS outcome
+      FROM counted""",
     "issues_long": f"{BASE}, {ISSUES} SELECT * FROM issues",
     "findings": f"{BASE}, {ISSUES}, {FINDINGS} SELECT * FROM findings",
     "rows_with_code": f"{BASE}, {ISSUES} SELECT code, count(*)::bigint AS records FROM issues GROUP BY code",
@@ -620,16 +625,19 @@ ORACLE: dict[str, str] = {
     "clean_orders": f"{BASE} " + CLEAN_TEXT.format(
         cast="", price="unit_price::double", revenue="revenue::double", feedback="feedback"),
     "kpi_overall": f"{BASE}, snap AS ({snapshot()}) SELECT 'All periods' AS label, {FIGURES} FROM snap",
-    "analytics_guard": """SELECT 'complete' AS input, true AS available, 'ok' AS reason
-      UNION ALL SELECT 'no region', false, 'missing column(s): region'""",
+    "analytics_guard": f"""{BASE}, counted AS (SELECT 'complete' AS input, count(*) AS n, '' AS missing FROM clean
+      UNION ALL SELECT 'no region', count(*), 'region' FROM clean
+      UNION ALL SELECT 'nothing valid', count(*), '' FROM clean WHERE source_row < 0)
+      SELECT input, n > 0 AND missing = '' AS available, CASE WHEN missing <> '' THEN 'missing column(s): ' || missing
+        WHEN n = 0 THEN 'no cleaned rows are available' ELSE 'ok' END AS reason FROM counted""",
     "status_distribution": f"""{BASE}, counts AS (SELECT status, count(*)::bigint AS orders FROM clean GROUP BY status)
       SELECT status, orders, {share('orders', '(SELECT sum(orders) FROM counts)')} AS share_pct FROM counts""",
     **{f"by_{n}": f"{BASE}, {dimension(n)} SELECT * FROM metrics" for n in ("product", "category", "region")},
-    "kpi_grouping_sets": f"{BASE}, sets AS (SELECT 'overall' AS dimension, NULL::varchar AS key, {SUMS} FROM clean"
-        + "".join(f" UNION ALL SELECT '{n}', {n}, {SUMS} FROM clean GROUP BY {n}"
+    "kpi_grouping_sets": f"{BASE}, sets AS (SELECT 'overall' AS dimension, NULL::varchar AS key, * FROM ({snapshot()})"
+        + "".join(f" UNION ALL SELECT '{n}', * FROM ({snapshot(n)})"
                   for n in ("product", "category", "region", "order_month", "status"))
-        + f") SELECT dimension, key, order_count, revenue_orders, total_quantity, {amount('gross')} AS gross_revenue,"
-          f" {amount('net')} AS net_revenue FROM sets",
+        + f") SELECT dimension, key, {FIGURES},"
+          f" {share('net', TOTAL_NET)} AS revenue_share_pct FROM sets",
     "trend": f"""{BASE}, months AS (SELECT order_month, {SUMS} FROM clean GROUP BY order_month)
       SELECT order_month, order_count, {amount('net')} AS net_revenue FROM months""",
     "dimension_focus": f"{BASE}, sums AS (" + " UNION ALL ".join(
@@ -680,7 +688,7 @@ ORACLE: dict[str, str] = {
       firsts AS (SELECT doc_id, coalesce(round(try_cast(replace(rtrim(token, '%'), ',', '') AS decimal(38,10)), 2)::double,
         value) AS cut, min(position) AS position FROM loose GROUP BY 1, 2)
       SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY position)::int AS rank, cut AS value
-      FROM firsts QUALIFY rank <= 10""",
+      FROM firsts""",
     "redact_documents": rf"""WITH known AS (SELECT doc_id, replace(text, 'secret', '***') AS text FROM documents),
       bearer AS (SELECT doc_id, regexp_replace(text, '(?i)bearer{SPACE}+[A-Za-z0-9._\-]{{4,}}', 'Bearer ***', 'g') AS text FROM known)
       SELECT doc_id, regexp_replace(text, '(^|[^\p{{L}}\p{{N}}_])sk-(?:[A-Za-z0-9._\-]{{5,}}[A-Za-z0-9_])', '\1***', 'g') AS text FROM bearer""",
@@ -696,19 +704,71 @@ ORACLE: dict[str, str] = {
       array_to_string(negative_trends, '; ') AS negative_trends,
       array_to_string(watch_items, '; ') AS watch_items, management_summary FROM told""",
     "insights_rows": f"{BASE}, {DIGEST}, {NARRATIVES}, {SECTION_ROWS}",
-    "parse_model_json": """SELECT conv_id, turn, CASE (conv_id + turn) % 5 WHEN 3 THEN 'embedded' WHEN 4 THEN 'failed'
-      ELSE 'json' END AS parse_status, CASE WHEN (conv_id + turn) % 5 < 4 THEN text END AS text,
-      CASE WHEN (conv_id + turn) % 5 = 4 THEN 'the AI response is not valid JSON ('
-        || length(trim('Sorry, ' || regexp_replace(text, '[\\{\\}\\[\\]]', '', 'g'), ' ' || chr(10) || chr(13) || chr(9)))
-        || ' char(s) starting with letter)' END AS parse_detail FROM conversations""",
-    "extract_chat_text": """SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN 'ok' WHEN 1 THEN 'ok'
-      WHEN 2 THEN 'empty' WHEN 3 THEN 'provider_error' WHEN 4 THEN 'no_choices' ELSE 'not_json' END AS outcome,
-      CASE (conv_id + turn) % 6 WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'end' END AS reply,
-      CASE (conv_id + turn) % 6 WHEN 2 THEN 'the output budget was used up before an answer was written'
+    "parse_model_json": """WITH shaped AS (SELECT *, (conv_id + turn) % 11 AS shape FROM conversations),
+      failed AS (SELECT conv_id, turn, CASE shape
+        WHEN 4 THEN length(trim('Sorry, ' || regexp_replace(text, '[\\{\\}\\[\\]]', '', 'g'),
+                                ' ' || chr(10) || chr(13) || chr(9))) || ' char(s) starting with letter'
+        WHEN 5 THEN (3000 + turn) || ' char(s) starting with ' || chr(39) || '[' || chr(39)
+        WHEN 7 THEN length('x {"a": NaN} y') || ' char(s) starting with letter'
+        WHEN 8 THEN length('1] junk') || ' char(s) starting with digit' END AS kind FROM shaped)
+      SELECT s.conv_id, s.turn, CASE WHEN f.kind IS NOT NULL THEN 'failed' WHEN shape IN (3, 6, 9, 10) THEN 'embedded'
+        ELSE 'json' END AS parse_status,
+        CASE WHEN shape IN (0, 1, 2, 3, 6, 10) THEN text END AS text,
+        'the AI response is not valid JSON (' || f.kind || ')' AS parse_detail
+      FROM shaped s JOIN failed f USING (conv_id, turn)""",
+    "extract_chat_text": """WITH shaped AS (SELECT *, (conv_id + turn) % 8 AS shape FROM conversations)
+      SELECT conv_id, turn, CASE WHEN shape IN (0, 1, 6, 7) THEN 'ok' WHEN shape = 2 THEN 'empty'
+        WHEN shape = 3 THEN 'provider_error' WHEN shape = 4 THEN 'no_choices' ELSE 'not_json' END AS outcome,
+      CASE shape WHEN 0 THEN text WHEN 1 THEN text || chr(10) || 'end' WHEN 7 THEN text
+        WHEN 6 THEN text || chr(10) || array_to_string(list_transform(range(5), lambda x: 'level ' || x), chr(10)) END AS reply,
+      CASE shape WHEN 2 THEN 'the output budget was used up before an answer was written'
         WHEN 3 THEN 'model not found | code=404' END AS detail,
-      CASE WHEN (conv_id + turn) % 6 < 2 THEN 'stop' WHEN (conv_id + turn) % 6 = 2 THEN 'length' END AS finish_reason,
-      CASE WHEN (conv_id + turn) % 6 < 3 THEN turn END AS prompt_tokens FROM conversations""",
-    "incremental_quality": f"""{BASE} SELECT (SELECT count(*) FROM raw) AS rows_read,
-      (SELECT count(*) FROM valid) AS rows_valid, (SELECT count(*) FROM checked WHERE is_rejected) AS rows_rejected,
-      (SELECT count(*) FROM kept) AS rows_cleaned""",
+      CASE WHEN shape IN (0, 1, 6, 7) THEN 'stop' WHEN shape = 2 THEN 'length' END AS finish_reason,
+      CASE WHEN shape IN (0, 1, 2, 6, 7) THEN turn END AS prompt_tokens,
+      CASE WHEN shape IN (0, 1, 2, 6, 7) THEN turn + 1 END AS reasoning_tokens FROM shaped""",
+    "incremental_quality": f"""{BASE}, {ISSUES}, arrived AS (SELECT * FROM valid
+        QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY source_row % 3, source_row) = 1)
+      SELECT 'clean' AS kind, source_row::varchar AS item, 1::bigint AS records FROM arrived
+      UNION ALL SELECT 'rejected', source_row::varchar, 1 FROM checked WHERE is_rejected
+      UNION ALL SELECT 'findings', code || ' ' || severity || ' ' || "column", count(*) FROM issues
+        GROUP BY code, severity, "column"
+      UNION ALL SELECT 'actions', 'duplicate_orders_removed', (SELECT count(*) FROM valid) - (SELECT count(*) FROM arrived)
+      UNION ALL SELECT 'run_log', 'rows_read', count(*) FROM raw""",
+    "csv_grid": """WITH a AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) + count(*) FILTER (s_suppkey % 5 = 0)
+          OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS place FROM supplier),
+      size AS (SELECT (SELECT count(*) + count(*) FILTER (s_suppkey % 5 = 0) FROM supplier) AS a,
+        (SELECT count(*) FROM customer) AS b)
+      SELECT 1 + place AS source_row, s_suppkey::varchar AS "Supplier", s_nationkey::varchar AS "Nation",
+        s_name || chr(10) || s_suppkey AS "Note", NULL::varchar AS extra_column_4, NULL::varchar AS "Buyer",
+        NULL::varchar AS extra_column_3 FROM a
+      UNION ALL SELECT 2 + place, NULL, NULL, NULL, NULL, NULL, NULL FROM a WHERE s_suppkey % 5 = 0
+      UNION ALL SELECT 1 + size.a + row_number() OVER (ORDER BY c_custkey), (c_custkey % 100)::varchar, NULL,
+        'say "' || c_name || '", ok', CASE WHEN c_custkey % 7 = 0 THEN 'over' END, c_custkey::varchar, NULL
+        FROM customer, size
+      UNION ALL SELECT 1 + size.a + size.b + row_number() OVER (ORDER BY n_nationkey), n_nationkey::varchar, n_name,
+        NULL, NULL, NULL, NULL FROM nation, size""",
+    "classify_keywords": f"""WITH rules(rule, category, keyword) AS (VALUES (1, 'complaint', 'idiot'),
+        (2, 'complaint', 'worthless'), (3, 'complaint', 'pathetic'), (4, 'delivery_feedback', 'license'),
+        (4, 'delivery_feedback', 'rights'), (5, 'product_feedback', 'und'), (6, 'neutral', 'the'),
+        (7, 'positive', 'la'), (7, 'negative', 'la')),
+      said AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'))) AS word
+        FROM documents WHERE NOT {blank('text')}),
+      hits AS (SELECT doc_id, rule, category FROM said JOIN rules ON word = keyword
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rule, category) = 1)
+      SELECT doc_id, category, CASE WHEN rule IS NULL THEN 'unclassified' ELSE 'classified' END AS classification
+      FROM documents LEFT JOIN hits USING (doc_id) WHERE NOT {blank('text')}""",
+    "interpret_function": f"""{BASE} SELECT DISTINCT region AS scope, 'generated' AS status,
+      'interpretation generated from the deterministic KPI output' AS status_detail,
+      'The digest is complete.' AS executive_summary, 'a; b' AS watch_items, 0::int AS positive_trends FROM clean""",
+    "feedback_report": f"""{BASE}, lab AS (SELECT CASE WHEN length(feedback) < 500 THEN 'neutral'
+        WHEN length(feedback) < 5000 THEN 'complaint' END AS category FROM clean WHERE feedback IS NOT NULL)
+      SELECT 'status' AS part, CASE WHEN count(*) = 0 THEN 'skipped' ELSE 'generated' END AS category,
+        count(*)::bigint AS records FROM lab
+      UNION ALL SELECT 'summary', category, count(*) FROM lab GROUP BY category
+      UNION ALL SELECT 'records', category, count(*) FROM lab WHERE category IS NOT NULL GROUP BY category""",
+    "action_records": f"""{FULL} SELECT 'blank_rows_dropped' AS action, count(*)::bigint AS records FROM export
+        WHERE {' AND '.join(blank(name) for name in COLUMNS)}
+      UNION ALL SELECT 'duplicate_orders_removed', count(*) FROM later UNION ALL SELECT 'no_such_action', 0""",
+    "report_placeholder": f"""{BASE} SELECT NULL::bigint AS source_row, 'no records were rejected' AS reason
+      UNION ALL SELECT count(*), 'rows with a reason' FROM checked WHERE is_rejected""",
 }

@@ -27,13 +27,21 @@ class QualityRun:
     mapping: HeaderMapping
     schema: Schema
     policy: QualityPolicy
-    kept: DataFrame | None = None  # checked rows that were persisted or written
+    kept: DataFrame | None = None  # audited rows that were persisted or written
+
+    @cached_property
+    def audit(self) -> DataFrame:
+        """All rows, blank ones included: typed and checked, and what preparation changed in them."""
+        if self.kept is not None:
+            return self.kept
+        cells = prepare.audited(self.source, self.schema)
+        return validate.check_rows(prepare.coerce(cells, self.schema), self.schema)
 
     @cached_property
     def checked(self) -> DataFrame:
         """Typed rows without the blank ones, with source texts and ``is_rejected``."""
         if self.kept is not None:
-            return self.kept
+            return self.kept.where(~F.col(prepare.BLANK)).drop(prepare.BLANK, prepare.SPACES)
         prepared = prepare.prepare(self.source, self.schema)
         return validate.check_rows(prepare.coerce(prepared, self.schema), self.schema)
 
@@ -65,7 +73,7 @@ class QualityRun:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return validate.findings(self.issues)
+        return validate.findings(self.checked, self.schema, self.policy)
 
     @cached_property
     def rejected(self) -> DataFrame:
@@ -77,25 +85,22 @@ class QualityRun:
 
     @cached_property
     def actions(self) -> DataFrame:
-        return clean.preparation_actions(self.source, self.schema, self.mapping).unionByName(
+        return clean.preparation_actions(self.audit, self.schema, self.mapping).unionByName(
             clean.cleaning_actions(self.checked, self.schema, self.policy)
         )
 
     def persist(self) -> QualityRun:
-        """Keep the checked rows on the executors (lost blocks are recomputed)."""
-        return replace(self, kept=self.checked.persist(StorageLevel.MEMORY_AND_DISK))
-
-    def unpersist(self) -> None:
-        self.checked.unpersist()
+        """Keep the audited rows on the executors (lost blocks are recomputed)."""
+        return replace(self, kept=self.audit.persist(StorageLevel.MEMORY_AND_DISK))
 
     def written(self, folder: str) -> QualityRun:
-        """Write the checked rows to a shared folder and go on from that table.
+        """Write the audited rows to a shared folder and go on from that table.
 
         For large inputs: parsing is done once, later outputs scan only their
         columns, and a lost executor re-reads files instead of the raw export.
         """
-        self.checked.write.mode("overwrite").parquet(folder)
-        return replace(self, kept=self.checked.sparkSession.read.parquet(folder))
+        self.audit.write.mode("overwrite").parquet(folder)
+        return replace(self, kept=self.audit.sparkSession.read.parquet(folder))
 
 
 def run_quality(
@@ -118,11 +123,7 @@ def run_quality(
 
 def quality_metrics(run: QualityRun) -> DataFrame:
     """The eleven labelled counts of the quality report, in order."""
-    source = run.source
-    blank = source.agg(
-        F.count("*").alias("rows_read"),
-        F.count_if(~prepare.any_cell(source)).alias("blank_rows"),
-    )
+    blank = run.audit.agg(F.count("*").alias("rows_read"), F.count_if(prepare.BLANK).alias("blank_rows"))
     names = run.summary.columns + blank.columns
     both = run.summary.unionByName(blank, allowMissingColumns=True)
     totals = both.agg(*[F.max(name).alias(name) for name in names])

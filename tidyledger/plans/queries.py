@@ -31,7 +31,7 @@ from tidyledger.schema import (
     DataQualityError,
     QualityPolicy,
 )
-from tidyledger.session import shared_folder, stored, tune
+from tidyledger.session import shared_folder, stored
 from tidyledger.sources import grid, sinks, tables
 from tidyledger.streaming import incremental
 
@@ -46,11 +46,7 @@ QUERIES: dict[str, Query] = {}
 
 def query(function: Query) -> Query:
     """Register a query under its function name."""
-
-    def tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return function(tune(spark), sf_dir)
-
-    QUERIES[function.__name__] = tuned
+    QUERIES[function.__name__] = function
     return function
 
 
@@ -60,7 +56,7 @@ def _run(spark: SparkSession, sf_dir: str, feedback: bool = False, blanks: bool
 
 
 def _written(spark: SparkSession, sf_dir: str, blanks: bool = False) -> quality.QualityRun:
-    """A run whose parsed rows are written first, for results that scan them more than once."""
+    """A run whose audited rows are written first, for results that scan them several times."""
     return _run(spark, sf_dir, blanks=blanks).written(shared_folder(spark, "checked"))
 
 
@@ -89,6 +85,30 @@ def grid_ragged_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.grid_frame(ragged, ["Order", None, "Supplier", "N/A"])
 
 
+@query
+def csv_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three CSV files with their own column order, blank lines, and line breaks within cells."""
+    root = shared_folder(spark, "csv")
+    supplier = tables.read_table(spark, sf_dir, "supplier")
+    customer = tables.read_table(spark, sf_dir, "customer")
+    nation = tables.read_table(spark, sf_dir, "nation")
+    files = {
+        "a": (supplier, "s_suppkey", "Supplier,Nation,Note",
+              F.concat(F.col("s_suppkey"), F.lit(","), F.col("s_nationkey"), F.lit(',"'), F.col("s_name"),
+                       F.lit("\n"), F.col("s_suppkey"), F.lit('"'),
+                       F.when(F.col("s_suppkey") % 5 == 0, "\n").otherwise(""))),
+        "b": (customer, "c_custkey", "Note,Buyer,Supplier",
+              F.concat(F.lit('"say ""'), F.col("c_name"), F.lit('"", ok",'), F.col("c_custkey"), F.lit(","),
+                       F.col("c_custkey") % 100, F.when(F.col("c_custkey") % 7 == 0, ",over").otherwise(""))),
+        "c": (nation, "n_nationkey", "Nation,Supplier", F.concat(F.col("n_name"), F.lit(","), F.col("n_nationkey"))),
+    }
+    for name, (rows, key, header, line) in files.items():
+        start = spark.range(1).select(F.lit(None).cast("bigint").alias("o"), F.lit(header).alias("value"))
+        text = start.unionByName(rows.select(F.col(key).cast("bigint").alias("o"), line.alias("value")))
+        text.coalesce(1).sortWithinPartitions(F.asc_nulls_first("o")).select("value").write.text(f"{root}/{name}")
+    return grid.read_csv_grid(spark, f"{root}/*")
+
+
 @query
 def source_row_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = grid.read_numbered_parquet(spark, f"{sf_dir}/lineitem.parquet")
@@ -123,8 +143,8 @@ def run_log_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "run-log")
     log = tables.read_table(spark, sf_dir, "events")
     sinks.append_run_log(log, folder)
-    trimmed = spark.read.parquet(sinks.trim_run_log(spark, folder, 500, ("ts", "event_id")))
-    return trimmed.select("event_id", "user_id", "event_type", "value")
+    sinks.trim_run_log(spark, folder, 500, ("ts", "event_id"))
+    return sinks.read_run_log(spark, folder).select("event_id", "user_id", "event_type", "value")
 
 
 LOG_DETAILS = {
@@ -305,7 +325,7 @@ def schema_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def issues_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, sf_dir).issues
+    return _run(spark, sf_dir).issues
 
 
 @query
@@ -335,7 +355,7 @@ def revenue_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def duplicate_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.duplicate_issues(_written(spark, sf_dir).checked, POLICY).select(
+    return validate.duplicate_issues(_run(spark, sf_dir).checked, POLICY).select(
         SOURCE_ROW, "message", "example"
     )
 
@@ -347,7 +367,7 @@ def duplicate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def duplicate_order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    valid = validate.valid_rows(_written(spark, sf_dir).checked, [SOURCE_ROW, "order_id"])
+    valid = validate.valid_rows(_run(spark, sf_dir).checked, [SOURCE_ROW, "order_id"])
     return dedupe.duplicated_rows(valid, "order_id").select(SOURCE_ROW, "order_id")
 
 
@@ -371,7 +391,7 @@ def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def valid_rows_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checked = _written(spark, sf_dir).checked
+    checked = _run(spark, sf_dir).checked
     quarantine = validate.rejected_rows(checked, [SOURCE_ROW])
     rows = checked.select(SOURCE_ROW, "order_id", "product")
     return clean.exclude_rows(rows, quarantine)
@@ -379,17 +399,17 @@ def valid_rows_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def partition_invariant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.partition_difference(_written(spark, sf_dir, blanks=True))
+    return quality.partition_difference(_run(spark, sf_dir, blanks=True))
 
 
 @query
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _written(spark, sf_dir, blanks=True).summary
+    return _run(spark, sf_dir, blanks=True).summary
 
 
 @query
 def summary_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validate.summary_lines(_written(spark, sf_dir, blanks=True).summary)
+    return validate.summary_lines(_run(spark, sf_dir, blanks=True).summary)
 
 
 @query
@@ -446,9 +466,14 @@ def kpi_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def analytics_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _clean(spark, sf_dir, *kpi.ANALYTICS_COLUMNS)
-    cases = {"complete": rows, "no region": rows.drop("region")}
-    outcomes = [(name, *kpi.analytics_available(case)) for name, case in cases.items()]
+    run = _run(spark, sf_dir)
+    rows, valid = run.clean_columns(list(kpi.ANALYTICS_COLUMNS)), validate.valid_rows(run.complete, [SOURCE_ROW])
+    cases = {
+        "complete": (rows, valid),
+        "no region": (rows.drop("region"), valid),
+        "nothing valid": (rows, valid.filter("source_row < 0")),
+    }
+    outcomes = [(name, *kpi.analytics_available(*case)) for name, case in cases.items()]
     return spark.createDataFrame(outcomes, "input string, available boolean, reason string")
 
 
@@ -475,7 +500,7 @@ def by_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kpi_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     dimensions = ["product", "category", "region", ORDER_MONTH]
-    rows = _clean(spark, sf_dir, *dimensions, *MONEY)
+    rows = _clean(spark, sf_dir, *dimensions, "date", "customer", *MONEY)
     return kpi.multi_dimension(rows, [*dimensions, "status"])
 
 
@@ -555,6 +580,26 @@ def classify_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified.select("doc_id", "category", "classification")
 
 
+KEYWORD_RULES = [
+    (1, "complaint", "idiot"),
+    (2, "complaint", "worthless"),
+    (3, "complaint", "pathetic"),
+    (4, "delivery_feedback", "license"),
+    (4, "delivery_feedback", "rights"),
+    (5, "product_feedback", "und"),
+    (6, "neutral", "the"),
+    (7, "positive", "la"),
+    (7, "negative", "la"),
+]
+
+
+@query
+def classify_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(KEYWORD_RULES, "rule int, category string, keyword string")
+    found = classify.classify_keywords(_documents(spark, sf_dir), "doc_id", "text", rules)
+    return found.select("doc_id", "category", "classification")
+
+
 @query
 def classification_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     classified = classify.classify_text(_documents(spark, sf_dir), "text", _by_length())
@@ -629,20 +674,78 @@ def narrate_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def insights_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     digests = stored(_digests(spark, sf_dir), "digests")
-    return report.insight_rows(digests, facts.interpret(digests))
+    return report.insight_rows(digests, report.report_insights(digests))
+
+
+def _writer() -> facts.Writer:
+    """A stand-in model: it answers with the size of the digest, in prose around JSON."""
+
+    def write(digest: str) -> str:
+        found = '{"executive_summary": "The digest is complete.", "watch_items": [" a ", "", "b"], "positive_trends": "x"}'
+        return f"Here: {found} - done" if digest.startswith("{") else "no"
+
+    return write
 
 
+@query
+def interpret_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    insights = stored(facts.interpret(_digests(spark, sf_dir), _writer()), "insights")
+    return insights.select(
+        facts.SCOPE,
+        "status",
+        "status_detail",
+        "executive_summary",
+        F.array_join("watch_items", "; ").alias("watch_items"),
+        F.size("positive_trends").alias("positive_trends"),
+    )
+
+
+@query
+def feedback_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _run(spark, sf_dir, feedback=True).clean_columns([SOURCE_ROW, "order_id", "feedback"])
+    labelled = stored(classify.classify_text(rows, "feedback", _by_length()), "labelled")
+    status = classify.classification_status(labelled)
+    summary = classify.classification_summary(labelled)
+    records = report.feedback_table(labelled)
+    return (
+        status.select(F.lit("status").alias("part"), F.col("status").alias("category"), F.col("texts").alias("records"))
+        .unionByName(summary.select(F.lit("summary").alias("part"), "category", "records"))
+        .unionByName(records.groupBy("category").agg(F.count("*").alias("records")).withColumn("part", F.lit("records")))
+    )
+
+
+@query
+def action_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actions = stored(_written(spark, sf_dir, blanks=True).actions, "actions")
+    names = ["blank_rows_dropped", "duplicate_orders_removed", "no_such_action"]
+    counted = [clean.action_records(actions, name).withColumn("action", F.lit(name)) for name in names]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query
+def report_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rejected = report.rejected_table(_run(spark, sf_dir)).select(SOURCE_ROW, "reason")
+    nothing = report.or_placeholder(rejected.filter("reason = ''"), report.NOTHING["rejected"])
+    some = report.or_placeholder(rejected, report.NOTHING["rejected"]).groupBy().agg(F.count("*").alias(SOURCE_ROW))
+    return nothing.unionByName(some.withColumn("reason", F.lit("rows with a reason")))
+
 def _wrapped_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn as a model reply of one of five shapes."""
+    """Every turn as a model reply of one of eleven shapes."""
     said = tables.read_table(spark, sf_dir, "conversations")
     body = F.to_json(F.struct(F.col("text").alias("text"), F.col("turn").alias("turn")))
-    shape = (F.col("conv_id") + F.col("turn")) % 5
+    shape = (F.col("conv_id") + F.col("turn")) % 11
     trailing = F.concat(F.substring(body, F.lit(1), F.length(body) - 1), F.lit(", }"))
     reply = (
         F.when(shape == 0, body)
         .when(shape == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
         .when(shape == 2, trailing)
         .when(shape == 3, F.concat(F.lit("Here you are: "), body, F.lit(" - anything else?")))
+        .when(shape == 5, F.repeat(F.lit("["), 3000 + F.col("turn")))
+        .when(shape == 6, F.concat(F.lit("see ["), F.repeat(F.lit("x"), F.lit(10)), F.lit("] or "), body))
+        .when(shape == 7, F.concat(F.lit('x {"a": NaN} '), F.lit("y")))
+        .when(shape == 8, F.lit("1] junk"))
+        .when(shape == 9, F.concat(F.lit('{"a":1}] tail ["'), F.lit("")))
+        .when(shape == 10, F.concat(body, F.lit(", "), body))
         .otherwise(F.concat(F.lit("Sorry, "), F.translate("text", "{}[]", "")))
     )
     return tables.spread(said, "conv_id").select("conv_id", "turn", reply.alias("reply"))
@@ -661,10 +764,13 @@ def parse_model_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as logged chat payloads of six shapes."""
+    """Conversation turns as logged chat payloads of eight shapes."""
     said = tables.spread(tables.read_table(spark, sf_dir, "conversations"), "conv_id")
     quoted = F.to_json(F.struct(F.col("text").alias("text")))
-    usage = F.concat(F.lit(', "usage": {"prompt_tokens": '), F.col("turn"), F.lit("}"))
+    usage = F.concat(
+        F.lit(', "usage": {"prompt_tokens": '), F.col("turn"),
+        F.lit(', "completion_tokens_details": {"reasoning_tokens": '), F.col("turn") + 1, F.lit("}}"),
+    )
 
     def message(content, reason: str):
         return F.concat(
@@ -673,13 +779,18 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     text_only = F.substring(quoted, F.lit(9), F.length(quoted) - 9)
-    shape = (F.col("conv_id") + F.col("turn")) % 6
+    deep = text_only
+    for level in range(5):
+        deep = F.concat(F.lit('[{"content": '), deep, F.lit(f'}}, "level {level}"]'))
+    shape = (F.col("conv_id") + F.col("turn")) % 8
     payload = (
         F.when(shape == 0, message(text_only, "stop"))
         .when(shape == 1, message(F.concat(F.lit('[{"type": "image"}, '), quoted, F.lit(', "end"]')), "stop"))
         .when(shape == 2, message(F.lit("null"), "length"))
         .when(shape == 3, F.lit('{"error": {"message": "model not found", "code": 404}}'))
         .when(shape == 4, F.lit('{"choices": []}'))
+        .when(shape == 6, message(deep, "stop"))
+        .when(shape == 7, message(F.concat(F.lit('{"value": ['), quoted, F.lit("]}")), "stop"))
         .otherwise(F.concat(F.lit("<html>"), F.col("role")))
     )
     return said.select("conv_id", "turn", payload.alias("payload"))
@@ -689,7 +800,7 @@ def _payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def extract_chat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted = replies.extract_chat_text(_payloads(spark, sf_dir), "payload")
     return extracted.select(
-        "conv_id", "turn", "outcome", "reply", "detail", "finish_reason", "prompt_tokens"
+        "conv_id", "turn", "outcome", "reply", "detail", "finish_reason", "prompt_tokens", "reasoning_tokens"
     )
 
 
@@ -698,13 +809,31 @@ def extract_chat_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 @query
 def incremental_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three arrivals of rows, one run after each."""
     root = shared_folder(spark, "incremental")
-    arrivals = f"{root}/arrivals"
+    arrivals, out = f"{root}/arrivals", f"{root}/out"
     raw = tables.raw_orders(spark, sf_dir, feedback=False)
-    raw.repartition(4, SOURCE_ROW).write.parquet(arrivals)
     headers = tuple(name for name in raw.columns if name != SOURCE_ROW)
-    stream = incremental.read_raw_stream(spark, arrivals, headers, files_per_batch=2)
-    incremental.incremental_quality(stream, f"{root}/out", policy=POLICY).awaitTermination()
-    log = incremental.batch_table(spark, incremental.output(f"{root}/out", "run_log"))
-    names = ("rows_read", "rows_valid", "rows_rejected", "rows_cleaned")
-    return log.agg(*[F.sum(name).alias(name) for name in names])
+    for part in range(3):
+        raw.filter(F.col(SOURCE_ROW) % 3 == part).write.mode("append").parquet(arrivals)
+        stream = incremental.read_raw_stream(spark, arrivals, headers)
+        incremental.incremental_quality(stream, out, policy=POLICY)
+
+    def rows(name: str) -> DataFrame:
+        return incremental.batch_table(spark, incremental.output(out, name))
+
+    def ids(name: str) -> DataFrame:
+        return rows(name).select(F.lit(name).alias("kind"), F.col(SOURCE_ROW).cast("string").alias("item"),
+                                 F.lit(1).cast("bigint").alias("records"))
+
+    found = rows("findings").groupBy(F.concat_ws(" ", "code", "severity", "column").alias("item")).agg(
+        F.sum("records").alias("records"))
+    removed = rows("actions").filter("action = 'duplicate_orders_removed'").groupBy("action").agg(
+        F.sum("records").alias("records"))
+    log = rows("run_log").agg(F.sum("rows_read").alias("records"))
+    return (
+        ids("clean").unionByName(ids("rejected"))
+        .unionByName(found.withColumn("kind", F.lit("findings")))
+        .unionByName(removed.select(F.lit("actions").alias("kind"), F.col("action").alias("item"), "records"))
+        .unionByName(log.select(F.lit("run_log").alias("kind"), F.lit("rows_read").alias("item"), "records"))
+    )

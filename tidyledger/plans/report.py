@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.functions.cells import short_number
+from tidyledger.functions.cells import display_value, short_number
 from tidyledger.functions.texts import chunk_text
 from tidyledger.operators import classify, facts, kpi, numbercheck
 from tidyledger.operators.clean import export_order
 from tidyledger.plans.quality import QualityRun, quality_metrics
 from tidyledger.schema import ORDER_MONTH, SOURCE_ROW
-from tidyledger.sources.sinks import write_tables
 
 # ---------------------------------------------------------------------------
 # Labels, section titles and columns of the report tables.
@@ -77,6 +76,8 @@ RUN_LOG_COLUMNS = (
     "ai_status",
     "message",
 )
+# How much of the lists a report shows; the operators have no limits of their own.
+LIST_ITEMS, ITEM_CHARS, LISTED_NUMBERS, LISTED_CHANGES = 8, 300, 10, 5
 NOTHING = {
     "findings": {"code": "none", "records": 0, "message": "no validation findings"},
     "rejected": {"reason": "no records were rejected"},
@@ -103,12 +104,31 @@ def or_placeholder(table: DataFrame, values: dict[str, object]) -> DataFrame:
 
 
 def rejected_table(run: QualityRun) -> DataFrame:
-    """Quarantine as flat text: source row, order id, codes and reasons."""
+    """Quarantine as flat text: source row, order id, codes, reasons and the cells, shortened for display."""
     return run.rejected.select(
         SOURCE_ROW,
         F.coalesce("order_id", F.lit("")).alias("order_id"),
         F.array_join("codes", ", ").alias("codes"),
         F.array_join("reasons", "; ").alias("reason"),
+        F.to_json(F.transform_values("values", lambda _, cell: display_value(cell))).alias("record"),
+    )
+
+
+def report_insights(digests: DataFrame, fn: facts.Writer | None = None) -> DataFrame:
+    """Insight records with lists as long as a report shows them."""
+    return facts.interpret(
+        digests, fn, most_items=LIST_ITEMS, item_chars=ITEM_CHARS, most_changes=LISTED_CHANGES
+    )
+
+
+def insight_status(insights: DataFrame) -> DataFrame:
+    """One row: ``failed`` if a record failed, else ``generated`` if there is one, else ``skipped``."""
+    status = F.col("status")
+    return insights.agg(
+        F.when(F.count_if(status == "failed") > 0, "failed")
+        .when(F.count_if(status == "generated") > 0, "generated")
+        .otherwise("skipped")
+        .alias("ai_status")
     )
 
 
@@ -220,7 +240,7 @@ def unverified_by_scope(digests: DataFrame, insights: DataFrame) -> DataFrame:
     loose = numbers.filter(
         numbercheck.needs_check(F.col("value")) & ~F.exists("values", near)
     ).drop("values", "token")
-    return numbercheck.first_distinct(loose, facts.SCOPE)
+    return numbercheck.first_distinct(loose, facts.SCOPE, LISTED_NUMBERS)
 
 
 def feedback_table(classified: DataFrame) -> DataFrame:
@@ -236,7 +256,7 @@ def run_log_row(run: QualityRun, clean: DataFrame, details: dict[str, object]) -
         F.col("rejected_rows").alias("rows_rejected"),
         (F.col("valid_rows") - F.col("duplicate_rows")).alias("rows_cleaned"),
     )
-    read = run.source.agg(F.count("*").alias("rows_read"))
+    read = run.audit.agg(F.count("*").alias("rows_read"))
     net = clean.agg(
         F.coalesce(F.sum(F.when(kpi.revenue_bearing(), F.col("revenue"))), F.lit(0))
         .cast("double")
@@ -265,7 +285,10 @@ def run_summary(log_row: DataFrame, extra: dict[str, str], tables: list[str]) ->
 
 def build_report(run: QualityRun, clean: DataFrame, digests: DataFrame, insights: DataFrame,
                  classified: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All report tables by name; the run log is appended separately."""
+    """All report tables by name; the run log is appended separately.
+
+    Several tables use the digests, insights and classified rows: pass written tables.
+    """
     tables = {
         "Clean_Data": clean_table(export_order(clean)),
         "Data_Quality": quality_metrics(run),
@@ -285,7 +308,3 @@ def build_report(run: QualityRun, clean: DataFrame, digests: DataFrame, insights
         tables["Feedback_Summary"] = classify.classification_summary(classified)
         tables["Feedback_Analysis"] = feedback_table(classified)
     return tables
-
-
-def write_report(tables: dict[str, DataFrame], folder: str, kind: str = "csv") -> list[str]:
-    return write_tables(tables, folder, kind)

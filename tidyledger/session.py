@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings the plans rely on.  All of them are runtime settings, so they also
-# fit a session somebody else has built.
+# Settings of a session built here.  A session somebody else has built is left alone;
+# these are the ones to choose there as well.
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -21,11 +24,8 @@ SETTINGS = {
 }
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Apply the settings to a session that somebody else has built."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
-    return spark
+# Set to "true" where small tables are single files and many cores wait for them.
+SPREAD = "spark.tidyledger.spread"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -37,27 +37,39 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        .config(SPREAD, "true")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
 
+LOCAL = re.compile(r"local(\[[^\]]*\])?")  # not local-cluster: its executors are processes
+
+
 @cache
 def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    folder = tempfile.mkdtemp(prefix="run-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete an intermediate table of a run that has ended."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for a written intermediate table.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``.  Only a
-    local session, where driver and tasks share one disk, may fall back to a
-    temporary folder of the machine.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``.  Only where
+    that is unset and driver and tasks are one process, as in tests, it lies in a
+    temporary folder that goes with the session's process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not LOCAL.fullmatch(spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = _local_folder()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import itertools
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -14,7 +15,6 @@ from tidyledger.schema import SOURCE_ROW, Schema, header_key
 from tidyledger.session import ensure_checkpoint_folder
 
 FIRST_DATA_ROW = 2
-BROADCAST_FILES = 100_000
 
 
 # ---------------------------------------------------------------------------
@@ -27,8 +27,7 @@ def read_numbered_parquet(
 
     The number is the row's index in its file plus the rows of the files before
     it.  Both come from file metadata, so a recomputed task gets the same
-    numbers and rows are not shuffled.  One count per file is broadcast, up to a
-    limit on the number of files.
+    numbers.  There is one count for each file; Spark joins it by its measured size.
     """
     data = spark.read.parquet(path)
     place = data.select(
@@ -36,19 +35,10 @@ def read_numbered_parquet(
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.row_index").alias("_index"),
     )
-    if len(data.inputFiles()) <= 1:
-        numbered = place.withColumn(SOURCE_ROW, F.col("_index") + first_row)
-    else:
-        files = place.groupBy("_file").agg((F.max("_index") + 1).alias("_rows"))
-        before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = files.select(
-            "_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
-        )
-        if len(data.inputFiles()) <= BROADCAST_FILES:
-            offsets = F.broadcast(offsets)
-        numbered = place.join(offsets, "_file").withColumn(
-            SOURCE_ROW, F.col("_index") + F.col("_before") + first_row
-        )
+    files = place.groupBy("_file").agg((F.max("_index") + 1).alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    numbered = place.join(offsets, "_file").withColumn(SOURCE_ROW, F.col("_index") + F.col("_before") + first_row)
     return numbered.select(SOURCE_ROW, *data.columns)
 
 
@@ -70,7 +60,7 @@ def with_source_row(df: DataFrame, first_row: int = FIRST_DATA_ROW) -> DataFrame
         "_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before")
     )
     place = F.col("_id").bitwiseAND((1 << local_bits) - 1)
-    numbered = staged.join(F.broadcast(offsets), "_part")
+    numbered = staged.join(offsets, "_part")
     return numbered.select(
         (place + F.col("_before") + first_row).alias(SOURCE_ROW), *df.columns
     )
@@ -121,30 +111,125 @@ def grid_from_values(spark: SparkSession, values: Sequence[Sequence[object] | No
     return grid_frame(frame, kept[0], width)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines with their file, split and number in the file, and one row for each split.
+
+    A split's lines are in order within its task, so a line's number follows from its
+    place there and the lines of the splits before, however the file was split.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_place"),
+        (F.length("value") - F.length(F.replace("value", F.lit('"')))).alias("_quotes"),
+    )
+    splits = lines.groupBy("_file", "_block").agg(
+        F.count("*").alias("_n"),
+        F.sum("_quotes").alias("_split_quotes"),
+        F.count_if(F.col("_quotes") % 2 == 1).alias("_odd"),
+        F.min("_place").alias("_first"),
+    )
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select(
+        "_file",
+        "_block",
+        "_first",
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_lines_before"),
+        F.coalesce(F.sum("_split_quotes").over(earlier), F.lit(0)).alias("_quotes_before"),
+        (F.sum("_odd").over(Window.partitionBy("_file")) > 0).alias("_broken"),
+    )
+    numbered = lines.join(splits, ["_file", "_block"])
+    return numbered.withColumn("_line", F.col("_lines_before") + F.col("_place") - F.col("_first")), splits
+
+
+def csv_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(_file, _ordinal, value)``: the records of CSV files, line breaks within quotes included.
+
+    A file in which every line closes its quotes has one record for each line and is not
+    shuffled.  In other files a line starts a record if the quotes before it are closed;
+    the lines of a record are put together again, also across splits.  A quote that is
+    never closed makes the rest of its file one record.
+    """
+    lines, _ = _numbered_lines(spark, path)
+    whole = lines.where("NOT _broken").select("_file", F.col("_line").alias("_ordinal"), "value")
+    in_split = Window.partitionBy("_file", "_block").orderBy("_line")
+    before = in_split.rowsBetween(Window.unboundedPreceding, -1)
+    broken = lines.where("_broken").withColumn(
+        "_open", F.col("_quotes_before") + F.coalesce(F.sum("_quotes").over(before), F.lit(0))
+    )
+    broken = broken.withColumn("_starts", (F.col("_open") % 2 == 0).cast("long"))
+    broken = broken.withColumn("_rank", F.sum("_starts").over(in_split))
+    counts = broken.groupBy("_file", "_block").agg(F.sum("_starts").alias("_records"))
+    earlier = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        "_file", "_block", F.coalesce(F.sum("_records").over(earlier), F.lit(0)).alias("_records_before")
+    )
+    parts = broken.join(counts, ["_file", "_block"]).groupBy(
+        "_file", (F.col("_records_before") + F.col("_rank") - 1).alias("_ordinal")
+    )
+    joined = F.array_sort(F.collect_list(F.struct("_line", "value")))
+    together = parts.agg(F.array_join(F.transform(joined, lambda x: x["value"]), "\n").alias("value"))
+    return whole.unionByName(together)
+
+
 def read_csv_grid(
-    spark: SparkSession, path: str, width: int | None = None, separator: str = ","
+    spark: SparkSession,
+    path: str,
+    width: int | None = None,
+    separator: str = ",",
+    schema: Schema | None = None,
 ) -> DataFrame:
-    """Read ragged CSV exports (one record per line), all cells as strings.
+    """Read ragged CSV exports, all cells as strings, numbered over all files by path.
 
-    The first line of every file is its header; the names come from the first
-    file.  Cells past the header are kept: the width is the largest number of
-    separators outside quotes, counted in one pass over the lines.
+    The first record of a file that is not blank is its header.  Columns are matched by
+    header, not by place, so files may order them differently; with a ``schema`` also by
+    its spellings, and the result has its names.  Cells past a header are kept.  Blank
+    records stay (as empty rows) and count as rows.  The distinct headers are read by
+    the driver, one for each layout of the files.
     """
-    lines = spark.read.text(path)
-    files = sorted(lines.inputFiles())
-    start = spark.read.text(files[0]).filter("_metadata.file_block_start = 0") if files else None
-    header_line = start.first() if start is not None else None
-    if header_line is None:
+    records = csv_records(spark, path)
+    first = F.min(F.when(F.trim("value") != "", F.struct("_ordinal", "value")))
+    files = records.groupBy("_file").agg((F.max("_ordinal") + 1).alias("_records"), first.alias("_head"))
+    files = files.where("_head IS NOT NULL").select(
+        "_file", "_records", F.col("_head._ordinal").alias("_head_at"), F.col("_head.value").alias("_header")
+    )
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.withColumn(
+        "_before", F.coalesce(F.sum(F.col("_records") - F.col("_head_at") - 1).over(before), F.lit(0))
+    )
+    layouts = files.groupBy("_header").agg(F.min("_file").alias("_file")).orderBy("_file").collect()
+    if not layouts:
         raise ValueError(f"{path} contains no data")
     if width is None:
         bare = F.regexp_replace("value", '"[^"]*"', "")
-        width = lines.agg(F.max(F.length(bare) - F.length(F.replace(bare, F.lit(separator))) + 1))
-        width = width.first()[0]
-    reader = spark.read.option("sep", separator).option("escape", '"')
-    schema = ", ".join(f"c{i} string" for i in range(1, width + 1))
-    names = next(csv.reader([header_line[0]], delimiter=separator))
-    data = reader.option("header", True).option("enforceSchema", True).csv(path, schema=schema)
-    return with_source_row(data.toDF(*grid_headers(names, width)))
+        cells = F.length(bare) - F.length(F.replace(bare, F.lit(separator))) + 1
+        width = records.agg(F.max(cells)).first()[0]
+    places: dict[tuple[str, int], dict[str, int]] = {}
+    for layout in layouts:
+        names = grid_headers(next(csv.reader([layout["_header"]], delimiter=separator)), width)
+        if schema is not None:
+            names = [name for _, name in plan_headers(names, schema).names]
+        seen: dict[str, int] = {}
+        for place, name in enumerate(names):
+            seen[name] = seen.get(name, 0) + 1
+            places.setdefault((name, seen[name]), {})[layout["_header"]] = place
+    fields = ", ".join(f"c{i} string" for i in range(1, width + 1))
+    row = F.from_csv("value", fields, {"sep": separator, "escape": '"'})
+    data = records.join(files, "_file").where("_ordinal > _head_at")
+    data = data.select(
+        (F.col("_ordinal") - F.col("_head_at") - 1 + F.col("_before") + FIRST_DATA_ROW).alias(SOURCE_ROW),
+        "_header",
+        row.alias("_row"),
+    )
+    array = F.array(*[F.col("_row")[f"c{i}"] for i in range(1, width + 1)])
+    columns = []
+    for found in places.values():
+        of_layout = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])
+        place = F.try_element_at(of_layout, F.col("_header"))
+        columns.append(F.when(place.isNotNull(), F.get(array, place)))
+    named = [column.alias(f"_{k}") for k, column in enumerate(columns)]
+    return data.select(SOURCE_ROW, *named).toDF(SOURCE_ROW, *[name for name, _ in places])
 
 
 # ---------------------------------------------------------------------------
@@ -160,25 +245,31 @@ class HeaderMapping:
 
 
 def plan_headers(headers: Sequence[str], schema: Schema) -> HeaderMapping:
-    """Match headers to schema columns; the first match wins, others are kept in snake case."""
-    known: dict[str, str] = {}
+    """Give every schema column the first header that spells it; the other headers keep a plain name."""
+    keys = [header_key(header) for header in headers]
+    names: dict[int, str] = {}
     for spec in schema:
-        for spelling in (spec.name, *spec.headers):
-            known.setdefault(header_key(spelling), spec.name)
-    taken: set[str] = set()
-    names, recognised, retained = [], [], []
-    for position, header in enumerate(headers, start=1):
-        name = known.get(header_key(header))
-        if name is None or name in taken:
-            retained.append(header)
-            name = header_key(header) or f"unnamed_column_{position}"
-            while name in taken:
-                name += "_2"
-        elif name != header:
-            recognised.append((header, name))
-        taken.add(name)
-        names.append((header, name))
-    return HeaderMapping(tuple(names), tuple(recognised), tuple(retained))
+        spellings = {header_key(text) for text in (spec.name, *spec.headers)}
+        matching = (place for place, key in enumerate(keys) if key in spellings and place not in names)
+        place = next(matching, None)
+        if place is not None:
+            names[place] = spec.name
+    others = [place for place in range(len(headers)) if place not in names]
+    used = set(names.values())
+    for place in others:
+        plain = keys[place] or f"unnamed_column_{place + 1}"
+        tries = itertools.accumulate(itertools.repeat("_2"), initial=plain)
+        names[place] = next(name for name in tries if name not in used)
+        used.add(names[place])
+    return HeaderMapping(
+        names=tuple((header, names[place]) for place, header in enumerate(headers)),
+        recognised=tuple(
+            (header, names[place])
+            for place, header in enumerate(headers)
+            if place not in others and header != names[place]
+        ),
+        retained=tuple(headers[place] for place in others),
+    )
 
 
 def map_headers(df: DataFrame, schema: Schema) -> tuple[DataFrame, HeaderMapping]:

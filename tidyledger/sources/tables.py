@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyledger.schema import SOURCE_ROW
+from tidyledger.session import SPREAD
 from tidyledger.sources.grid import read_numbered_parquet
 
 EXPORT_HEADERS = (
@@ -77,13 +78,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input has fewer files than the session has cores.
+    """Deal rows over the cores if the session asks for it (see ``session.SPREAD``).
 
-    A small table often is a single row group, which one task would parse alone.
-    Large inputs have many files and are left as they are, without a shuffle.
+    Only for tables that are a single row group, as on a developer's machine; a cluster
+    leaves the setting off, and nothing is shuffled.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+    if df.sparkSession.conf.get(SPREAD, "false") != "true":
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def raw_orders(spark: SparkSession, sf_dir: str, feedback: bool = True) -> DataFrame:
