@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+import inspect
+from collections.abc import Callable, Iterator
+from functools import cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +32,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame, purpose: str) -> DataFrame:
+    """:func:`stored`, and the shuffle files that led to the table may go.
+
+    Spark deletes the files of a shuffle once the driver has collected the plan as
+    garbage, which a driver with little work may put off; so it is asked to.
+    """
+    result = stored(df, purpose)
+    del df
+    gc.collect()
+    result.sparkSession._jvm.System.gc()
+    return result
+
+
+@cache
+def _trim():
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release() -> None:
+    """Give freed memory back to the system: an idle Python worker shares the executor's with others."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+def thrifty(run: Callable) -> Callable:
+    """A function for ``mapInArrow`` or ``applyInArrow`` that gives its memory back when it ends."""
+    if inspect.isgeneratorfunction(run):
+
+        @wraps(run)
+        def over_parts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from run(parts)
+            release()
+
+        return over_parts
+
+    @wraps(run)
+    def over_group(group: pa.Table) -> pa.Table:
+        result = run(group)
+        release()
+        return result
+
+    return over_group
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts and the offset of each text; null counts as empty."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
     places = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     if data is None or not len(column):
@@ -160,7 +214,7 @@ def local_forest(edges: DataFrame) -> DataFrame:
                 [pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], names=["a", "b"]
             )
 
-    return edges.select("a", "b").mapInArrow(run, "a long, b long")
+    return edges.select("a", "b").mapInArrow(thrifty(run), "a long, b long")
 
 
 def components(edges: DataFrame, purpose: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import blocks, mix, shingle_hashes, text_bytes, word_hashes
+from tidyledger.llm.common import blocks, mix, shingle_hashes, text_bytes, thrifty, word_hashes
 from tidyledger.llm.filters import Membership, membership
 from tidyledger.session import stored
 
@@ -77,7 +77,7 @@ def read_items(items: DataFrame, id_column: str, text_column: str, words: int =
         F.xxhash64(id_column, text_column).alias("item"),
         F.col(text_column).alias("text"),
     )
-    return rows.mapInArrow(run, f"item_id {kind}, item long, size int, print long, shingles binary")
+    return rows.mapInArrow(thrifty(run), f"item_id {kind}, item long, size int, print long, shingles binary")
 
 
 def _windows(rows: DataFrame, known: Membership, sizes: list[int], words: int, percent: int) -> DataFrame:
@@ -120,7 +120,7 @@ def _windows(rows: DataFrame, known: Membership, sizes: list[int], words: int, p
                 yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc_id", "size", "start", "print", "shingles"])
 
     schema = f"key long, doc_id {dict(rows.dtypes)['doc_id']}, size int, start int, print long, shingles binary"
-    return rows.select("key", "text", "doc_id").mapInArrow(run, schema)
+    return rows.select("key", "text", "doc_id").mapInArrow(thrifty(run), schema)
 
 
 def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -145,7 +145,7 @@ def _verified(pairs: DataFrame, percent: int) -> DataFrame:
             yield batch.filter(good)
 
     return pairs.select("key", "item", "start", "shingles", "item_shingles").mapInArrow(
-        run, "key long, item long, start int, similarity double"
+        thrifty(run), "key long, item long, start int, similarity double"
     )
 
 
@@ -185,7 +185,7 @@ def find_items(
                 both = np.concatenate((own, _sized(own, size)))
                 yield pa.RecordBatch.from_arrays([pa.array(both.view(np.int64))], names=["value"])
 
-    known = membership(read.select("size", "shingles").mapInArrow(members, "value long"))
+    known = membership(read.select("size", "shingles").mapInArrow(thrifty(members), "value long"))
     rows = docs.select(
         F.xxhash64(id_column, text_column).alias("key"), F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")
     )

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import mix
+from tidyledger.llm.common import mix, thrifty
 from tidyledger.session import stored
 
 BUCKET_KEYS = 200_000  # digests of one bucket, on average
@@ -46,7 +46,7 @@ def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
             )
 
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, "id long, digest binary")
+    return chosen.mapInArrow(thrifty(run), "id long, digest binary")
 
 
 def _place(keys: np.ndarray, level: int, places: int) -> np.ndarray:
@@ -179,7 +179,7 @@ def exact_duplicates(
     grouped = grouped.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
     index = stored(
         grouped.where("old").groupBy("bucket").applyInArrow(
-            _index, "bucket int, places array<int>, bits binary, slots binary"
+            thrifty(_index), "bucket int, places array<int>, bits binary, slots binary"
         ),
         "exact-index",
     )

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import mix
+from tidyledger.llm.common import mix, thrifty
 
 MOST_BITS = 1 << 27  # 16 MB, whatever the number of members; a fuller map only lets more strangers pass
 CHUNK_BITS = 1 << 20
@@ -65,8 +65,8 @@ def membership(values: DataFrame, most_bits: int = MOST_BITS) -> Membership:
             }
         )
 
-    places = values.select(F.col(values.columns[0]).cast("long")).dropna().mapInArrow(run, "chunk int, place long")
-    chunks = places.distinct().groupBy("chunk").applyInArrow(fill, "chunk int, packed binary")
+    places = values.select(F.col(values.columns[0]).cast("long")).dropna().mapInArrow(thrifty(run), "chunk int, place long")
+    chunks = places.distinct().groupBy("chunk").applyInArrow(thrifty(fill), "chunk int, packed binary")
     packed = np.zeros(bits // 8, np.uint8)
     for row in chunks.toLocalIterator():
         at = row["chunk"] * (CHUNK_BITS // 8)

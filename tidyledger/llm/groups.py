@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyledger.llm.common import thrifty
 from tidyledger.session import stored
 
 GROUP = 512  # members that one task compares with each other
@@ -72,7 +73,7 @@ def _compare(rows: DataFrame, keys: list[str], columns: list[str], compare: Comp
             yield from emit(group)
 
     ordered = rows.repartition(*keys).sortWithinPartitions(*keys, F.desc("left"))
-    return ordered.select("node", "left", *columns, *keys).mapInArrow(run, "a long, b long")
+    return ordered.select("node", "left", *columns, *keys).mapInArrow(thrifty(run), "a long, b long")
 
 
 def group_links(members: DataFrame, groups: DataFrame, compare: Compare, purpose: str, group: int = GROUP) -> DataFrame:

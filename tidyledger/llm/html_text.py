@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidyledger.llm.common import thrifty
 from tidyledger.session import stored
 
 LEAST_SHARE = 0.1  # of a host's votes that a winning path needs
@@ -234,7 +235,7 @@ def read_pages(pages: DataFrame, id_column: str = "page_id", url: str = "url", h
         F.col(id_column).alias("page_id"), F.col(url).alias("url"), _host(url).alias("host"), F.col(html).alias("html")
     )
     return rows.mapInArrow(
-        run,
+        thrifty(run),
         f"page_id {kind}, url string, host string, paths array<string>, parents array<int>, scores array<double>, "
         "at array<int>, texts array<string>, best string, votes long",
     )
@@ -283,4 +284,4 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html
             )
 
     kind = dict(pages.dtypes)[id_column]
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return rows.mapInArrow(thrifty(run), f"page_id {kind}, url string, text string, n_chars long")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import blocks, components, local_forest, mix, shingle_hashes, text_bytes, word_hashes
+from tidyledger.llm.common import blocks, components, local_forest, mix, shingle_hashes, text_bytes, thrifty, word_hashes
 from tidyledger.llm.groups import GROUP, Forest, group_links
 from tidyledger.session import stored
 
@@ -81,7 +81,7 @@ def _facts(docs: DataFrame, size: int) -> DataFrame:
                 columns = [part.column(0), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(classes))]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "class"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, class long")
+    return docs.mapInArrow(thrifty(run), "doc_id long, n long, class long")
 
 
 def _six(values: np.ndarray) -> bytes:
@@ -146,7 +146,7 @@ def _fragments(docs: DataFrame, count: int, size: int) -> DataFrame:
         if postings:
             yield from send(kept)
 
-    return docs.select("text").mapInArrow(run, "fragment int, segments binary, grams binary")
+    return docs.select("text").mapInArrow(thrifty(run), "fragment int, segments binary, grams binary")
 
 
 def _count_fragment(buckets: int):
@@ -296,11 +296,11 @@ def jaccard_components(
     total = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     count = total // fragment_bytes + 1
     shared = _fragments(rows, count, size).groupBy("fragment").applyInArrow(
-        _count_fragment(count), "bucket int, segments binary, grams binary, often binary"
+        thrifty(_count_fragment(count)), "bucket int, segments binary, grams binary, often binary"
     )
     sets = stored(
         shared.groupBy("bucket").applyInArrow(
-            _survivors(percent), "class long, n long, tokens binary, prefix array<long>"
+            thrifty(_survivors(percent)), "class long, n long, tokens binary, prefix array<long>"
         ),
         "jaccard-sets",
     )

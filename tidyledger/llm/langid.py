@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from tidyledger.llm.common import blocks, text_bytes
+from tidyledger.llm.common import blocks, text_bytes, thrifty
 
 UNDETERMINED = "und"
 SAMPLE_ROWS = 64
@@ -216,4 +216,4 @@ def identify(
                 names=[*part.schema.names, "lang_pred", "score"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(thrifty(run), schema)

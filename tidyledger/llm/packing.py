@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidyledger.llm.common import thrifty
 from tidyledger.session import stored
 
 CAPACITY = 2048
@@ -96,7 +97,7 @@ def pieces(
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(thrifty(run), schema)
 
 
 def _fill(gap: int, counts: dict[int, int]) -> dict[int, int]:
@@ -194,6 +195,6 @@ def pack(
             )
 
     return ranked.mapInArrow(
-        run,
+        thrifty(run),
         "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )

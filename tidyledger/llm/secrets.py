@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidyledger.llm.common import thrifty
+
 KINDS = ("assign", "access", "hex")
 # The three patterns and the least length of what they find.
 ASSIGN = re.compile(
@@ -218,5 +220,5 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
 
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return chosen.mapInArrow(
-        run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+        thrifty(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     )

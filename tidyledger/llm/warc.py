@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidyledger.llm.common import thrifty
 from tidyledger.session import shared_folder, stored
 
 LEAST_REVISIT_BYTES = 100  # smaller payloads are stored again
@@ -81,7 +82,7 @@ def write_arc(pages: DataFrame, folder: str) -> None:
             yield _lines(out)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    lines = rows.mapInArrow(run, "value string")
+    lines = rows.mapInArrow(thrifty(run), "value string")
     # Each value ends with the line feed that separates ARC records.
     lines.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
@@ -118,7 +119,7 @@ def _records(
 
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.strip().split(" ")[1]] for x in schema.split(",")]
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(thrifty(run), schema)
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -245,7 +246,7 @@ def convert(spark: SparkSession, arc: str, folder: str, least_bytes: int = LEAST
         "payload_bytes",
         "original",
     )
-    lines = whole.mapInArrow(run, "value string")
+    lines = whole.mapInArrow(thrifty(run), "value string")
     lines.write.option("lineSep", "\n").option("compression", "gzip").text(folder)
 
 
