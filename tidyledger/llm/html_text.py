@@ -185,13 +185,13 @@ class Page:
 
 
 def choose(paths: list[str], scores: list[float], winners: list[str]) -> str:
-    """The best of the host's winning paths that the page has, else the path of its best container."""
+    """The first of the host's winning paths that the page has, else the path of its best container."""
     sums: dict[str, float] = {}
     for path, score in zip(paths, scores, strict=True):
         sums[path] = sums.get(path, 0.0) + score
-    known = [path for path in winners if sums.get(path, 0.0) > 0]
-    if known:
-        return max(known, key=lambda path: sums[path])
+    for path in winners:
+        if sums.get(path, 0.0) > 0:
+            return path
     return paths[max(range(len(scores)), key=lambda k: (scores[k], -k))]
 
 

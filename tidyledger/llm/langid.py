@@ -64,9 +64,11 @@ def _symbols(points: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tup
 
 
 def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
-    """Transition table ``[state * size + symbol]``: 2 * (next state * size) + 1 if a phrase ends here.
+    """Transition table ``[state * size + symbol]``: 2 * (next state * size), and 1 more if a phrase starts.
 
-    A symbol that does not continue any substring starts a new phrase at the root.
+    A symbol that does not continue any substring starts a phrase as if from the root.  In
+    the last state, where every text begins and which follows a letter that the sample has
+    not (symbol 0, a phrase of its own), each symbol starts one.
     """
     link, length, moves = [-1], [0], [{}]
     last = 0
@@ -93,10 +95,11 @@ def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    root = np.ones(size, np.int64)
+    begin = len(link)
+    fresh = np.full(size, 2 * begin * size + 1, np.int64)
     for c, to in moves[0].items():
-        root[c] = 2 * to * size + 1
-    table = np.tile(root, (len(link), 1))
+        fresh[c] = 2 * to * size + 1
+    table = np.tile(fresh, (begin + 1, 1))
     for state, own in enumerate(moves):
         for c, to in own.items():
             table[state, c] = 2 * to * size
@@ -105,7 +108,7 @@ def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
 
 @cache
 def _model(samples: tuple[tuple[str, str], ...]):
-    """(symbol of each code point, tables, bits of a pointer) for ``(language, sample text)``."""
+    """(symbol of each code point, number of symbols, tables, bits of a pointer) for ``(language, sample text)``."""
     points, offsets = _points(pa.array([text for _, text in samples], pa.string()))
     known = np.unique(points[_letters()[points]])
     symbol = np.where(_letters(), 0, SEPARATOR).astype(np.uint16)
@@ -113,11 +116,13 @@ def _model(samples: tuple[tuple[str, str], ...]):
     found, ends = _symbols(points, offsets, symbol)
     size = len(known) + SEPARATOR + 1
     tables = [suffix_automaton(found[a:b], size) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return symbol, tables, np.log2(np.maximum(np.diff(ends), 2))
+    return symbol, size, tables, np.log2(np.maximum(np.diff(ends), 2))
 
 
-def phrases(found: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
-    """Phrases of each text for each language, ``[text, language]``."""
+def phrases(
+    found: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], size: int, window: int = WINDOW
+) -> np.ndarray:
+    """Phrases of each text for each language, ``[text, language]``; ``size`` is the number of symbols."""
     sizes = np.diff(offsets)
     counts = -(-sizes // window)
     owner = np.repeat(np.arange(len(sizes)), counts)
@@ -127,19 +132,18 @@ def phrases(found: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], wi
     order = np.argsort(-lengths, kind="stable")
     starts, lengths, owner = starts[order], lengths[order], owner[order]
     active = np.searchsorted(-lengths, -np.arange(window), "left") if len(lengths) else []
-    # The first character always starts a phrase; it is counted as the end of one.
-    states = [np.zeros(len(starts), x.dtype) for x in tables]
-    ended = [np.ones(len(starts), np.int32) for _ in tables]
+    states = [np.full(len(starts), 2 * (len(x) - size), x.dtype) for x in tables]
+    begun = [np.zeros(len(starts), np.int32) for _ in tables]
     for step in range(int(lengths[0]) if len(lengths) else 0):
         n = active[step]
         symbol = found[starts[:n] + step]
-        for table, state, end in zip(tables, states, ended, strict=True):
+        for table, state, count in zip(tables, states, begun, strict=True):
             moved = table.take((state[:n] >> 1) + symbol)
             state[:n] = moved
-            end[:n] += moved.astype(np.int32) & 1
+            count[:n] += moved.astype(np.int32) & 1
     out = np.zeros((len(sizes), len(tables)))
-    for k, end in enumerate(ended):
-        out[:, k] = np.bincount(owner, weights=end, minlength=len(sizes))
+    for k, count in enumerate(begun):
+        out[:, k] = np.bincount(owner, weights=count, minlength=len(sizes))
     return out
 
 
@@ -193,7 +197,7 @@ def identify(
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
-        symbol, tables, bits = _model(samples) if samples else (None, [], np.zeros(0))
+        symbol, size, tables, bits = _model(samples) if samples else (None, 0, [], np.zeros(0))
         for part in parts:
             winner = np.full(part.num_rows, len(samples))
             score = np.zeros(part.num_rows)
@@ -206,7 +210,7 @@ def identify(
                 if not len(real) or not tables:
                     continue
                 found, ends = _symbols(points, ends, symbol)
-                cost = phrases(found, ends, tables)[real] * bits
+                cost = phrases(found, ends, tables, size)[real] * bits
                 best = cost.argmin(1)
                 ranked = np.sort(cost, axis=1)
                 winner[a + real] = best
