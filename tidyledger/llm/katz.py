@@ -35,14 +35,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import blocks, mix, text_bytes, word_hashes
+from tidyledger.llm.common import blocks, mix, settled, text_bytes, thrifty, word_hashes
 from tidyledger.session import stored
 
 DISCOUNTED = 5  # counts up to this one are discounted by Good-Turing
 LARGE = 0.999  # share that larger counts keep, so that every context can back off
-PART_BYTES = 64 << 20  # of text, for one part
-STEP_TOKENS = 2_000_000  # tokens of a part that are counted at a time
-SEND_TOKENS = 2_000_000  # tokens that a task gathers before it sends them
+PART_BYTES = 24 << 20  # of text, for one part
+STEP_TOKENS = 300_000  # tokens of a part that are counted at a time
+SEND_TOKENS = 1_000_000  # tokens that a task gathers before it sends them
 HOT_WORDS = 1 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D0)  # fixed values: the marks' places among the hashes
 START = np.uint64(0x57A57A57A57A57A5)
@@ -87,7 +87,7 @@ def _facts(rows: DataFrame) -> DataFrame:
                     [part.column(0), part.column(2), keys, sizes], names=["id", "learn", "key", "n_tokens"]
                 )
 
-    return rows.mapInArrow(run, "id long, learn boolean, key long, n_tokens long")
+    return rows.mapInArrow(thrifty(run), "id long, learn boolean, key long, n_tokens long")
 
 
 def _range(words: np.ndarray, count: int) -> np.ndarray:
@@ -100,8 +100,26 @@ def _range(words: np.ndarray, count: int) -> np.ndarray:
 def _word_counts(rows: DataFrame, parts_of: int) -> DataFrame:
     """``(part, words, counts)`` of each task's training tokens."""
 
-    def send(kept: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        words, counts = np.unique(np.concatenate(kept), return_counts=True)
+    def counted(kept: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        words, of = np.unique(np.concatenate([x for x, _ in kept]), return_inverse=True)
+        return words, np.bincount(of, np.concatenate([n for _, n in kept]), len(words)).astype(np.int64)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, size = [], 0
+        for part in parts:
+            for _, learn, sizes, words, _ in _tokens(part):
+                kept.append(np.unique(words[np.repeat(learn, sizes)], return_counts=True))
+                size += len(kept[-1][0])
+                if size >= SEND_TOKENS:
+                    kept = [counted(kept)]
+                    size = len(kept[0][0])
+                if size >= SEND_TOKENS // 2 and len(kept) == 1:
+                    yield from send(*kept.pop())
+                    size = 0
+        if kept:
+            yield from send(*counted(kept))
+
+    def send(words: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         part = _range(words, parts_of)
         for k in np.unique(part):
             a, b = np.searchsorted(part, [k, k + 1])
@@ -111,19 +129,7 @@ def _word_counts(rows: DataFrame, parts_of: int) -> DataFrame:
                 [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["part", "words", "counts"]
             )
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, size = [], 0
-        for part in parts:
-            for _, learn, sizes, words, _ in _tokens(part):
-                kept.append(words[np.repeat(learn, sizes)])
-                size += len(kept[-1])
-                if size >= SEND_TOKENS:
-                    yield from send(kept)
-                    kept, size = [], 0
-        if size:
-            yield from send(kept)
-
-    return rows.mapInArrow(run, "part int, words binary, counts binary")
+    return rows.mapInArrow(thrifty(run), "part int, words binary, counts binary")
 
 
 def _unigrams(least: int):
@@ -229,15 +235,18 @@ def _pairs(rows: DataFrame, parts_of: int, hot: np.ndarray, shares: np.ndarray)
     def send(kept: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys, learn = (np.concatenate([x[k] for x in kept]) for k in (0, 1))
         words, contexts = (np.concatenate([x[k] for x in kept]) for k in (3, 4))
-        row = np.repeat(np.arange(len(keys)), np.concatenate([x[2] for x in kept]))
-        contexts = contexts >> _CONTEXT
-        part = _range(words, parts_of)
+        row = np.repeat(np.arange(len(keys), dtype=np.uint32), np.concatenate([x[2] for x in kept]))
+        kept.clear()
+        contexts >>= _CONTEXT
+        part = _range(words, parts_of).astype(np.uint32)
         if len(hot):
             at = np.minimum(np.searchsorted(hot, words), len(hot) - 1)
             mine = hot[at] == words
             part[mine] = firsts[at[mine]] + (mix(contexts[mine]) % shares[at[mine]].astype(np.uint64)).astype(np.int64)
         order = np.lexsort((contexts, words, part))
-        part, words, contexts, row = part[order], words[order], contexts[order], row[order]
+        part, words = part[order], words[order]
+        contexts, row = contexts[order], row[order]
+        del order
         for k in np.unique(part):
             a, b = np.searchsorted(part, [k, k + 1])
             word, context, own = words[a:b], contexts[a:b], row[a:b]
@@ -271,7 +280,7 @@ def _pairs(rows: DataFrame, parts_of: int, hot: np.ndarray, shares: np.ndarray)
         if size:
             yield from send(kept)
 
-    return rows.mapInArrow(run, "part int, " + ", ".join(f"{x} binary" for x in _PAIRS[1:]))
+    return rows.mapInArrow(thrifty(run), "part int, " + ", ".join(f"{x} binary" for x in _PAIRS[1:]))
 
 
 class _Sent:
@@ -370,7 +379,9 @@ def _count_pairs(words: Words, buckets: int, parts_of: int):
             for r in range(1, DISCOUNTED + 1):
                 link["types"][:, r - 1] = counts == r
             links.append(_merged(link))
+        step = word = context = row = learn = came_word = came_context = value = c12t = kind = None  # noqa: F841
         merged = _merged(np.concatenate(links)) if links else np.zeros(0, _LINK)
+        links.clear()
         frequent = np.isin(merged["context"], words.contexts)
         out += _bucketed("link", merged[~frequent], mix(merged["context"][~frequent]), buckets)
         out += _bucketed("hot", merged[frequent], mix(merged["context"][frequent]), buckets)
@@ -387,13 +398,30 @@ def _count_pairs(words: Words, buckets: int, parts_of: int):
 
 
 def _merged(links: np.ndarray) -> np.ndarray:
-    """One record for each context."""
-    links = links[np.argsort(links["context"], kind="stable")]
-    heads = _heads(links["context"])
-    out = links[heads]
+    """One record for each context; field by field, to save memory."""
+    order = np.argsort(links["context"], kind="stable")
+    context = links["context"][order]
+    heads = _heads(context)
+    out = np.zeros(len(heads), _LINK)
     if len(heads):
+        out["context"] = context[heads]
         for name in ("lower", "large", "types"):
-            out[name] = np.add.reduceat(links[name], heads, axis=0)
+            out[name] = np.add.reduceat(links[name][order], heads, axis=0)
+    return out
+
+
+def _packed(records: np.ndarray) -> bytes:
+    """Records field by field, which compresses well."""
+    return b"".join(np.ascontiguousarray(records[name]).tobytes() for name in records.dtype.names)
+
+
+def _unpacked(raw: pa.Buffer, dtype: np.dtype) -> np.ndarray:
+    out, at = np.empty(len(raw) // dtype.itemsize, dtype), 0
+    for name in dtype.names:
+        kind = dtype[name]
+        size = kind.itemsize * len(out)
+        out[name] = np.frombuffer(raw.slice(at, size), kind.base).reshape(len(out), *kind.shape)
+        at += size
     return out
 
 
@@ -404,7 +432,7 @@ def _bucketed(kind: str, records: np.ndarray, spread: np.ndarray, buckets: int)
     found = []
     for k in np.unique(bucket):
         a, b = np.searchsorted(bucket, [k, k + 1])
-        found.append((kind, int(k), records[a:b].tobytes()))
+        found.append((kind, int(k), _packed(records[a:b])))
     return found
 
 
@@ -413,7 +441,7 @@ def _bucketed(kind: str, records: np.ndarray, spread: np.ndarray, buckets: int)
 # ---------------------------------------------------------------------------
 def _gather(group: pa.Table, kind: str, dtype: np.dtype) -> np.ndarray:
     found = [
-        np.frombuffer(x.as_buffer(), dtype)
+        _unpacked(x.as_buffer(), dtype)
         for x, k in zip(group.column("records"), group.column("kind").to_pylist(), strict=True)
         if k == kind
     ]
@@ -429,7 +457,7 @@ def backoff(links: np.ndarray, discount: np.ndarray) -> np.ndarray:
 
 
 def _hot_links(group: pa.Table) -> pa.Table:
-    return pa.table([pa.array([_merged(_gather(group, "hot", _LINK)).tobytes()], pa.binary())], names=["records"])
+    return pa.table([pa.array([_packed(_merged(_gather(group, "hot", _LINK)))], pa.binary())], names=["records"])
 
 
 def _back_off(discount: np.ndarray, hot: np.ndarray, buckets: int):
@@ -509,10 +537,12 @@ def katz_scores(
     parts_of = size // part_bytes + 1
     part_tokens = max(1, every // parts_of)
     least = max(part_tokens // 2, tokens // HOT_WORDS, 1)
-    counted = _word_counts(rows, parts_of).groupBy("part").applyInArrow(
-        _unigrams(least), "types long, some array<long>, hot_words array<long>, hot_counts array<long>"
+    counted = settled(
+        _word_counts(rows, parts_of).groupBy("part").applyInArrow(
+            thrifty(_unigrams(least)), "types long, some array<long>, hot_words array<long>, hot_counts array<long>"
+        ),
+        "katz-words",
     )
-    counted = stored(counted, "katz-words")
     sums = counted.agg(
         F.sum("types").alias("types"), *[F.sum(F.col("some")[r]).alias(f"n{r}") for r in range(DISCOUNTED + 1)]
     ).first()
@@ -524,22 +554,24 @@ def katz_scores(
     some = [sums[f"n{r}"] or 0 for r in range(DISCOUNTED + 1)]
     words = Words(tokens, sums["types"] or 0, some, texts, hot)
     schema = "kind string, bucket int, records binary, some array<long>"
-    pairs = _pairs(rows, parts_of, hot[0], shares).groupBy("part").applyInArrow(
-        _count_pairs(words, parts_of, parts_of), schema
+    pairs = settled(
+        _pairs(rows, parts_of, hot[0], shares).groupBy("part").applyInArrow(
+            thrifty(_count_pairs(words, parts_of, parts_of)), schema
+        ),
+        "katz-pairs",
     )
-    pairs = stored(pairs, "katz-pairs")
     twos = pairs.where("kind = 'some'").agg(*[F.sum(F.col("some")[r]).alias(f"n{r}") for r in range(DISCOUNTED + 1)])
     discount = discounts([x or 0 for x in twos.first()])
     plain = ["kind", "bucket", "records"]
     schema = "kind string, bucket int, records binary"
-    frequent = pairs.where("kind = 'hot'").select(plain).groupBy("bucket").applyInArrow(_hot_links, "records binary")
-    frequent = [np.frombuffer(x["records"], _LINK) for x in frequent.collect()]
+    frequent = pairs.where("kind = 'hot'").select(plain).groupBy("bucket").applyInArrow(thrifty(_hot_links), "records binary")
+    frequent = [_unpacked(pa.py_buffer(x["records"]), _LINK) for x in frequent.collect()]
     frequent = np.concatenate([np.zeros(0, _LINK), *frequent])
     back = pairs.where("kind IN ('link', 'open')").select(plain).groupBy("bucket").applyInArrow(
-        _back_off(discount, frequent, parts_of), schema
+        thrifty(_back_off(discount, frequent, parts_of)), schema
     )
     total = pairs.where("kind = 'doc'").select(plain).unionByName(back).groupBy("bucket").applyInArrow(
-        _sum_rows(discount), "key long, sum double, base double, known long"
+        thrifty(_sum_rows(discount)), "key long, sum double, base double, known long"
     )
     same = facts.groupBy("key").agg(F.count("*").alias("rows"))
     scores = total.join(same, "key")
