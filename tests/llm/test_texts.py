@@ -356,8 +356,8 @@ def slow_katz(train, texts):
     return out
 
 
-@pytest.mark.parametrize("part_bytes", [1 << 24, 3000])
-def test_katz_against_the_definition(spark, part_bytes):
+@pytest.mark.parametrize("part_bytes,step_tokens", [(1 << 24, 10**6), (3000, 90)])
+def test_katz_against_the_definition(spark, part_bytes, step_tokens):
     rng = np.random.default_rng(7)
     vocabulary = [f"w{k}é" for k in range(150)]
     texts = [None, "", " \n", "the THE the", "x " * 2000, "never seen words here"]
@@ -366,7 +366,7 @@ def test_katz_against_the_definition(spark, part_bytes):
         texts.append(" ".join(vocabulary[k] for k in ranks))
     texts += [texts[10], texts[10].upper(), texts[11]]
     learn = [k % 5 != 0 for k in range(len(texts))]
-    found = katz.katz_scores(frame(spark, texts), F.expr("id % 5 <> 0"), part_bytes=part_bytes)
+    found = katz.katz_scores(frame(spark, texts), F.expr("id % 5 <> 0"), part_bytes=part_bytes, step_tokens=step_tokens)
     rows = {r["id"]: r for r in found.collect()}
     want = slow_katz([t for t, x in zip(texts, learn, strict=True) if x], texts)
     for k, (tokens, known, total, base, score) in enumerate(want):

@@ -40,7 +40,7 @@ from tidyledger.session import stored
 
 DISCOUNTED = 5  # counts up to this one are discounted by Good-Turing
 LARGE = 0.999  # share that larger counts keep, so that every context can back off
-PART_BYTES = 24 << 20  # of text, for one part
+PART_BYTES = 16 << 20  # of text, for one part
 STEP_TOKENS = 300_000  # tokens of a part that are counted at a time
 SEND_TOKENS = 1_000_000  # tokens that a task gathers before it sends them
 HOT_WORDS = 1 << 20
@@ -300,38 +300,47 @@ class _Sent:
         """Pairs (word, context, tokens) and their tokens (row, learned) with words from ``low`` up to ``high``."""
         a = int(np.searchsorted(self.words, np.uint64(low)))
         b = len(self.words) if high >= 2**64 else int(np.searchsorted(self.words, np.uint64(high)))
-        p, q = self.pairs[a], self.pairs[b]
         word = np.repeat(self.words[a:b], np.diff(self.pairs[a : b + 1]))
+        return word, *self._slice(self.pairs[a], self.pairs[b])
+
+    def of_contexts(self, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same for the contexts from ``low`` up to ``high`` of the only word."""
+        p, q = np.searchsorted(_eight(self.contexts), [np.uint64(low), np.uint64(high)])
+        return np.full(q - p, self.words[0]), *self._slice(p, q)
+
+    def _slice(self, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         rows = self.rows[self.runs[p] : self.runs[q]].astype(np.int64)
         contexts = _eight(self.contexts.slice(6 * int(p), 6 * int(q - p)))
-        return word, contexts, np.diff(self.runs[p : q + 1]), rows + self.first, self.learn[rows]
+        return contexts, np.diff(self.runs[p : q + 1]), rows + self.first, self.learn[rows]
 
 
-def _count_pairs(words: Words, buckets: int, parts_of: int):
+def _count_pairs(words: Words, buckets: int, parts_of: int, step_tokens: int):
     """Counts the pairs of a part; sends sums to rows, links to contexts, unseen pairs to their contexts."""
 
-    def run(group: pa.Table) -> pa.Table:
-        sent, total = [], 0
-        for columns in zip(*(group.column(x) for x in _PAIRS[1:]), strict=True):
-            sent.append(_Sent(list(columns), total))
-            total += len(sent[-1].keys)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent, total, part = [], 0, 0
+        for batch in batches:
+            part = batch.column("part")[0].as_py()
+            for columns in zip(*(batch.column(x) for x in _PAIRS[1:]), strict=True):
+                sent.append(_Sent(list(columns), total))
+                total += len(sent[-1].keys)
         keys = np.concatenate([x.keys for x in sent])
         docs = np.zeros(total, _DOC)
         docs["key"] = keys
         some = np.zeros(DISCOUNTED + 1, np.int64)
-        out: list[tuple[str, int, bytes]] = []
         tokens = sum(len(x.rows) for x in sent)
-        part = group.column("part")[0].as_py()
-        # The words of a part lie in one range of hashes, cut into steps of bounded size.
+        # The words of a part lie in one range of hashes, cut into steps of bounded size; so do
+        # the contexts of a hot word.
+        alone = part >= parts_of
         low, high = -(-(part << 64) // parts_of), -(-((part + 1) << 64) // parts_of)
-        if part >= parts_of:
-            low, high = 0, 1 << 64
-        steps = tokens // STEP_TOKENS + 1 if part < parts_of else 1
+        if alone:
+            low, high = 0, 1 << 48
+        steps = tokens // step_tokens + 1
         cuts = [low + (high - low) * k // steps for k in range(steps + 1)]
-        cuts[0], cuts[-1] = 0, 1 << 64
+        cuts[0], cuts[-1] = 0, 1 << (48 if alone else 64)
         links: list[np.ndarray] = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            step = [x.between(a, b) for x in sent]
+            step = [x.of_contexts(a, b) if alone else x.between(a, b) for x in sent]
             word, context, runs, row, learn = (np.concatenate(x) for x in zip(*step, strict=True))
             if not len(word):
                 continue
@@ -342,7 +351,7 @@ def _count_pairs(words: Words, buckets: int, parts_of: int):
             pair_heads, word_heads = _heads(word, context), _heads(word)
             pair_count = np.add.reduceat(learned, pair_heads)
             word_count = np.add.reduceat(learned, word_heads)
-            if part >= parts_of:
+            if alone:
                 word_count[:] = words.hot[1][np.searchsorted(words.hot[0], word[:1])]
             lower = words.probability(word_count)
             of_pair = np.repeat(np.arange(len(pair_heads)), _lengths(pair_heads, len(word)))
@@ -369,7 +378,7 @@ def _count_pairs(words: Words, buckets: int, parts_of: int):
             opened["key"], opened["context"] = keys[row[new]], np.repeat(came_context, runs)[new]
             frequent = np.isin(opened["context"], words.contexts)
             spread = np.where(frequent, opened["key"].view(np.uint64), mix(opened["context"]))
-            out += _bucketed("open", opened, spread, buckets)
+            yield from _emitted(_bucketed("open", opened, spread, buckets), some)
             real = pair_count > 0
             some += np.bincount(pair_count[real & (pair_count <= DISCOUNTED + 1)], minlength=DISCOUNTED + 2)[1:]
             link = np.zeros(int(real.sum()), _LINK)
@@ -383,20 +392,24 @@ def _count_pairs(words: Words, buckets: int, parts_of: int):
         merged = _merged(np.concatenate(links)) if links else np.zeros(0, _LINK)
         links.clear()
         frequent = np.isin(merged["context"], words.contexts)
-        out += _bucketed("link", merged[~frequent], mix(merged["context"][~frequent]), buckets)
-        out += _bucketed("hot", merged[frequent], mix(merged["context"][frequent]), buckets)
-        out += _bucketed("doc", docs, docs["key"].view(np.uint64), buckets)
-        out.append(("some", 0, some.astype("<i8").tobytes()))
-        kinds = [pa.string(), pa.int32(), pa.binary()]
-        columns = list(zip(*out, strict=True))
-        return pa.table(
-            [*[pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], pa.array([some.tolist()] * len(out), pa.list_(pa.int64()))],
-            names=["kind", "bucket", "records", "some"],
-        )
+        yield from _emitted(_bucketed("link", merged[~frequent], mix(merged["context"][~frequent]), buckets), some)
+        yield from _emitted(_bucketed("hot", merged[frequent], mix(merged["context"][frequent]), buckets), some)
+        yield from _emitted(_bucketed("doc", docs, docs["key"].view(np.uint64), buckets), some)
+        yield from _emitted([("some", 0, b"")], some)
 
     return run
 
 
+def _emitted(rows: list[tuple[str, int, bytes]], some: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows with the counts of counts so far (those of the row of kind ``some`` are complete), a few at a time."""
+    kinds = [pa.string(), pa.int32(), pa.binary()]
+    for at in range(0, len(rows), 16):
+        columns = list(zip(*rows[at : at + 16], strict=True))
+        arrays = [pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)]
+        counts = pa.array([some.tolist()] * len(columns[0]), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([*arrays, counts], names=["kind", "bucket", "records", "some"])
+
+
 def _merged(links: np.ndarray) -> np.ndarray:
     """One record for each context; field by field, to save memory."""
     order = np.argsort(links["context"], kind="stable")
@@ -519,6 +532,7 @@ def katz_scores(
     id_column: str = "doc_id",
     text_column: str = "text",
     part_bytes: int = PART_BYTES,
+    step_tokens: int = STEP_TOKENS,
 ) -> DataFrame:
     """``(id, learn, n_tokens, n_known, train_tokens, base_score, score)`` of every row.
 
@@ -556,7 +570,7 @@ def katz_scores(
     schema = "kind string, bucket int, records binary, some array<long>"
     pairs = settled(
         _pairs(rows, parts_of, hot[0], shares).groupBy("part").applyInArrow(
-            thrifty(_count_pairs(words, parts_of, parts_of)), schema
+            thrifty(_count_pairs(words, parts_of, parts_of, step_tokens)), schema
         ),
         "katz-pairs",
     )
