@@ -219,5 +219,6 @@ def identify(
                 [*part.columns, pa.array(languages[winner], pa.string()), pa.array(score)],
                 names=[*part.schema.names, "lang_pred", "score"],
             )
+        _model.cache_clear()  # an idle worker keeps no tables
 
     return docs.mapInArrow(thrifty(run), schema)

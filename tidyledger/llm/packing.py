@@ -95,6 +95,8 @@ def pieces(
                     rows.append((doc, at // 4, len(window) // 4, zlib.crc32(window), len(raw) // 4))
             columns = zip(*rows, strict=True) if rows else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
+        # An idle worker keeps no words; the next task soon knows them again.
+        _encoder(ranks, pattern)[1].clear()
 
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return chosen.mapInArrow(thrifty(run), schema)
