@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidyledger.session import stored
 
-BLOCK_BYTES = 1 << 20  # texts are hashed in blocks of about this size
+BLOCK_BYTES = 1 << 19  # texts are hashed in blocks of about this size
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
 
 _RADIX = np.uint64(0x9E3779B97F4A7C55)  # odd, so it has an inverse modulo 2**64
