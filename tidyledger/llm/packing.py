@@ -30,7 +30,7 @@ from tidyledger.session import stored
 
 CAPACITY = 2048
 END_ID = 1
-CACHED_WORDS = 400_000  # words whose ids a worker remembers
+CACHED_WORDS = 100_000  # words whose ids a worker remembers
 SALT_PIECES = 50_000  # pieces of one length that one task ranks, on average
 _MIXED_SPACE = re.compile(r"^\s| \s|\s |\s$")
 
