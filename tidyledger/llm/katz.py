@@ -41,8 +41,8 @@ from tidyledger.session import stored
 DISCOUNTED = 5  # counts up to this one are discounted by Good-Turing
 LARGE = 0.999  # share that larger counts keep, so that every context can back off
 PART_BYTES = 20 << 20  # of text, for one part
-STEP_TOKENS = 300_000  # tokens of a part that are counted at a time
-SEND_TOKENS = 700_000  # tokens that a task gathers before it sends them
+STEP_TOKENS = 150_000  # tokens of a part that are counted at a time
+SEND_TOKENS = 500_000  # tokens that a task gathers before it sends them
 HOT_WORDS = 1 << 20
 END = np.uint64(0xE0D0E0D0E0D0E0D0)  # fixed values: the marks' places among the hashes
 START = np.uint64(0x57A57A57A57A57A5)
