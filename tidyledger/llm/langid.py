@@ -33,7 +33,7 @@ SAMPLE_ROWS = 64
 SAMPLE_CHARS = 20_000
 MOST_LANGUAGES = 250  # the model is refused beyond; it would not be a small one
 WINDOW = 256  # characters
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 SEPARATOR = 1  # symbol; 0 is a letter that no sample has
 
 
