@@ -225,3 +225,28 @@ def test_repeated_lines_of_odd_tables(spark):
     found = sorted((str(x["doc_id"]), x["text"]) for x in line_dedup.drop_repeated_lines(rows).collect())
     # The rows that repeat id and text count as one; the null id comes last.
     assert found == [("5", "a b c d e"), ("5", "a b c d e"), ("9", "x"), ("None", "")]
+
+
+def test_fuzzy_repeats_by_edit_similarity_alone(spark):
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäß"))
+    draw = lambda: "".join(rng.choice(letters, int(rng.integers(4, 9))))
+    pairs = []
+    for size in [8, 12, 20, 30, 50] * 24:
+        one = [draw() for _ in range(size)]
+        two = list(one)
+        for k in rng.choice(size, max(1, size // 20), replace=False):
+            two[k] = draw()
+        one, two = " ".join(one), " ".join(two)
+        if distance(one, two) <= (1 - line_dedup.SIMILARITY) * max(len(one), len(two)):
+            pairs.append((one, two))
+    assert len(pairs) > 80
+    rows = frame(spark, [f"{one}\n{two}" for one, two in pairs])
+    found = {x["doc_id"]: x for x in line_dedup.drop_repeated_lines(rows).collect()}
+    lost = [k for k, (one, _) in enumerate(pairs) if found[k]["text"] != one]
+    assert len(lost) <= 0.02 * len(pairs), len(lost)
+
+
+def test_ten_equal_places_always_meet():
+    for points in combinations(range(line_dedup.PLACES), 6):
+        assert any(set(points).isdisjoint(x) for x in line_dedup.PLANE)
