@@ -203,6 +203,20 @@ def test_main_text(spark, container, close):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("part,want", [
+    ('<body style="overflow:hidden"><article><p>Text</p></article>', ["Text"]),
+    ('<div class="overflow-hidden"><p>Text</p></div>', ["Text"]),
+    ('<article aria-hidden="false" data-hidden="x"><p>Text</p></article>', ["Text"]),
+    ('<article><section id="discussion"><h2 id="related-work">Work</h2><p>Text</p></section></article>', ["Work", "Text"]),
+    ('<main><section id="search-methods"><p>Text</p></section></main>', ["Text"]),
+    ('<article><table aria-label="Share of votes"><tr><td>Text</td></tr></table></article>', ["Text"]),
+    ('<article><p hidden>No</p><p aria-hidden=true>No</p><p style="color:red; display: none">No</p><p>Text</p></article>', ["Text"]),
+    ('<article><p>Text</p><section class="comments"><p>No</p></section></article>', ["Text"]),
+])
+def test_only_hidden_parts_and_boilerplate_go(part, want):
+    assert [x[1] for x in html_text.Page(f"<html>{part}</html>").blocks] == want
+
+
 def test_consensus_beats_an_odd_page(spark):
     """A page with a long box of its own still follows its host's path."""
     plain = "<body><div class=story><p>{}</p></div><div class=extra><p>{}</p></div></body>"

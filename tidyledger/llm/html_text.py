@@ -7,7 +7,8 @@ are then read again along the winning paths of their host; a page that has none
 them uses its own best container.
 
 Inside a container all blocks are kept in page order except boilerplate, told by tag
-or by the words of ``class``, ``id`` and ``role``.  Character references are decoded,
+or by the words of ``class``, ``id`` and ``role`` (ids of headings, and of sections
+inside an article, name topics), or hidden (``hidden``, ``aria-hidden=true``, ``display:none``).  Character references are decoded,
 white space inside a block becomes one space, blocks are joined by a line feed.
 
 Null or empty html gives an empty text; null urls and urls without a host share one
@@ -34,8 +35,8 @@ _TAG = re.compile(
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']*(?:"[^"]*"|'[^']*'))*[^>"']*|[^>]*)(?:>|\Z)""",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!-)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _TOKEN = re.compile(r"[a-z]+", re.I)
 
 RAW = frozenset("script style textarea title noscript iframe xmp noframes noembed".split())
@@ -62,12 +63,30 @@ _SIBLINGS = {
 _SCOPES = frozenset("html body article main section div table ul ol dl td th aside nav footer header form".split())
 
 
-def _dropped(tag: str, marks: str) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for key, a, b, c in _ATTRIBUTE.findall(text):
+        found.setdefault(key.lower(), a or b or c)
+    return found
+
+
+def _hidden(marks: dict[str, str]) -> bool:
+    return (
+        "hidden" in marks
+        or marks.get("aria-hidden", "").strip().lower() == "true"
+        or bool(_UNSEEN.search(marks.get("style", "")))
+    )
+
+
+def _dropped(tag: str, marks: dict[str, str], inside: bool) -> bool:
+    """Whether a block is boilerplate; ``inside`` an article or main element the id of a section is its topic."""
     if tag in DROPPED_TAGS:
         return True
     if not marks or tag in ("html", "body", "article", "main"):
         return False
-    words = {x.lower() for x in _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", marks))}
+    topic = tag in HEADINGS or (inside and tag == "section")
+    names = " ".join(marks.get(x, "") for x in (("class", "role") if topic else ("class", "id", "role")))
+    words = {x.lower() for x in _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names))}
     return not words.isdisjoint(DROPPED_WORDS)
 
 
@@ -137,24 +156,22 @@ class Page:
                     pop(_SIBLINGS[tag], _SCOPES - _SIBLINGS[tag])
                 if tag in VOID or m[3].endswith("/"):
                     continue
-                marks = " ".join(b or c or d for a, b, c, d in _ATTRIBUTE.findall(m[3]) if a.lower() != "itemprop")
+                marks = _attributes(m[3])
                 _, container, drop = stack[-1]
-                drop = drop or _dropped(tag, marks) or bool(_HIDDEN.search(m[3]))
+                inside = any(x[0] in ("article", "main") for x in stack)
+                drop = drop or _dropped(tag, marks, inside) or _hidden(marks)
                 if tag in CONTAINERS and not drop:
                     if tag != "html":
-                        container = self._add(container, tag, m[3])
+                        container = self._add(container, tag, marks)
                 stack.append((tag, container, drop))
         if at < len(html):
             text.append(html[at:])
         flush()
         del stack[1:]
 
-    def _add(self, parent: int, tag: str, attributes: str) -> int:
-        name = tag
-        for key, a, b, c in _ATTRIBUTE.findall(attributes):
-            if key.lower() == "class":
-                words = sorted({re.sub(r"\d+", "", x).lower() for x in (a or b or c).split()} - {""})
-                name += "".join(f".{x}" for x in words)
+    def _add(self, parent: int, tag: str, marks: dict[str, str]) -> int:
+        words = sorted({re.sub(r"\d+", "", x).lower() for x in marks.get("class", "").split()} - {""})
+        name = tag + "".join(f".{x}" for x in words)
         self.parent.append(parent)
         self.tag.append(tag)
         self.path.append(f"{self.path[parent]}/{name}")
