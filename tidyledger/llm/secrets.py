@@ -1,8 +1,10 @@
 """Secret scans through nested encodings.
 
 A text is a layer.  A worklist unwraps it: percent escapes, backslash escapes of
-characters, base64 runs and, inside those, gzip or zlib data; every new layer is
-scanned and unwrapped again until no layer is new.  A layer that was seen before is
+characters, base64 runs and gzip or zlib data in any of them; every new layer is
+scanned and unwrapped again until no layer is new.  Bytes that are not UTF-8 count as
+one character each, so a layer is scanned whatever else it holds; what a broken or
+cut-off stream gave is a layer as well.  A layer that was seen before is
 not opened again, so cycles end.  Every layer knows the place of each of its
 characters in the layer it came from; spans are given in the original text.
 
@@ -42,7 +44,11 @@ ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-
 ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|[uUx]([0-9A-Fa-f]+))")
 LEAST_BASE64 = 20
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
-MOST_LAYER_BYTES = 256 << 20  # compressed data that grows beyond is not text and stays closed
+# Starts of gzip and zlib data; bytes outside UTF-8 are written as U+DC80 and so on.
+STREAM = re.compile("\x1f[\x8b\udc8b]\x08|x[\x01^\x9c\xda\udc9c\udcda]")
+LAYER_BYTES = 64 << 20  # unpacked data beyond is read in pieces with an overlap
+OVERLAP_BYTES = 8 << 20
+STEP = 4096  # characters that are unpacked at once
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -58,10 +64,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 class Layer:
-    """A text and, for each of its characters, where it starts and ends in the original."""
+    """A text and, for each of its characters, where it starts and ends in the original.
 
-    def __init__(self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None):
-        self.text, self.starts, self.ends = text, starts, ends
+    ``last`` is where its source ends there, padding included, if that is known.
+    """
+
+    def __init__(
+        self, text: str, starts: np.ndarray | None = None, ends: np.ndarray | None = None, last: int | None = None
+    ):
+        self.text, self.starts, self.ends, self.last = text, starts, ends, last
 
     def start(self, place: int) -> int:
         return place if self.starts is None else int(self.starts[place])
@@ -86,26 +97,21 @@ class Layer:
         return Layer("".join(text), np.concatenate(starts), np.concatenate(ends))
 
 
-def _utf8(raw: bytes) -> tuple[str, list[tuple[int, int]]] | None:
-    """Text of UTF-8 bytes and the bytes of each character."""
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    places, at = [], 0
-    for c in text:
-        size = len(c.encode())
-        places.append((at, at + size))
-        at += size
-    return text, places
+def _decoded(raw: bytes) -> tuple[str, np.ndarray]:
+    """Text of bytes, those outside UTF-8 as surrogates, and where each character starts (and the last one ends)."""
+    text = raw.decode("utf-8", "surrogateescape")
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+    sizes[(codes >= 0xDC80) & (codes < 0xDD00)] = 1
+    return text, np.concatenate(([0], np.cumsum(sizes)))
 
 
 def _percent(layer: Layer) -> Iterator[Layer]:
     runs = []
     for m in PERCENT.finditer(layer.text):
-        if found := _utf8(bytes.fromhex(m[0].replace("%", ""))):
-            places = [(m.start() + 3 * a, m.start() + 3 * b) for a, b in found[1]]
-            runs.append((m.start(), m.end(), found[0], places))
+        new, at = _decoded(bytes.fromhex(m[0].replace("%", "")))
+        at = (m.start() + 3 * at).tolist()
+        runs.append((m.start(), m.end(), new, list(zip(at[:-1], at[1:], strict=True))))
     if runs:
         yield layer.replaced(runs)
 
@@ -128,20 +134,64 @@ def _escapes(layer: Layer) -> Iterator[Layer]:
         yield layer.replaced(runs)
 
 
-def _inflated(raw: bytes) -> bytes | None:
-    """gzip or zlib data in full; None if it is neither, broken or too large."""
-    if raw[:2] != b"\x1f\x8b" and not (raw[:1] == b"\x78" and int.from_bytes(raw[:2], "big") % 31 == 0):
-        return None
-    engine = zlib.decompressobj(wbits=47)
+def _bytes_of(text: str, latin: bool) -> tuple[bytes, bool]:
+    """Bytes of characters as far as they stand for bytes, and whether all do."""
     try:
-        out = engine.decompress(raw, MOST_LAYER_BYTES)
-    except zlib.error:
-        return None
-    return out if engine.eof else None
-
-
-def _readable(text: str) -> bool:
-    return bool(text) and all(c.isprintable() or c in "\t\n\r" for c in text)
+        return (text.encode("latin-1") if latin else text.encode("utf-8", "surrogateescape")), True
+    except UnicodeEncodeError as error:
+        text = text[: error.start]
+        return (text.encode("latin-1") if latin else text.encode("utf-8", "surrogateescape")), False
+
+
+def _unpack(text: str, at: int, latin: bool) -> Iterator[tuple[bytes, int]]:
+    """Pieces of the gzip or zlib data that starts at ``at``, each with where the data read so far ends."""
+    engine, whole = zlib.decompressobj(wbits=47), True
+    while whole and not engine.eof and at < len(text):
+        raw, whole = _bytes_of(text[at : at + STEP], latin)
+        spare, k = engine.copy(), 0
+        try:
+            out = engine.decompress(raw)
+        except zlib.error:
+            # What the bytes before the error give.
+            engine, whole, out = spare, False, b""
+            try:
+                while k < len(raw):
+                    out += engine.decompress(raw[k : k + 1])
+                    k += 1
+            except zlib.error:
+                raw = raw[:k]
+        read = raw[: len(raw) - len(engine.unused_data)]
+        at += len(read) if latin else len(read.decode("utf-8", "surrogateescape"))
+        yield out, at
+
+
+def _compressed(layer: Layer) -> Iterator[Layer]:
+    """gzip and zlib data; members that follow each other are one text."""
+    at = 0
+    while m := STREAM.search(layer.text, at):
+        first = end = m.start()
+        at = first + 1
+        held, fresh = bytearray(), False
+
+        def opened(stop: int) -> Layer:
+            text = held.decode("utf-8", "surrogateescape")
+            last = layer.end(stop) if layer.last is None or stop < len(layer.text) else layer.last
+            starts, ends = (np.broadcast_to(np.int64(x), len(text)) for x in (layer.start(first), last))  # noqa: B023
+            return Layer(text, starts, ends)
+
+        while m and m.start() == end:
+            latin = "\udc80" > m[0][1] >= "\x80" or (m[0][1] < "\x80" and "\x80" <= max(layer.text[end : end + 64]) < "\u0100")
+            for out, stop in _unpack(layer.text, end, latin):
+                held += out
+                end, fresh = max(end, stop), fresh or bool(out)
+                if len(held) >= LAYER_BYTES:
+                    yield opened(end)
+                    del held[:-OVERLAP_BYTES]
+                    fresh = False
+            at = max(at, end) if held else at
+            m = STREAM.match(layer.text, end) if end > first else None
+        if fresh:
+            yield opened(end)
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
@@ -153,23 +203,13 @@ def _base64(layer: Layer) -> Iterator[Layer]:
             raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
         except (binascii.Error, ValueError):
             continue
-        first, last = layer.start(m.start()), layer.end(m.end())
-        unpacked, opened = raw, set()
-        while unpacked not in opened and (inner := _inflated(unpacked)) is not None:
-            opened.add(unpacked)  # data can unpack to itself
-            unpacked = inner
-        found = _utf8(unpacked)
-        if not found or not _readable(found[0]):
-            continue
-        text, places = found
-        if unpacked is raw:
-            # Three bytes come from four characters; the last group may be shorter.
-            at = lambda byte: m.start() + byte // 3 * 4 + byte % 3
-            starts = np.array([layer.start(at(a)) for a, _ in places], np.int64)
-            ends = np.array([layer.end(at(b - 1) + 2) for _, b in places], np.int64)
-        else:
-            starts, ends = np.full(len(text), first), np.full(len(text), last)
-        yield Layer(text, starts, ends)
+        text, at = _decoded(raw)
+        # Three bytes come from four characters; the last group may be shorter.
+        first, last = at[:-1], at[1:] - 1
+        first, last = m.start() + first // 3 * 4 + first % 3, m.start() + last // 3 * 4 + last % 3 + 2
+        starts = np.array([layer.start(x) for x in first.tolist()], np.int64)
+        ends = np.array([layer.end(x) for x in last.tolist()], np.int64)
+        yield Layer(text, starts, ends, layer.end(m.end()))
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -182,7 +222,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         layer = work.pop()
         if layer.starts is not None:
             every.update((layer.start(a), kind, layer.end(b)) for a, kind, b in base_spans(layer.text))
-        steps = [_base64]
+        steps = [_base64, _compressed]
         if "%" in layer.text:
             steps.append(_percent)
         if "\\" in layer.text:
