@@ -176,6 +176,26 @@ def test_secrets_among_other_bytes(k):
     assert any(kind == 1 and 6 <= a < b <= len(text) - 5 for a, kind, b in secrets.spans(text)[1])
 
 
+def odd_runs():
+    secret = b"password=abcdefghijklmnop "
+    rng = np.random.default_rng(4)
+    noise = bytes(rng.integers(33, 127, 300, dtype=np.uint8))
+    wrapped = lambda x, width, end: re.sub(f"(.{{{width}}})", rf"\1{end}", base64.b64encode(x).decode())
+    plain = base64.b64encode(secret).decode()
+    return [
+        *(wrapped(x, width, end) for x in (b"-" * 45 + secret + b"." * 40, gzip.compress(noise + b" " + secret))
+          for width, end in ((64, "\n"), (76, "\r\n"), (64, "\n> "))),
+        *(before + plain for before in ("https://x.com/", "id_", "v1/", "x-", "ab/cd/", "key_live_")),
+        f"v1/{plain}/more", f"a{plain}-tail", base64.b64encode(wrapped(secret * 4, 76, "\n").encode()).decode(),
+    ]
+
+
+@pytest.mark.parametrize("k", range(len(odd_runs())))
+def test_base64_over_lines_and_after_other_characters(k):
+    text = f"é pre {odd_runs()[k]} post"
+    assert any(kind == 0 and 6 <= a < b <= len(text) - 5 for a, kind, b in secrets.spans(text)[1])
+
+
 def test_unpacked_data_is_read_in_pieces(monkeypatch):
     monkeypatch.setattr(secrets, "LAYER_BYTES", 3000)
     monkeypatch.setattr(secrets, "OVERLAP_BYTES", 500)

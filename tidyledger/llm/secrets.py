@@ -15,7 +15,6 @@ text.  Spans found twice, by way of several layers, count once.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -44,6 +43,11 @@ ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-
 ESCAPE = re.compile(r"\\(?:u\{([0-9A-Fa-f]{1,6})\}|[uUx]([0-9A-Fa-f]+))")
 LEAST_BASE64 = 20
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}={0,2}" % LEAST_BASE64)
+# A run that goes on over whole lines; '>' quotes and '#' or '*' comments may stand before them.
+WRAPPED = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}(?:[ \t]*\r?\n[ \t>#*]*[A-Za-z0-9+/_-]+)+={0,2}" % LEAST_BASE64
+)
+BASE64_CHARACTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 # Starts of gzip and zlib data; bytes outside UTF-8 are written as U+DC80 and so on.
 STREAM = re.compile("\x1f[\x8b\udc8b]\x08|x[\x01^\x9c\xda\udc9c\udcda]")
 LAYER_BYTES = 64 << 20  # unpacked data beyond is read in pieces with an overlap
@@ -195,21 +199,24 @@ def _compressed(layer: Layer) -> Iterator[Layer]:
 
 
 def _base64(layer: Layer) -> Iterator[Layer]:
-    for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            continue
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        text, at = _decoded(raw)
-        # Three bytes come from four characters; the last group may be shorter.
-        first, last = at[:-1], at[1:] - 1
-        first, last = m.start() + first // 3 * 4 + first % 3, m.start() + last // 3 * 4 + last % 3 + 2
-        starts = np.array([layer.start(x) for x in first.tolist()], np.int64)
-        ends = np.array([layer.end(x) for x in last.tolist()], np.int64)
-        yield Layer(text, starts, ends, layer.end(m.end()))
+    """Runs on a line and over lines, from each of their first four characters: a payload can begin after others."""
+    for pattern in (BASE64, WRAPPED):
+        for m in pattern.finditer(layer.text):
+            # Where each character of the run stands; nothing but these is decoded.
+            pieces = [x.span() for x in BASE64_CHARACTERS.finditer(layer.text, m.start(), m.end())]
+            place = np.concatenate([np.arange(a, b) for a, b in pieces])
+            run = "".join(layer.text[a:b] for a, b in pieces).replace("-", "+").replace("_", "/")
+            for skip in range(4):
+                part = run[skip:]
+                part = part[: len(part) - (len(part) % 4 == 1)]
+                text, at = _decoded(base64.b64decode(part + "=" * (-len(part) % 4)))
+                # Three bytes come from four characters; the last group may be shorter.
+                first, last = at[:-1], at[1:] - 1
+                first = place[skip + first // 3 * 4 + first % 3]
+                last = place[skip + last // 3 * 4 + last % 3 + 1]
+                starts = first if layer.starts is None else layer.starts[first]
+                ends = last + 1 if layer.ends is None else layer.ends[last]
+                yield Layer(text, starts, ends, layer.end(m.end()))
 
 
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
