@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidyledger.llm import (
     decontaminate,
     exact_dedup,
+    hard_negatives,
     html_text,
     jaccard_join,
     katz,
@@ -132,3 +133,30 @@ ORACLE["op10_exact_dedup"] = """
     SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
            doc_id = max(doc_id) OVER w AS kept, sha256(t) AS text_sha256
     FROM d WINDOW w AS (PARTITION BY t)"""
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings")
+    return hard_negatives.mine_hard_negatives(rows, F.col("vec_id") % 100 == 0, label=moved)
+
+
+ORACLE["op11_hard_negatives"] = """
+    WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                      list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+               FROM embeddings
+               WHERE label IS NOT NULL AND embedding IS NOT NULL
+                 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same,
+                 CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+          FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+          QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, p.positive_id,
+           CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score,
+           s.score AS negative_score
+    FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same
+         AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+    QUALIFY row_number() OVER w <= 5"""
