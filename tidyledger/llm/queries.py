@@ -18,11 +18,13 @@ from tidyledger.llm import (
     langid,
     line_dedup,
     packing,
+    prefix_trie,
     secrets,
     warc,
 )
 from tidyledger.llm.common import table
 from tidyledger.llm.sequences import positions
+from tidyledger.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -164,6 +166,71 @@ ORACLE["op11_hard_negatives"] = """
     QUALIFY row_number() OVER w <= 5"""
 
 
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL")
+    rows = rows.withColumns({x: F.coalesce(x, F.lit("")) for x in ("role", "text")})
+    rows = rows.select(F.col("conv_id").alias("conv"), "turn", "role", *(x.alias(n) for n, x in prefix_trie.turn_hashes().items()))
+    order = [F.col("turn"), F.col("role"), F.col("t1"), F.col("t2")]
+    rows = stored(positions(rows, "conv", order, "trie"), "trie-rows")
+    # Rebuilt: the first h turns of the hundred's first conversation, then the own ones after the first h.
+    group = (F.col("conv") - F.col("conv") % 100).alias("base")
+    h = (F.crc32(F.col("conv").cast("string")) % 6).alias("h")
+    parts = ["t1", "t2", "chars"]
+    heads = rows.where("conv % 100 = 0 AND position <= 5").select(F.col("conv").alias("base"), "position", *parts)
+    sizes = heads.groupBy("base").agg(F.count("*").alias("size"))
+    ids = rows.select("conv").distinct()
+    own = rows.select("conv", "position", *parts, group, h).where("position > h").join(sizes, "base", "left")
+    taken = F.least(F.col("h"), F.coalesce("size", F.lit(0)))
+    own = own.select("conv", (taken + F.col("position") - F.col("h")).alias("depth"), *parts)
+    shared = ids.select("conv", group, h).join(heads, "base").where("position <= h")
+    turns = own.unionByName(shared.select("conv", F.col("position").alias("depth"), *parts))
+    return prefix_trie.prefix_trie(turns, ids)
+
+
+ORACLE["op12_prefix_trie"] = """
+    WITH RECURSIVE rows AS (
+        SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+               row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+        FROM conversations WHERE conv_id IS NOT NULL),
+    bits AS (  -- CRC-32 of the decimal id, bit by bit
+        SELECT c, CAST(c AS VARCHAR) AS name FROM (SELECT DISTINCT c FROM rows)),
+    ids AS (
+        SELECT c, c - c % 100 AS base,
+               xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(name) + 1),
+                   lambda i: list_transform(range(0, 8), lambda b: CAST((ascii(name[i]) >> b::INTEGER) & 1 AS BIGINT))))),
+                   lambda r, b: xor(r >> 1, (xor(r, b) & 1) * 3988292384)), 4294967295) % 6 AS h
+        FROM bits),
+    rebuilt AS (
+        SELECT i.c, r.k AS pos, r.role, r.text FROM ids i JOIN rows r ON r.c = i.base AND r.k <= i.h
+        UNION ALL
+        SELECT i.c, 1000 + r.k, r.role, r.text FROM ids i JOIN rows r ON r.c = i.c AND r.k > i.h),
+    turns AS (
+        SELECT c, row_number() OVER (PARTITION BY c ORDER BY pos) AS d, length(text) AS n,
+               sha256(sha256(role) || sha256(text)) AS t FROM rebuilt),
+    paths AS (
+        SELECT c, d, n, sha256(string_agg(t, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS key FROM turns),
+    steps AS (
+        SELECT c, d, key, n, lag(key) OVER (PARTITION BY c ORDER BY d) AS up FROM paths
+        UNION ALL SELECT c, 0, '', 0, NULL FROM ids),
+    lengths AS (SELECT c, max(d) AS len FROM steps GROUP BY c),
+    nodes AS (
+        SELECT s.d, s.key, min(s.c) AS conv_id, count(*) AS n_convs, any_value(s.n) AS n,
+               CASE WHEN s.d > 0 THEN coalesce(any_value(s.up), '') END AS up,
+               sha256(coalesce(string_agg(CASE WHEN s.d = l.len THEN CAST(s.c AS VARCHAR) END, ',' ORDER BY s.c), '')) AS ends
+        FROM steps s JOIN lengths l USING (c) GROUP BY s.d, s.key),
+    kids AS (SELECT d - 1 AS d, up AS key, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+    whole AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (d, key)),
+    below AS (  -- every node along its smallest member's path
+        SELECT s.d, s.key, sum(CASE WHEN w.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves,
+               sum((w.n_convs - 1) * w.n) AS saved
+        FROM whole w JOIN steps s ON s.c = w.conv_id AND s.d <= w.d GROUP BY s.d, s.key)
+    SELECT w.conv_id, CAST(w.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, w.n_convs,
+           CAST(w.n_children AS BIGINT) AS n_children, CAST(b.n_leaves AS BIGINT) AS n_leaves,
+           CAST(b.saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256
+    FROM whole w JOIN below b USING (d, key) LEFT JOIN nodes p ON p.d = w.d - 1 AND p.key = w.up"""
+
+
 @query
 def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.lit("\\### Assistant: </turn> ok")
