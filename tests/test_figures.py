@@ -99,7 +99,8 @@ def test_zero_previous_value_has_no_percentage(clean):
 
 def test_guard(clean):
     assert kpi.analytics_available(clean) == (True, "ok")
-    assert kpi.analytics_available(clean.drop("region").filter("false"))[1] == "missing column(s): region"
+    assert kpi.analytics_available(clean.drop("region"))[1] == "missing column(s): region"
+    assert kpi.analytics_available(clean.drop("region").filter("false"))[1] == "no cleaned rows are available"
     assert kpi.analytics_available(clean, clean.filter("false")) == (False, "no cleaned rows are available")
     with pytest.raises(DataQualityError):
         kpi.analytics_guard(clean.filter("false"), 5)
@@ -156,7 +157,7 @@ def test_nested_content(spark):
 def test_keywords_take_the_first_rule(spark):
     texts_frame = spark.createDataFrame([(1, "The Cat, the dog"), (2, "dog"), (3, "nothing"), (4, " "), (5, None)], "id int, t string")
     rules = spark.createDataFrame([(2, "b", "cat"), (1, "a", "DOG"), (1, "c", "dog"), (3, "d", "one")], "rule int, category string, keyword string")
-    rows = classify.classify_keywords(texts_frame, "id", "t", rules).orderBy("id").collect()
+    rows = classify.classify_keywords(texts_frame, "t", rules).orderBy("id").collect()
     assert [(r.id, r.category, r.classification) for r in rows] == [
         (1, "a", "classified"), (2, "a", "classified"), (3, None, "unclassified")]
 
@@ -307,3 +308,56 @@ def test_chat_payloads(spark):
     assert rows[1].reply == "a\nb\nc\nd"
     assert rows[2].detail == "bad | code=404"
     assert rows[6].detail == "the model returned only reasoning tokens"
+
+
+def test_replies_by_index():
+    read = classify.read_reply
+    assert read(["a", None, "c", "d"], 3) == ["a", None, "c"]
+    assert read([], 2) == [None, None]
+    assert read([{"index": 1, "category": "b"}, {"index": 0, "category": "a"}], 3) == ["a", "b", None]
+    assert read([(2, "c"), (2, "d"), (7, "x"), (-1, "y"), ("0", "a")], 3) == ["a", None, "d"]
+    assert read([{"index": 0}, {"category": "a"}, {"index": "x", "category": "a"}, "loose", 5, None, ()], 2) == [None, None]
+    assert read('Here: [{"index": 1, "category": "b"}] done', 2) == [None, "b"]
+    assert read([{"index": float("inf"), "category": "a"}, {"index": 1.0, "category": 3}], 2) == [None, "3"]
+    for broken in ("no list", {"index": 0}, None, 5):
+        with pytest.raises(TypeError):
+            read(broken, 2)
+
+
+def test_broken_replies_fail_their_batch(spark):
+    frame = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "empty")], "id int, text string").coalesce(1)
+    replies = {"good": [{"index": 0, "category": "positive"}], "bad": {"index": 0}, "empty": "[]"}
+    found = classify.classify_text(frame, "text", lambda batch: replies[batch[0]], batch_size=1).collect()
+    assert {r.id: (r.category, r.classification) for r in found} == {
+        1: ("positive", "classified"), 2: (None, "failed"), 3: (None, "unclassified")
+    }
+    assert "TypeError" in next(r.error for r in found if r.id == 2)
+
+
+def test_skipped_classification(spark):
+    frame = spark.createDataFrame([(1, " "), (2, None)], "id int, text string")
+    for column, enabled, word in (("text", False, "switched off"), ("review", True, "review"), ("text", True, "text")):
+        found, reason = classify.classify_or_skip(frame, column, None, enabled)
+        assert found is None and word in reason
+    found, reason = classify.classify_or_skip(spark.createDataFrame([(1, "x")], "id int, text string"), "text")
+    assert reason is None and found.count() == 1
+
+
+def test_rows_that_share_an_id_keep_their_own_results(spark):
+    rows = [(1, "good thing"), (1, "an idiot"), (None, "an idiot"), (None, "fine"), (1, "good thing")]
+    frame = spark.createDataFrame(rows, "id int, t string")
+    rules = spark.createDataFrame([(1, "complaint", "idiot")], "rule int, category string, keyword string")
+    found = sorted(((r.id or 0, r.t, r.category or "") for r in classify.classify_keywords(frame, "t", rules).collect()))
+    assert found == [(0, "an idiot", "complaint"), (0, "fine", ""), (1, "an idiot", "complaint"),
+                     (1, "good thing", ""), (1, "good thing", "")]
+    texts = spark.createDataFrame([(1, "made 5,000.25 and 7,000.5"), (1, "made 7,000.5"), (None, "made 9,000.75")], "id int, t string")
+    facts = spark.createDataFrame([(5000.25,)], "value double")
+    found = numbercheck.verify_numbers(texts, "id", "t", facts, "value").collect()
+    assert sorted((r.id or 0, r.rank, r.value) for r in found) == [(0, 1, 9000.75), (1, 1, 7000.5), (1, 1, 7000.5)]
+
+
+def test_grouping_sets_expand_once(spark):
+    from tidyledger.plans.queries import QUERIES
+
+    frame = QUERIES["kpi_grouping_sets"](spark, "/root/testdata/sf0.001")
+    assert "Expand" not in frame._jdf.queryExecution().executedPlan().toString()  # the sets are written once

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyledger.functions.cells import is_blank
+from tidyledger.functions.json_scan import first_json
 from tidyledger.functions.numbers import share
 
 # Default categories and batch size.
@@ -22,8 +25,60 @@ CATEGORIES = (
 )
 BATCH_SIZE = 20
 CLASSIFIED, UNCLASSIFIED, FAILED = "classified", "unclassified", "failed"
+SKIPPED, GENERATED = "skipped", "generated"
 
-Labeller = Callable[[list[str]], list[str | None]]
+#: Gets a batch of texts; replies with a label for each, in order, or with entries
+#: ``{"index": place, "category": label}`` (or pairs), or with such a list as JSON text.
+Labeller = Callable[[list[str]], Any]
+
+
+def read_reply(reply: Any, count: int) -> list[str | None]:
+    """One label (or None) for each of ``count`` texts.
+
+    Entries with an index may come in any order; of several for one index the last counts,
+    missing, foreign and broken ones leave their text without a label.  Labels without an
+    index are taken in order.  A reply that is no list is an error.
+    """
+    if isinstance(reply, (str, bytes)):
+        found = first_json(reply if isinstance(reply, str) else reply.decode())
+        reply = json.loads(found) if found is not None else None
+    if not isinstance(reply, (list, tuple)):
+        raise TypeError("a classification reply must be a list")
+    labels: list[str | None] = [None] * count
+    indexed = any(isinstance(entry, (dict, list, tuple)) for entry in reply)
+    for place, entry in enumerate(reply):
+        if isinstance(entry, dict):
+            place, entry = entry.get("index"), entry.get("category")
+        elif isinstance(entry, (list, tuple)):
+            place, entry = entry if len(entry) == 2 else (None, None)
+        elif indexed:
+            continue
+        try:
+            place = int(place)
+        except (TypeError, ValueError, OverflowError):
+            continue
+        if 0 <= place < count and entry is not None:
+            labels[place] = str(entry)
+    return labels
+
+
+def skip_reason(df: DataFrame, column: str, enabled: bool = True) -> str | None:
+    """Why there is nothing to classify, or None; reads at most one row."""
+    if not enabled:
+        return "classification is switched off"
+    if column not in df.columns:
+        return f"text column {column!r} is not among the cleaned columns"
+    if df.filter(~is_blank(F.col(column))).select(column).isEmpty():
+        return f"no value of {column!r} to classify"
+    return None
+
+
+def classify_or_skip(
+    df: DataFrame, column: str, fn: Labeller | None = None, enabled: bool = True, **options: Any
+) -> tuple[DataFrame | None, str | None]:
+    """``(classified rows, None)`` or ``(None, reason)``; ``options`` as for :func:`classify_text`."""
+    reason = skip_reason(df, column, enabled)
+    return (None, reason) if reason else (classify_text(df, column, fn, **options), None)
 
 
 def classify_text(
@@ -36,7 +91,7 @@ def classify_text(
 ) -> DataFrame:
     """Add ``category`` and ``classification`` to every row with a non-blank text.
 
-    ``fn`` gets up to ``batch_size`` texts and returns one label each; only the
+    ``fn`` gets up to ``batch_size`` texts and replies as in :func:`read_reply`; only the
     text travels to Python, the other columns stay in the JVM.  Labels outside
     ``categories`` are ``unclassified``; when ``fn`` raises, the rows of that
     batch are ``failed`` and all others keep their result.  ``max_chars`` limits
@@ -58,12 +113,10 @@ def classify_text(
             for start in range(0, len(batch), batch_size):
                 part = batch.iloc[start : start + batch_size].tolist()
                 try:
-                    found = list(fn(part))[: len(part)]
-                    found += [None] * (len(part) - len(found))
-                    failure = None
+                    found, failure = read_reply(fn(part), len(part)), None
                 except Exception as error:  # noqa: BLE001 - a failed batch is a result
                     found, failure = [None] * len(part), f"{type(error).__name__}: {error}"
-                labels += [None if item is None else str(item) for item in found]
+                labels += found
                 errors += [failure] * len(part)
             yield pd.DataFrame({"label": labels, "error": errors}, dtype=object)
 
@@ -88,20 +141,21 @@ def classify_text(
 WORD = r"[\p{L}\p{N}_]+"
 
 
-def classify_keywords(texts: DataFrame, key: str, column: str, rules: DataFrame) -> DataFrame:
+def classify_keywords(texts: DataFrame, column: str, rules: DataFrame) -> DataFrame:
     """Category of every non-blank text by a table of rules ``(rule, category, keyword)``.
 
     The distinct words of a text (lower case) are joined with the keywords by equality; of
     all rules that apply the one with the smallest number counts.  Texts without any
-    keyword are ``unclassified``.  The join carries no hint: Spark broadcasts the rules by
-    their measured size and splits frequent words otherwise.
+    keyword are ``unclassified``.  A category belongs to the text, whatever ids its rows have,
+    so equal texts are looked at once.  The joins carry no hint: Spark broadcasts the rules by
+    their measured size and splits frequent words and texts otherwise.
     """
     rows = texts.filter(~is_blank(F.col(column)))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit(WORD), F.lit(0)))
-    said = rows.select(key, F.explode(words).alias("_word"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(WORD), F.lit(0)))
+    said = rows.select(F.col(column).alias("_text")).distinct().select("_text", F.explode(words).alias("_word"))
     table = rules.select("rule", "category", F.lower("keyword").alias("_word"))
-    first = said.join(table, "_word").groupBy(key).agg(F.min(F.struct("rule", "category")).alias("_first"))
-    return rows.join(first, key, "left").select(
+    first = said.join(table, "_word").groupBy("_text").agg(F.min(F.struct("rule", "category")).alias("_first"))
+    return rows.join(first, F.col(column) == F.col("_text"), "left").select(
         *rows.columns,
         F.col("_first.category").alias("category"),
         F.when(F.col("_first").isNotNull(), CLASSIFIED).otherwise(UNCLASSIFIED).alias("classification"),
@@ -131,9 +185,9 @@ def classification_status(classified: DataFrame) -> DataFrame:
         F.count_if(F.col("classification") == UNCLASSIFIED).alias("unclassified"),
         F.count_if(F.col("classification") == FAILED).alias("failed"),
     ).select(
-        F.when(F.col("texts") == 0, "skipped")
-        .when(F.col("failed") > 0, "failed")
-        .otherwise("generated")
+        F.when(F.col("texts") == 0, SKIPPED)
+        .when(F.col("failed") > 0, FAILED)
+        .otherwise(GENERATED)
         .alias("status"),
         "texts",
         "classified",

@@ -70,20 +70,31 @@ def verify_numbers(
 ) -> DataFrame:
     """The distinct unverified numbers of every text, by position; at most ``most`` of a text if given.
 
-    Only numbers without a match are shuffled, by text; the numbers of one text
-    are bounded by the text itself.
+    Texts that share a key keep their own lists (rows that repeat key and text count once),
+    a null key is a key.  Only numbers without a match are shuffled, by text; the numbers
+    of one text are bounded by the text itself.
     """
-    return first_distinct(unmatched_numbers(numbers_in(texts, key, column), facts, fact), key, most)
+    told = texts.select(key, column, F.xxhash64(column).alias("_told"))
+    found = told.select(key, "_told", F.posexplode(extract_numbers(F.col(column))).alias("_pos", "token"))
+    numbers = found.select(
+        key, "_told", (F.col("_pos") + 1).alias("position"), number_value(F.col("token")).alias("value")
+    )
+    loose = unmatched_numbers(numbers, facts, fact)
+    return first_distinct(loose, key, most, "_told").drop("_told")
+
 
+def first_distinct(numbers: DataFrame, key: str, most: int | None = None, *more: str) -> DataFrame:
+    """The distinct values (two decimals) per text, by position; all of them or the first ``most``.
 
-def first_distinct(numbers: DataFrame, key: str, most: int | None = None) -> DataFrame:
-    """The distinct values (two decimals) per text, by position; all of them or the first ``most``."""
+    ``more`` are columns that tell the texts of one key apart.
+    """
+    keys = [key, *more]
     distinct = (
-        numbers.select(key, "position", _to_cents(F.col("value")).alias("value"))
-        .groupBy(key, "value")
+        numbers.select(*keys, "position", _to_cents(F.col("value")).alias("value"))
+        .groupBy(*keys, "value")
         .agg(F.min("position").alias("position"))
     )
-    window = Window.partitionBy(key).orderBy("position")
+    window = Window.partitionBy(*keys).orderBy("position")
     ranked = distinct.withColumn("rank", F.row_number().over(window))
     ranked = ranked if most is None else ranked.filter(F.col("rank") <= most)
-    return ranked.select(key, "rank", "value")
+    return ranked.select(*keys, "rank", "value")

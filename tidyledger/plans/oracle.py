@@ -419,6 +419,9 @@ LABEL = """CASE WHEN length(text) < 500 THEN 'neutral' WHEN length(text) < 5000
 LABELLED = f"""labelled AS (SELECT doc_id, {LABEL} AS category,
   CASE WHEN length(text) < 5000 THEN 'classified' ELSE 'unclassified' END AS classification
   FROM documents WHERE NOT {blank('text')})"""
+INDEXED = f"""indexed AS (SELECT doc_id, CASE WHEN length(text) % 7 > 0 THEN {LABEL} END AS category,
+  CASE WHEN length(text) % 7 > 0 AND length(text) < 5000 THEN 'classified' ELSE 'unclassified' END AS classification
+  FROM documents WHERE NOT {blank('text')})"""
 
 
 def block(label: str, source: str, labels: dict[str, str]) -> str:
@@ -627,9 +630,10 @@ ORACLE: dict[str, str] = {
     "kpi_overall": f"{BASE}, snap AS ({snapshot()}) SELECT 'All periods' AS label, {FIGURES} FROM snap",
     "analytics_guard": f"""{BASE}, counted AS (SELECT 'complete' AS input, count(*) AS n, '' AS missing FROM clean
       UNION ALL SELECT 'no region', count(*), 'region' FROM clean
-      UNION ALL SELECT 'nothing valid', count(*), '' FROM clean WHERE source_row < 0)
-      SELECT input, n > 0 AND missing = '' AS available, CASE WHEN missing <> '' THEN 'missing column(s): ' || missing
-        WHEN n = 0 THEN 'no cleaned rows are available' ELSE 'ok' END AS reason FROM counted""",
+      UNION ALL SELECT 'nothing valid', count(*), '' FROM clean WHERE source_row < 0
+      UNION ALL SELECT 'nothing valid, no region', count(*), 'region' FROM clean WHERE source_row < 0)
+      SELECT input, n > 0 AND missing = '' AS available, CASE WHEN n = 0 THEN 'no cleaned rows are available'
+        WHEN missing <> '' THEN 'missing column(s): ' || missing ELSE 'ok' END AS reason FROM counted""",
     "status_distribution": f"""{BASE}, counts AS (SELECT status, count(*)::bigint AS orders FROM clean GROUP BY status)
       SELECT status, orders, {share('orders', '(SELECT sum(orders) FROM counts)')} AS share_pct FROM counts""",
     **{f"by_{n}": f"{BASE}, {dimension(n)} SELECT * FROM metrics" for n in ("product", "category", "region")},
@@ -674,6 +678,13 @@ ORACLE: dict[str, str] = {
     "classify_default": f"""SELECT doc_id, 'positive' AS category, 'classified' AS classification
       FROM documents WHERE NOT {blank('text')}""",
     "classify_function": f"WITH {LABELLED} SELECT * FROM labelled",
+    "classify_indexed": f"WITH {INDEXED} SELECT * FROM indexed",
+    "classification_outcomes": f"""WITH {INDEXED} SELECT 'whole' AS input, 'generated' AS status, NULL::varchar AS reason,
+      count(*) AS texts, count(*) FILTER (classification = 'classified') AS classified,
+      count(*) FILTER (classification = 'unclassified') AS unclassified, 0::bigint AS failed FROM indexed
+      UNION ALL VALUES ('switched off', 'skipped', 'classification is switched off', 0, 0, 0, 0),
+        ('no column', 'skipped', 'text column ''review'' is not among the cleaned columns', 0, 0, 0, 0),
+        ('nothing to classify', 'skipped', 'no value of ''text'' to classify', 0, 0, 0, 0)""",
     "classification_summary": f"""WITH {LABELLED}, counts AS (SELECT classification, category,
       count(*)::bigint AS records FROM labelled GROUP BY ALL)
       SELECT *, CASE WHEN classification = 'classified' THEN {share('records',

@@ -7,6 +7,7 @@ plain types (text, BIGINT, DOUBLE), so another engine can be compared directly.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -472,6 +473,7 @@ def analytics_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
         "complete": (rows, valid),
         "no region": (rows.drop("region"), valid),
         "nothing valid": (rows, valid.filter("source_row < 0")),
+        "nothing valid, no region": (rows.drop("region"), valid.filter("source_row < 0")),
     }
     outcomes = [(name, *kpi.analytics_available(*case)) for name, case in cases.items()]
     return spark.createDataFrame(outcomes, "input string, available boolean, reason string")
@@ -580,6 +582,52 @@ def classify_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classified.select("doc_id", "category", "classification")
 
 
+def _by_index() -> classify.Labeller:
+    """A stand-in for a chat model: replies by index, backwards, with gaps, repeats and broken entries."""
+
+    def reply(batch: list[str]) -> list:
+        entries: list = [{"index": 99, "category": "neutral"}, {"category": "neutral"}, {"index": "x", "category": "neutral"}]
+        for place, text in reversed(list(enumerate(batch))):
+            if len(text) % 7:  # every seventh length gets no entry
+                if len(text) % 2:
+                    entries.append({"index": place, "category": "positive"})  # put right by the next one
+                entries.append((str(place), "neutral" if len(text) < 500 else "complaint" if len(text) < 5000 else "other"))
+        return entries
+
+    return reply
+
+
+@query
+def classify_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classified = classify.classify_text(_documents(spark, sf_dir), "text", _by_index())
+    return classified.select("doc_id", "category", "classification")
+
+
+@query
+def classification_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why a classification is skipped, or what it made, for several inputs."""
+    rows = _documents(spark, sf_dir).select("doc_id", "lang", "text")
+    cases = {
+        "whole": (rows, "text", True),
+        "switched off": (rows, "text", False),
+        "no column": (rows, "review", True),
+        "nothing to classify": (rows.withColumn("text", F.lit(" ")), "text", True),
+    }
+    out = []
+    for name, (frame, column, enabled) in cases.items():
+        found, reason = classify.classify_or_skip(frame, column, _by_index(), enabled)
+        if found is None:
+            out.append(spark.range(1).select(
+                F.lit(name).alias("input"), F.lit(classify.SKIPPED).alias("status"), F.lit(reason).alias("reason"),
+                *[F.lit(0).cast("bigint").alias(x) for x in ("texts", "classified", "unclassified", "failed")],
+            ))
+        else:
+            status = classify.classification_status(found)
+            out.append(status.select(F.lit(name).alias("input"), "status", F.lit(None).cast("string").alias("reason"),
+                                     "texts", "classified", "unclassified", "failed"))
+    return reduce(DataFrame.unionByName, out)
+
+
 KEYWORD_RULES = [
     (1, "complaint", "idiot"),
     (2, "complaint", "worthless"),
@@ -596,7 +644,7 @@ KEYWORD_RULES = [
 @query
 def classify_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(KEYWORD_RULES, "rule int, category string, keyword string")
-    found = classify.classify_keywords(_documents(spark, sf_dir), "doc_id", "text", rules)
+    found = classify.classify_keywords(_documents(spark, sf_dir), "text", rules)
     return found.select("doc_id", "category", "classification")
 
 
