@@ -50,11 +50,14 @@ def test_ids_equal_the_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    for text in sample_texts():
-        want = tokenizer.encode(text or "", add_special_tokens=False).ids
-        assert np.frombuffer(packing.ids_bytes(text or "", *tokenizer_files()), "<u4").tolist() == want
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = packing.tokenizer(*tokenizer_files())
+    texts = [x or "" for x in sample_texts()] + ["<|endoftext|>", "a<|endoftext|><|endoftext|> b", "a <|endoftext| >b"]
+    want = [plain.encode(x, add_special_tokens=False).ids for x in texts]
+    assert any(50256 in x for x in want)
+    assert [x.tolist() for x in words.many(texts)] == want
+    assert [words.ids(x).tolist() for x in texts] == want
+    assert words.many([]) == [] and words.many([" "])[0].tolist() == plain.encode(" ").ids
 
 
 def test_packing(spark):
@@ -63,7 +66,7 @@ def test_packing(spark):
     found = [tuple(r) for r in packing.pack(frame(spark, texts, ids), *tokenizer_files()).collect()]
     want = Counter()
     for doc, text in zip(ids, texts, strict=True):
-        raw = packing.ids_bytes(text or "", *tokenizer_files()) + np.array([1], "<u4").tobytes()
+        raw = packing.tokenizer(*tokenizer_files()).ids(text or "").tobytes() + np.array([1], "<u4").tobytes()
         for at in range(0, len(raw), 8192):
             part = raw[at : at + 8192]
             want[doc, at // 4, len(part) // 4, zlib.crc32(part), len(raw) // 4] += 1

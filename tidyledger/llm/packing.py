@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,52 +31,124 @@ from tidyledger.session import stored
 
 CAPACITY = 2048
 END_ID = 1
-CACHED_WORDS = 100_000  # words whose ids a worker remembers
 SALT_PIECES = 50_000  # pieces of one length that one task ranks, on average
-_MIXED_SPACE = re.compile(r"^\s| \s|\s |\s$")
+CHUNK_BYTES = 1 << 22  # texts whose words are looked up together
+KNOWN_WORDS, KNOWN_BYTES = 1 << 19, 1 << 25  # beyond these a worker starts to remember words anew
 
 
-class _Words(dict):
-    """Ids, as little-endian bytes, of a word with the space before it."""
+class Tokenizer:
+    """Ids of a byte-level vocabulary; ``special`` are added tokens, which texts are split at first."""
 
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+    def __init__(self, ranks: str, pattern: str, special: tuple[tuple[str, int], ...] = ()):
+        import tiktoken
 
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(" " + word), "<u4").tobytes()
-        if len(self) < CACHED_WORDS:
-            self[word] = ids
-        return ids
+        with open(ranks, "rb") as lines:
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        self.special = dict(special)
+        longest = sorted(self.special, key=len, reverse=True)
+        self.split = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        self.sizes = np.zeros(max(table.values()) + 1, np.int64)
+        self.sizes[list(table.values())] = [len(x) for x in table]
+        self._forget()
 
+    def plain(self, text: str) -> np.ndarray:
+        return np.asarray(self.encoding.encode_to_numpy(text, disallowed_special=()), np.uint32)
 
-@cache
-def _encoder(ranks: str, pattern: str):
-    import tiktoken
+    def ids(self, text: str) -> np.ndarray:
+        """All ids of one text."""
+        if self.split is None or not self.split.search(text):
+            return self.plain(text)
+        parts = [x for x in self.split.split(text) if x]
+        found = [np.array([self.special[x]], np.uint32) if x in self.special else self.plain(x) for x in parts]
+        return np.concatenate(found)
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """All ids of each text; a word's ids are looked up, new words are encoded in one call.
 
-    with open(ranks, "rb") as lines:
-        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-    return encoding.encode_ordinary, _Words(encoding.encode_ordinary)
+        A single space between other characters always starts a new pre-token, so texts
+        without other runs of white space around their spaces are encoded word by word.
+        """
+        odd = np.array([bool(self.split and self.split.search(x)) for x in texts], bool)
+        words = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        flat = words.flatten().dictionary_encode()
+        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        bare = pc.utf8_trim_whitespace(flat.dictionary)
+        edge = pc.or_(pc.not_equal(bare, flat.dictionary), pc.equal(bare, "")).to_numpy(zero_copy_only=False)
+        lone = np.diff(offsets) == 1
+        mixed = edge[codes] if len(codes) else np.zeros(0, bool)
+        odd |= np.add.reduceat(mixed, offsets[:-1]) > 0 if len(texts) else False
+        odd &= ~(lone & (np.array([not x for x in texts], bool)))  # no text at all is not odd
+        heads = offsets[:-1]  # the first word of a text has no space before it
+        first = [np.zeros(0, np.uint32) if x else self.plain(y.split(" ", 1)[0]) for x, y in zip(odd, texts, strict=True)]
+        later = np.repeat(~odd, np.diff(offsets))
+        later[heads] = False
+        used = np.unique(codes[later])
+        place = np.zeros(len(flat.dictionary), np.int64)
+        place[used] = self._places(flat.dictionary.take(pa.array(used)))
+        codes = np.where(later, place[codes], -1)
+        head_sizes = np.array([len(x) for x in first], np.int64)
+        codes[heads] = len(self.known) + np.arange(len(heads))
+        ids = np.concatenate([self.known_ids, *first])
+        begins = np.concatenate((self.begins, len(self.known_ids) + np.cumsum(head_sizes) - head_sizes))
+        sizes = np.concatenate((self.counts, head_sizes))
+        counts = np.where(codes < 0, 0, sizes[codes])
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        taken = ids[np.arange(total) + np.repeat(begins[codes] - ends + counts, counts)]
+        edges = np.concatenate(([0], ends))[offsets]
+        if len(self.known) > KNOWN_WORDS or self.known.nbytes > KNOWN_BYTES:
+            self._forget()
+        return [
+            self.ids(text) if alone else taken[a:b]
+            for text, alone, a, b in zip(texts, odd.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+        ]
 
+    def _forget(self) -> None:
+        self.known, self.known_ids = pa.array([], pa.large_string()), np.zeros(0, np.uint32)
+        self.begins, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def ids_bytes(text: str, ranks: str, pattern: str) -> bytes:
-    """All ids of a text, four bytes each.
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Places of the words, each with a space before it, among the known ones; new words become known."""
+        found = pc.index_in(words, value_set=self.known)
+        new = words.filter(found.is_null())
+        at = found.fill_null(0).to_numpy().astype(np.int64)
+        at[found.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(new))
+        if len(new):
+            whole = pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new.cast(pa.string()))
+            ids = self.plain(" " + pc.binary_join(whole, " ")[0].as_py())
+            sizes = self.sizes[ids]
+            length = pc.binary_length(new).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            begins = np.searchsorted(np.cumsum(sizes) - sizes, np.cumsum(length) - length)
+            self.begins = np.concatenate((self.begins, begins + len(self.known_ids)))
+            self.counts = np.concatenate((self.counts, np.diff(np.append(begins, len(ids)))))
+            self.known_ids = np.concatenate((self.known_ids, ids))
+            self.known = pa.concat_arrays([self.known, new])
+        return at
 
-    A single space between other characters always starts a new pre-token, so a text
-    without other runs of white space around its spaces is encoded word by word.
-    """
-    encode, words = _encoder(ranks, pattern)
-    if not text or _MIXED_SPACE.search(text):
-        return np.array(encode(text), "<u4").tobytes()
-    first, *rest = text.split(" ")
-    return np.array(encode(first), "<u4").tobytes() + b"".join(map(words.__getitem__, rest))
+
+@cache
+def tokenizer(ranks: str, pattern: str, special: tuple[tuple[str, int], ...] = ()) -> Tokenizer:
+    return Tokenizer(ranks, pattern, special)
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    first, size = 0, 0
+    for k, text in enumerate(texts):
+        if k > first and size + len(text) > CHUNK_BYTES:
+            yield first, k
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield first, len(texts)
 
 
 def pieces(
     docs: DataFrame,
     ranks: str,
     pattern: str,
+    special: tuple[tuple[str, int], ...] = (),
     id_column: str = "doc_id",
     text_column: str = "text",
     capacity: int = CAPACITY,
@@ -83,20 +156,19 @@ def pieces(
     """Windows of at most ``capacity`` ids of every text, with the CRC-32 of their ids."""
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     names = [x.split(" ")[0] for x in schema.split(", ")]
-    end = np.array([END_ID], "<u4").tobytes()
-
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = tokenizer(ranks, pattern, special)
         for part in parts:
-            rows = []
-            for doc, value in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                raw = ids_bytes(value.as_py() or "", ranks, pattern) + end
-                for at in range(0, len(raw), 4 * capacity):
-                    window = raw[at : at + 4 * capacity]
-                    rows.append((doc, at // 4, len(window) // 4, zlib.crc32(window), len(raw) // 4))
-            columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
-        # An idle worker keeps no words; the next task soon knows them again.
-        _encoder(ranks, pattern)[1].clear()
+            docs, texts = part.column(0).to_pylist(), part.column(1).fill_null("").to_pylist()
+            for a, b in _chunks(texts):
+                rows = []
+                for doc, ids in zip(docs[a:b], words.many(texts[a:b]), strict=True):
+                    raw = np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes()
+                    for at in range(0, len(raw), 4 * capacity):
+                        window = raw[at : at + 4 * capacity]
+                        rows.append((doc, at // 4, len(window) // 4, zlib.crc32(window), len(raw) // 4))
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=names)
 
     chosen = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return chosen.mapInArrow(thrifty(run), schema)
@@ -159,12 +231,13 @@ def pack(
     docs: DataFrame,
     ranks: str,
     pattern: str,
+    special: tuple[tuple[str, int], ...] = (),
     id_column: str = "doc_id",
     text_column: str = "text",
     capacity: int = CAPACITY,
 ) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``; pieces lie gapless in a sequence."""
-    cut = stored(pieces(docs, ranks, pattern, id_column, text_column, capacity), "packing-pieces")
+    cut = stored(pieces(docs, ranks, pattern, special, id_column, text_column, capacity), "packing-pieces")
     # At most ``capacity`` rows reach the driver.
     counts = {row["length"]: row["n"] for row in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = _slots(plan(counts, capacity))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,14 @@ def query(function):
     return function
 
 
-def tokenizer_files() -> tuple[str, str]:
-    """(ranks file, pre-token pattern) of the byte-level vocabulary."""
+def tokenizer_files() -> tuple[str, str, tuple[tuple[str, int], ...]]:
+    """(ranks file, pre-token pattern, added tokens) of the byte-level vocabulary."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        added = json.load(file)["added_tokens"]
+    special = tuple((x["content"], x["id"]) for x in added)
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, special
 
 
 @query
