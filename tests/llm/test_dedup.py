@@ -195,15 +195,19 @@ def test_repeated_lines(spark, group):
     lines = [(d, k, words(x), x) for d, t in enumerate(texts) if t is not None for k, x in enumerate(t.split("\n"))]
     long = [x for x in lines if len(x[2]) >= 5]
     norm = [" ".join(x[3].encode().lower().decode().split()) for x in long]
-    blocks = []
-    for x in norm:
-        data = np.frombuffer(x.encode(), np.uint8)
-        _, _, count, _, first, _, _, found = line_dedup.read_lines(data, np.array([0, len(data)]))
-        blocks.append(line_dedup._blocks_of(line_dedup.simhash_bits(found, first, count))[0])
+    data = "".join(norm).encode()
+    ends = np.cumsum([len(x.encode()) for x in norm])
+    places, sizes = line_dedup.minima(np.frombuffer(data, np.uint8), ends - np.diff(ends, prepend=0), ends)
+    agree = lambda a, b: int((places[a] == places[b]).sum())
+    meet = lambda a, b: any((places[a][list(x)] == places[b][list(x)]).all() for x in line_dedup.PLANE)
+    fit = lambda a, b: min(sizes[a], sizes[b]) >= line_dedup.SIMILARITY * max(sizes[a], sizes[b])
+    pairs = list(combinations(range(len(long)), 2))
+    group_of = roots(range(len(long)), [(a, b) for a, b in pairs if agree(a, b) >= line_dedup.AGREE and meet(a, b) and fit(a, b)])
     links = [
         (a, b)
-        for a, b in combinations(range(len(long)), 2)
-        if (blocks[a] == blocks[b]).sum() >= 2
+        for a, b in pairs
+        if group_of[a] == group_of[b]
+        and agree(a, b) >= line_dedup.AGREE
         and distance(norm[a], norm[b]) <= (1 - line_dedup.SIMILARITY) * max(len(norm[a]), len(norm[b])) + 1e-9
     ]
     fuzzy = sum(norm[a] != norm[b] for a, b in links)
