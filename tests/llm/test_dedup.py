@@ -201,15 +201,15 @@ def test_repeated_lines(spark, group):
     agree = lambda a, b: int((places[a] == places[b]).sum())
     meet = lambda a, b: any((places[a][list(x)] == places[b][list(x)]).all() for x in line_dedup.PLANE)
     fit = lambda a, b: min(sizes[a], sizes[b]) >= line_dedup.SIMILARITY * max(sizes[a], sizes[b])
-    pairs = list(combinations(range(len(long)), 2))
-    group_of = roots(range(len(long)), [(a, b) for a, b in pairs if agree(a, b) >= line_dedup.AGREE and meet(a, b) and fit(a, b)])
     links = [
         (a, b)
-        for a, b in pairs
-        if group_of[a] == group_of[b]
-        and agree(a, b) >= line_dedup.AGREE
+        for a, b in combinations(range(len(long)), 2)
+        if agree(a, b) >= line_dedup.AGREE
+        and fit(a, b)
         and distance(norm[a], norm[b]) <= (1 - line_dedup.SIMILARITY) * max(len(norm[a]), len(norm[b])) + 1e-9
     ]
+    sure = [x for x in links if meet(*x)]  # others are linked only where a third line brings them together
+    assert roots(range(len(long)), links) == roots(range(len(long)), sure)
     fuzzy = sum(norm[a] != norm[b] for a, b in links)
     assert fuzzy > 10
     group_of = roots(range(len(long)), links)

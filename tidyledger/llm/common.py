@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidyledger.session import stored
+from tidyledger.session import drop_folder, stored
 
 BLOCK_BYTES = 1 << 19  # texts are hashed in blocks of about this size
 WORD_SEPARATORS = b" \t\n\x0b\x0c\r"
@@ -45,6 +45,12 @@ def settled(df: DataFrame, purpose: str) -> DataFrame:
     return result
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`stored` wrote, once all that comes of it is written."""
+    for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+        drop_folder(table.sparkSession, folder)
+
+
 @cache
 def _trim():
     try:
