@@ -1,20 +1,23 @@
-"""Registered queries over time, sets and versions, with their SQL."""
+"""Registered queries over time, sets, versions, layouts and kept figures, with their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidyledger.functions.numbers import money_double
-from tidyledger.operators import difference, lattice, quantiles, timeline
+from tidyledger.operators import clean, difference, lattice, quantiles, timeline, validate
 from tidyledger.operators.kpi import revenue_bearing
-from tidyledger.plans.oracle import BASE
-from tidyledger.plans.queries import MONEY, _clean
-from tidyledger.schema import ORDER_MONTH
+from tidyledger.plans import quality, report
+from tidyledger.plans.oracle import BASE, COLUMNS, ISSUES, REJECTED, shown
+from tidyledger.plans.queries import MONEY, _clean, _run
+from tidyledger.schema import ORDER_MONTH, ORDER_SCHEMA, SOURCE_ROW, ColumnSpec, QualityPolicy
 from tidyledger.session import shared_folder, stored
-from tidyledger.sources import tables
+from tidyledger.sources import clustered, grid, tables
+from tidyledger.streaming import figures
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -247,3 +250,116 @@ ORACLE["version_changes"] = """
     UNION ALL SELECT k, 'changed', 'o_orderpriority', p, NULL FROM b WHERE k BETWEEN 115 AND 124 AND p IS NOT NULL
     UNION ALL SELECT k, 'removed', '*', NULL, NULL FROM b WHERE k BETWEEN 300 AND 309 OR k BETWEEN 400 AND 404
     UNION ALL SELECT k + 1000000000, 'added', '*', NULL, NULL FROM b WHERE k BETWEEN 400 AND 404"""
+
+
+NET = "CASE WHEN coalesce(status NOT IN ('Cancelled', 'Refunded'), true) THEN revenue END"
+KEPT = figures.FigurePlan(
+    "order_id", SOURCE_ROW, ("category", "region", ORDER_MONTH), "customer",
+    {"quantity": "quantity", "gross": "revenue", "net": NET}, buckets=32,
+)
+
+
+@query
+def maintained_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures by category and month after three arrivals; most later rows take the place of earlier ones."""
+    root = shared_folder(spark, "figures")
+    arrivals, out = f"{root}/arrivals", f"{root}/out"
+    valid = validate.valid_rows(_run(spark, sf_dir).checked)
+    names = [SOURCE_ROW, "order_id", "customer", "category", "region", "status", "quantity", "revenue", ORDER_MONTH]
+    rows = stored(clean.apply_value_rules(valid, ORDER_SCHEMA).select(*names), "figure-rows")
+    for part in (2, 1, 0):
+        rows.where(F.pmod(SOURCE_ROW, F.lit(3)) == part).write.mode("append").parquet(arrivals)
+        figures.maintain(spark.readStream.schema(rows.schema).parquet(arrivals), out, KEPT)
+        if part == 1:
+            figures.compact(spark, out, KEPT)
+    found = figures.figures(spark, out, KEPT, ["category", ORDER_MONTH])
+    return found.select(
+        "category",
+        ORDER_MONTH,
+        F.col("rows").alias("order_count"),
+        F.col("quantity").cast("bigint").alias("total_quantity"),
+        *[money_double(F.col(x).cast("decimal(38,2)")).alias(f"{x}_revenue") for x in ("gross", "net")],
+        F.col("members").alias("distinct_customers"),
+    )
+
+
+ORACLE["maintained_figures"] = f"""{BASE}
+    SELECT category, order_month, count(*) AS order_count, CAST(sum(quantity) AS BIGINT) AS total_quantity,
+           CAST(sum(revenue) AS DOUBLE) AS gross_revenue,
+           CAST(coalesce(sum(revenue) FILTER (WHERE realised), 0) AS DOUBLE) AS net_revenue,
+           count(DISTINCT customer) AS distinct_customers
+    FROM clean GROUP BY ALL"""
+
+
+@query
+def clustered_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter's orders of a few products, from a table clustered by date, product and region."""
+    rows = _clean(spark, sf_dir, "order_id", "date", "product", "region", "revenue")
+    rows = stored(rows.select("order_id", "date", "product", "region", "revenue"), "cluster-rows")
+    folder = shared_folder(spark, "clustered")
+    clustered.write_clustered(rows, folder, ["date", "product", "region"], files=64)
+    ranges = {"date": (date(1997, 4, 1), date(1997, 6, 30)), "product": ("red", "red zz")}
+    found = clustered.read_clustered(spark, folder, ranges)
+    day = F.date_format("date", "yyyy-MM-dd")
+    return found.select("order_id", day.alias("day"), "product", "region", money_double(F.col("revenue")).alias("revenue"))
+
+
+ORACLE["clustered_orders"] = f"""{BASE}
+    SELECT order_id, strftime(date, '%Y-%m-%d') AS day, product, region, CAST(revenue AS DOUBLE) AS revenue
+    FROM clean WHERE date BETWEEN DATE '1997-04-01' AND DATE '1997-06-30' AND product BETWEEN 'red' AND 'red zz'"""
+
+
+@query
+def rejected_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's quarantine: cells are shortened for display, free text included."""
+    table = report.rejected_table(_run(spark, sf_dir, feedback=True))
+    cells = F.from_json("record", "map<string,string>")
+    shown_cells = F.concat_ws(" | ", *[cells[spec.name] for spec in ORDER_SCHEMA])
+    return table.select(SOURCE_ROW, "order_id", "codes", "reason", shown_cells.alias("cells"))
+
+
+def _short(cell: str) -> str:
+    return f"CASE WHEN length({cell}) > 80 THEN left({cell}, 77) || '...' ELSE {cell} END"
+
+
+_CELLS = " || ' | ' || ".join(f"({_short(shown(name))})" for name in COLUMNS)
+ORACLE["rejected_display"] = f"""{BASE}, {ISSUES}, quarantine AS ({REJECTED.replace("reasons AS (", "SELECT * FROM (WITH reasons AS (", 1)}))
+    SELECT q.source_row, coalesce(q.order_id, '') AS order_id, q.codes, q.reasons AS reason, w.cells
+    FROM quarantine q JOIN (SELECT source_row, {_CELLS} AS cells FROM checked) w USING (source_row)"""
+
+EVENT_SCHEMA = (
+    ColumnSpec("event", "text", headers=("event id",)),
+    ColumnSpec("user", "integer", headers=("user id",), maximum=400),
+    ColumnSpec("kind", "category", headers=("event type",), allowed=("View", "Buy"),
+               spellings={"click": "View", "view": "View", "purchase": "Buy"}),
+    ColumnSpec("value", "numeric", required=False, minimum=1, maximum=100),
+)
+
+
+@query
+def custom_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events under a schema of their own: accepted rows with their values, rejected ones with their codes."""
+    events = grid.read_numbered_parquet(spark, f"{sf_dir}/events.parquet")
+    raw = events.select(
+        SOURCE_ROW,
+        F.col("event_id").cast("string").alias("Event ID"),
+        F.concat(F.lit(" "), "user_id").alias("User-ID"),
+        F.upper("event_type").alias("Event  Type"),
+        F.col("value").cast("decimal(12,2)").cast("string").alias("VALUE"),
+    )
+    run = quality.run_quality(raw, EVENT_SCHEMA, QualityPolicy(duplicate_column="event"), gate=False)
+    told = F.concat_ws(" ", "event", "kind", F.col("user").cast("string"), F.col("value").cast("decimal(12,2)").cast("string"))
+    accepted = run.clean.select(SOURCE_ROW, F.lit("accepted").alias("outcome"), told.alias("detail"))
+    rejected = run.rejected.select(SOURCE_ROW, F.lit("rejected").alias("outcome"), F.array_join("codes", ", ").alias("detail"))
+    return accepted.unionByName(rejected)
+
+
+ORACLE["custom_schema"] = """
+    WITH e AS (SELECT row_number() OVER () + 1 AS source_row, *, value::decimal(12,2) AS amount,
+                      CASE event_type WHEN 'purchase' THEN 'Buy' WHEN 'click' THEN 'View' WHEN 'view' THEN 'View' END AS kind
+               FROM events),
+    f AS (SELECT *, coalesce(user_id > 400, false) OR coalesce(amount < 1 OR amount > 100, false) AS outside FROM e)
+    SELECT source_row, CASE WHEN kind IS NULL OR outside THEN 'rejected' ELSE 'accepted' END AS outcome,
+      CASE WHEN kind IS NULL AND outside THEN 'INVALID_CATEGORY, OUT_OF_RANGE' WHEN kind IS NULL THEN 'INVALID_CATEGORY'
+           WHEN outside THEN 'OUT_OF_RANGE'
+           ELSE concat_ws(' ', event_id, kind, user_id, amount) END AS detail FROM f"""
