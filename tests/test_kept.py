@@ -109,10 +109,10 @@ def test_clustered_reads(spark):
     rows = placed_rows(random.Random(3), 6000)
     folder = shared_folder(spark, "clustered")
     frame = spark.createDataFrame(rows, "n bigint, day date, product string, region string")
-    clustered.write_clustered(frame, folder, ["day", "product", "region"], files=100)
+    clustered.write_clustered(frame, folder, ["day", "product", "region"], files=240)
     files = spark.read.parquet(f"{folder}/bounds").count()
     largest = spark.read.parquet(f"{folder}/bounds").agg({"rows": "max"}).first()[0]
-    assert files > 60 and largest < 6000 / 100 * 4  # the frequent product is dealt out
+    assert files > 160 and largest < 6000 / 240 * 4  # the frequent product is dealt out
     cases = [
         {"day": (DAY + timedelta(100), DAY + timedelta(110)), "product": ("product 100", "product 110")},
         {"day": (DAY + timedelta(700), None), "region": ("N", "N")},
