@@ -355,10 +355,35 @@ def test_phrases_against_brute_force():
     table = langid.suffix_automaton(np.array([code[c] for c in sample]), 6)
     found = np.array([code[c] for t in texts for c in t], np.uint16)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-    counts = langid.phrases(found, offsets, [table], 6)[:, 0]
+    counts = langid.phrases(found, offsets, [table])[:, 0]
     assert counts.tolist() == [slow_phrases(t, sample) for t in texts]
 
 
+def test_automaton_of_many_letters():
+    rng = np.random.default_rng(4)
+    sample, texts = rng.integers(1, 2001, 20_000), rng.integers(0, 2001, (40, 300))
+    texts[::2, :200] = sample[5000:5200]
+    table = langid.suffix_automaton(sample, 2001)
+    assert sum(x.nbytes for x in (table.base, table.cells, table.fresh)) < 5 << 20
+    counts = langid.phrases(texts.reshape(-1), np.arange(41) * 300, [table])[:, 0]
+    spell = lambda x: "".join(chr(0x4E00 + k) if k else "-" for k in x)
+    assert counts.tolist() == [slow_phrases(spell(t), spell(sample)) for t in texts]
+    nothing = langid.suffix_automaton(np.zeros(0, np.int64), 3)
+    assert langid.phrases(np.array([1, 2, 0]), np.array([0, 3]), [nothing])[0, 0] == 3
+
+
+def test_sample_of_one_id_and_many_labels(spark):
+    rows = spark.range(20_000).selectExpr("7L AS doc_id", "concat('text ', id) AS text", "'aa' AS lang")
+    ((label, text),) = langid.fit(rows, F.lit(True))
+    assert label == "aa" and len(text.split("\n")) == langid.SAMPLE_ROWS
+    many = spark.range(900).selectExpr("id AS doc_id", "'some text' AS text", "concat('l', id % 300) AS lang")
+    more = many.where("lang IN ('l7', 'l299')")
+    samples = langid.fit(many.unionByName(more), F.lit(True), most_languages=40)
+    labels = [x for x, _ in samples]
+    assert len(labels) == 40 and {"l7", "l299", "l0"} <= set(labels)
+    assert langid.identify(many.limit(5), samples).where("lang_pred = 'und'").count() == 0
+
+
 def test_languages(spark):
     rng = np.random.default_rng(3)
     stems = {"aa": ["tion", "the", "ing", "wh"], "bb": ["eau", "é", "qu", "le"], "cc": ["ung", "sch", "ü", "der"]}

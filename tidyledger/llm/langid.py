@@ -6,8 +6,8 @@ that needs the fewest phrases, normalised by the bits of a pointer into its samp
 wins.  Letters are lower-cased, everything between letters is one separator.
 
 The model is fitted on a bounded sample: ``SAMPLE_ROWS`` labelled rows of each
-language (those with the least hash of their id), together ``SAMPLE_CHARS``
-characters.  Prediction reads every whole text, in windows that are parsed side by
+language (those with the least hash of their id, whatever ids repeat), together ``SAMPLE_CHARS``
+characters; of more than ``MOST_LANGUAGES`` labels those with most rows are learned.  Prediction reads every whole text, in windows that are parsed side by
 side; a phrase ends where a window ends.
 
 Null texts and texts without a letter are ``und`` with score 0.  Ties go to the
@@ -17,6 +17,7 @@ language first in the alphabet.  Without any labelled row every text is ``und``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -31,7 +32,7 @@ from tidyledger.llm.common import blocks, text_bytes, thrifty
 UNDETERMINED = "und"
 SAMPLE_ROWS = 64
 SAMPLE_CHARS = 20_000
-MOST_LANGUAGES = 250  # the model is refused beyond; it would not be a small one
+MOST_LANGUAGES = 250  # learned, those with most rows
 WINDOW = 256  # characters
 BLOCK = 1 << 20
 SEPARATOR = 1  # symbol; 0 is a letter that no sample has
@@ -63,13 +64,27 @@ def _symbols(points: np.ndarray, offsets: np.ndarray, symbol: np.ndarray) -> tup
     return found[keep], ends[offsets]
 
 
-def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
-    """Transition table ``[state * size + symbol]``: 2 * (next state * size), and 1 more if a phrase starts.
+@dataclass(frozen=True)
+class Automaton:
+    """Suffix automaton of a sample, edges of all states in one row of cells.
 
-    A symbol that does not continue any substring starts a phrase as if from the root.  In
-    the last state, where every text begins and which follows a letter that the sample has
-    not (symbol 0, a phrase of its own), each symbol starts one.
+    The edge of ``state`` by ``symbol`` is in cell ``base[state] + symbol``, if that cell names the state
+    (upper half); its lower half is the next state.  Without an edge a phrase starts: ``fresh[symbol]``
+    is the state it is in.  The last state has no edges: texts begin there, and a letter that the
+    sample has not (symbol 0, a phrase of its own) leads there.
     """
+
+    base: np.ndarray
+    cells: np.ndarray
+    fresh: np.ndarray
+
+    @property
+    def begin(self) -> int:
+        return len(self.base) - 1
+
+
+def suffix_automaton(text: np.ndarray, size: int) -> Automaton:
+    """The automaton of a sample whose symbols are below ``size``; its size follows the edges, not the letters."""
     link, length, moves = [-1], [0], [{}]
     last = 0
     for c in text.tolist():
@@ -95,34 +110,71 @@ def suffix_automaton(text: np.ndarray, size: int) -> np.ndarray:
                     at = link[at]
                 link[to] = link[new] = twin
         last = new
-    begin = len(link)
-    fresh = np.full(size, 2 * begin * size + 1, np.int64)
+    return _placed(moves, size)
+
+
+def _placed(moves: list[dict[int, int]], size: int) -> Automaton:
+    """States with many edges take the first cells that are free for all of them, then the others any free cell."""
+    begin = len(moves)
+    fresh = np.full(size, begin, np.int64)
     for c, to in moves[0].items():
-        fresh[c] = 2 * to * size + 1
-    table = np.tile(fresh, (begin + 1, 1))
-    for state, own in enumerate(moves):
-        for c, to in own.items():
-            table[state, c] = 2 * to * size
-    return table.ravel().astype(np.int64 if table.max() >= 2**31 else np.int32)
+        fresh[c] = to
+    edges = sum(map(len, moves))
+    # Cells before and after keep every ``base + symbol`` within the row.
+    cells = np.full(2 * edges + 3 * size + 1, -1, np.int64)
+    base = np.zeros(begin + 1, np.int32)
+    taken = np.zeros(len(cells), bool)
+    ahead = np.arange(64)
+    order = sorted((k for k in range(begin) if len(moves[k]) > 1), key=lambda k: -len(moves[k]))
+    at, width = size, 0
+    for state in order:
+        symbols = np.array(sorted(moves[state]))
+        if len(symbols) != width:
+            at, width = size, len(symbols)  # smaller states fill what larger ones left
+        offsets = symbols - symbols[0]
+        while True:
+            if at + len(ahead) + size >= len(taken):
+                taken = np.concatenate((taken, np.zeros(len(taken), bool)))
+                cells = np.concatenate((cells, np.full(len(cells), -1, np.int64)))
+            free = np.flatnonzero(~taken[at + ahead[:, None] + offsets].any(1))
+            if len(free):
+                at += int(free[0])
+                break
+            at += len(ahead)
+        base[state] = at - symbols[0]
+        taken[at + offsets] = True
+        cells[at + offsets] = (state << 32) | np.array([moves[state][c] for c in symbols.tolist()])
+    single = [(k, *next(iter(x.items()))) for k, x in enumerate(moves) if len(x) == 1]
+    if single:
+        state, symbol, to = np.array(single, np.int64).T
+        room = size + np.flatnonzero(~taken[size:])[: len(single)]
+        if len(room) < len(single):
+            more = len(taken) + np.arange(len(single) - len(room))
+            room = np.concatenate((room, more))
+            cells = np.concatenate((cells, np.full(len(more), -1, np.int64)))
+        base[state] = room - symbol
+        cells[room] = (state << 32) | to
+    used = int(np.flatnonzero(cells >= 0).max(initial=0)) + 1
+    return Automaton(base, np.concatenate((cells[:used], np.full(size, -1, np.int64))), fresh)
 
 
 @cache
 def _model(samples: tuple[tuple[str, str], ...]):
-    """(symbol of each code point, number of symbols, tables, bits of a pointer) for ``(language, sample text)``."""
+    """(symbol of each code point, automata, bits of a pointer) for ``(language, sample text)``."""
     points, offsets = _points(pa.array([text for _, text in samples], pa.string()))
     known = np.unique(points[_letters()[points]])
-    symbol = np.where(_letters(), 0, SEPARATOR).astype(np.uint16)
+    symbol = np.where(_letters(), 0, SEPARATOR).astype(np.int32)
     symbol[known] = np.arange(len(known)) + SEPARATOR + 1
     found, ends = _symbols(points, offsets, symbol)
     size = len(known) + SEPARATOR + 1
     tables = [suffix_automaton(found[a:b], size) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return symbol, size, tables, np.log2(np.maximum(np.diff(ends), 2))
+    return symbol, tables, np.log2(np.maximum(np.diff(ends), 2))
 
 
 def phrases(
-    found: np.ndarray, offsets: np.ndarray, tables: list[np.ndarray], size: int, window: int = WINDOW
+    found: np.ndarray, offsets: np.ndarray, tables: list[Automaton], window: int = WINDOW
 ) -> np.ndarray:
-    """Phrases of each text for each language, ``[text, language]``; ``size`` is the number of symbols."""
+    """Phrases of each text for each language, ``[text, language]``."""
     sizes = np.diff(offsets)
     counts = -(-sizes // window)
     owner = np.repeat(np.arange(len(sizes)), counts)
@@ -132,15 +184,16 @@ def phrases(
     order = np.argsort(-lengths, kind="stable")
     starts, lengths, owner = starts[order], lengths[order], owner[order]
     active = np.searchsorted(-lengths, -np.arange(window), "left") if len(lengths) else []
-    states = [np.full(len(starts), 2 * (len(x) - size), x.dtype) for x in tables]
+    states = [np.full(len(starts), x.begin, np.int64) for x in tables]
     begun = [np.zeros(len(starts), np.int32) for _ in tables]
     for step in range(int(lengths[0]) if len(lengths) else 0):
         n = active[step]
         symbol = found[starts[:n] + step]
         for table, state, count in zip(tables, states, begun, strict=True):
-            moved = table.take((state[:n] >> 1) + symbol)
-            state[:n] = moved
-            count[:n] += moved.astype(np.int32) & 1
+            cell = table.cells.take(table.base.take(state[:n]) + symbol)
+            new = cell >> 32 != state[:n]
+            state[:n] = np.where(new, table.fresh.take(symbol), cell & 0xFFFFFFFF)
+            count[:n] += new
     out = np.zeros((len(sizes), len(tables)))
     for k, count in enumerate(begun):
         out[:, k] = np.bincount(owner, weights=count, minlength=len(sizes))
@@ -155,22 +208,25 @@ def fit(
     label_column: str = "lang",
     sample_rows: int = SAMPLE_ROWS,
     sample_chars: int = SAMPLE_CHARS,
+    most_languages: int = MOST_LANGUAGES,
 ) -> tuple[tuple[str, str], ...]:
-    """``(language, sample text)`` from labelled rows with ``learn``; at most
-    ``sample_rows`` rows and ``sample_chars`` characters of each language reach the driver."""
+    """``(language, sample text)`` from labelled rows with ``learn``.
+
+    At most ``sample_rows`` rows and ``sample_chars`` characters of each of ``most_languages``
+    languages reach the driver: those with most rows, of equal ones the first in the alphabet.
+    """
+    share = -(-sample_chars // sample_rows)
     rows = docs.select(
         F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(label_column).alias("label"), learn.alias("ok")
     ).where("ok AND label IS NOT NULL AND text IS NOT NULL AND id IS NOT NULL")
-    rows = rows.where(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id"))
-    chosen = rows.select("id", "label").withColumn("rank", rank).where(F.col("rank") <= sample_rows)
-    ids = [row["id"] for row in chosen.select("id").limit(MOST_LANGUAGES * sample_rows + 1).collect()]
-    if len(ids) > MOST_LANGUAGES * sample_rows:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    share = -(-sample_chars // sample_rows)
-    texts = rows.where(F.col("id").isin(ids)).select("id", "label", F.substring("text", 1, 4 * share).alias("text"))
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_languages)
+    labels = [row["label"] for row in counts.collect()]
+    rows = rows.where(F.col("label").isin(labels) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.withColumn("text", F.substring("text", 1, 4 * share))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text"))
+    texts = rows.withColumn("rank", rank).where(F.col("rank") <= sample_rows)
     found: dict[str, list[str]] = {}
-    for row in sorted(texts.collect(), key=lambda x: (x["label"], x["id"], x["text"])):
+    for row in sorted(texts.select("id", "label", "text").collect(), key=lambda x: (x["label"], x["id"], x["text"])):
         found.setdefault(row["label"], []).append(row["text"])
     samples = []
     for label in sorted(found):
@@ -197,7 +253,7 @@ def identify(
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _letters()
-        symbol, size, tables, bits = _model(samples) if samples else (None, 0, [], np.zeros(0))
+        symbol, tables, bits = _model(samples) if samples else (None, [], np.zeros(0))
         for part in parts:
             winner = np.full(part.num_rows, len(samples))
             score = np.zeros(part.num_rows)
@@ -210,7 +266,7 @@ def identify(
                 if not len(real) or not tables:
                     continue
                 found, ends = _symbols(points, ends, symbol)
-                cost = phrases(found, ends, tables, size)[real] * bits
+                cost = phrases(found, ends, tables)[real] * bits
                 best = cost.argmin(1)
                 ranked = np.sort(cost, axis=1)
                 winner[a + real] = best
