@@ -8,7 +8,9 @@ them uses its own best container.
 
 Inside a container all blocks are kept in page order except boilerplate, told by tag
 or by the words of ``class``, ``id`` and ``role`` (ids of headings, and of sections
-inside an article, name topics), or hidden (``hidden``, ``aria-hidden=true``, ``display:none``).  Character references are decoded,
+inside an article, name topics), or hidden (``hidden``, ``aria-hidden=true``, ``display:none``).
+A header element is the page's unless it is in an article, main or section element; classes like
+``entry-header`` inside an article or main element name its own head.  Character references are decoded,
 white space inside a block becomes one space, blocks are joined by a line feed.
 
 Null or empty html gives an empty text; null urls and urls without a host share one
@@ -54,6 +56,7 @@ BLOCKS = CONTAINERS | frozenset(
     "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd pre table thead tbody tfoot tr th caption hr address summary figcaption "
     "fieldset legend nav footer aside form menu dialog template option select button head title".split()
 )
+OWN_HEAD = frozenset("header masthead topbar".split())  # in an article: its own head, not the page's
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES_P = BLOCKS - {"option", "button", "select"}
 _SIBLINGS = {
@@ -78,16 +81,20 @@ def _hidden(marks: dict[str, str]) -> bool:
     )
 
 
-def _dropped(tag: str, marks: dict[str, str], inside: bool) -> bool:
-    """Whether a block is boilerplate; ``inside`` an article or main element the id of a section is its topic."""
-    if tag in DROPPED_TAGS:
+def _dropped(tag: str, marks: dict[str, str], inside: bool, sectioned: bool) -> bool:
+    """Whether a block is boilerplate.
+
+    ``inside`` an article or main element the id of a section is its topic and headers are its own;
+    ``sectioned`` tells that it is in one of them or in a section.
+    """
+    if tag in DROPPED_TAGS or (tag == "header" and not sectioned):
         return True
     if not marks or tag in ("html", "body", "article", "main"):
         return False
     topic = tag in HEADINGS or (inside and tag == "section")
     names = " ".join(marks.get(x, "") for x in (("class", "role") if topic else ("class", "id", "role")))
     words = {x.lower() for x in _TOKEN.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", names))}
-    return not words.isdisjoint(DROPPED_WORDS)
+    return not words.isdisjoint(DROPPED_WORDS - OWN_HEAD if inside else DROPPED_WORDS)
 
 
 class Page:
@@ -103,14 +110,15 @@ class Page:
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool]] = [("", 0, False)]  # tag, container, dropped
+        # Tag, container, dropped, within an article or main element, within one of them or a section.
+        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
         text: list[str] = []
         links = depth = at = 0
 
         def flush() -> None:
             nonlocal links
             if text:
-                tag, container, drop = stack[-1]
+                tag, container, drop = stack[-1][:3]
                 if not drop and (joined := " ".join(unescape("".join(text)).split())):
                     self.blocks.append((container, joined, links, tag in HEADINGS))
                 text.clear()
@@ -157,13 +165,14 @@ class Page:
                 if tag in VOID or m[3].endswith("/"):
                     continue
                 marks = _attributes(m[3])
-                _, container, drop = stack[-1]
-                inside = any(x[0] in ("article", "main") for x in stack)
-                drop = drop or _dropped(tag, marks, inside) or _hidden(marks)
+                _, container, drop, inside, sectioned = stack[-1]
+                drop = drop or _dropped(tag, marks, inside, sectioned) or _hidden(marks)
+                inside = inside or tag in ("article", "main")
+                sectioned = inside or sectioned or tag == "section"
                 if tag in CONTAINERS and not drop:
                     if tag != "html":
                         container = self._add(container, tag, marks)
-                stack.append((tag, container, drop))
+                stack.append((tag, container, drop, inside, sectioned))
         if at < len(html):
             text.append(html[at:])
         flush()
@@ -188,18 +197,14 @@ class Page:
             scores[container] += value
             if self.parent[container] >= 0:
                 scores[self.parent[container]] += value / 2
+        below = [0.0] * len(self.parent)  # best score inside; containers come after those around them
         for k in range(len(self.parent) - 1, 0, -1):
-            if self.tag[k] in ("article", "main") and self.parent[k] >= 0:
-                scores[k] = max(scores[k], 1.01 * max((scores[x] for x in self._inside(k)), default=0.0))
+            if self.tag[k] in ("article", "main"):
+                scores[k] = max(scores[k], 1.01 * below[k])
+            around = self.parent[k]
+            below[around] = max(below[around], below[k], scores[k])
         return scores
 
-    def _inside(self, top: int) -> Iterator[int]:
-        inside = {top}
-        for k in range(top + 1, len(self.parent)):
-            if self.parent[k] in inside:
-                inside.add(k)
-                yield k
-
 
 def choose(paths: list[str], scores: list[float], winners: list[str]) -> str:
     """The first of the host's winning paths that the page has, else the path of its best container."""
