@@ -266,11 +266,50 @@ def test_main_text(spark, container, close):
     ('<article><table aria-label="Share of votes"><tr><td>Text</td></tr></table></article>', ["Text"]),
     ('<article><p hidden>No</p><p aria-hidden=true>No</p><p style="color:red; display: none">No</p><p>Text</p></article>', ["Text"]),
     ('<article><p>Text</p><section class="comments"><p>No</p></section></article>', ["Text"]),
+    ("<body><header><p>No</p></header><p>Text</p>", ["Text"]),
+    ('<div id="page"><header><h1>No</h1></header><p>Text</p></div>', ["Text"]),
+    ("<article><header><h1>Head</h1></header><p>Text</p></article>", ["Head", "Text"]),
+    ("<section><header><h2>Head</h2></header><p>Text</p></section><header>No</header>", ["Head", "Text"]),
+    ('<article><div class="entry-header"><h1 class="article-header">Head</h1></div><p>Text</p></article>', ["Head", "Text"]),
+    ('<main><h2 class="section-header">Head</h2><p>Text</p></main><div class="header">No</div>', ["Head", "Text"]),
 ])
 def test_only_hidden_parts_and_boilerplate_go(part, want):
     assert [x[1] for x in html_text.Page(f"<html>{part}</html>").blocks] == want
 
 
+def test_random_pages_against_their_parts(spark):
+    """Pages put together from parts that are known to belong to the article or not."""
+    rng = np.random.default_rng(12)
+    said = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 900, n))
+    frames = ["<nav><ul><li><a href=/x>{}</a></ul></nav>", "<header><p>{}</p></header>", "<footer>{}</footer>",
+              '<div class="cookie-notice"><p>{}</p></div>', "<aside><p>{}</p></aside>", "<form><label>{}</label></form>",
+              '<div class="ad">{}</div>', "<script>{}</script>", "<!-- {} -->", "<div hidden><p>{}</p></div>"]
+    kept = ["<p>{}</p>", "<h2 class=section-header>{}</h2>", "<section id=search><p>{}</p></section>", "<ul><li>{}</li></ul>",
+            "<div class=part><p>{}</p></div>", "<blockquote>{}</blockquote>", "<table><tr><td>{}</td></tr></table>"]
+    rows, want = [], {}
+    for k in range(60):
+        parts, texts = [], []
+        for _ in range(int(rng.integers(4, 14))):
+            if rng.random() < 0.7:
+                texts.append(said(int(rng.integers(3, 40))))
+                parts.append(kept[int(rng.integers(len(kept)))].format(texts[-1].replace(" ", " \n ")))
+            else:
+                parts.append(frames[int(rng.integers(2, len(frames)))].format(said(60)))
+        texts.append(said(30))
+        parts.append(f"<p>{texts[-1]}")
+        around = [frames[int(x)].format(said(int(rng.integers(1, 12)))) for x in rng.integers(0, len(frames), 4)]
+        box = [("<article>", "</article>"), ("<main><div class=post-7>", "</div></main>")][k % 2]
+        rows.append((k, f"http://h{k % 2}/", "".join([*around[:2], box[0], *parts, box[1], *around[2:]])))
+        want[k] = "\n".join(texts)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()} == want
+
+
+def test_many_open_articles():
+    deep = html_text.Page("<article><p>x y z</p>" * 3000)
+    assert len(deep.scores()) == 3001 and max(deep.scores()) == deep.scores()[1]
+
+
 def test_consensus_beats_an_odd_page(spark):
     """A page with a long box of its own still follows its host's path."""
     plain = "<body><div class=story><p>{}</p></div><div class=extra><p>{}</p></div></body>"
@@ -496,11 +535,14 @@ def test_benchmark_items(spark):
         if k % 4 == 0:
             del item[len(item) // 2]
         texts.append(draw(20) + item + draw(int(rng.integers(0, 200))))
-    texts += [items[3], items[4][:-1], ["r"] * 300, ["a", "b"], []]
+    texts += [items[3], items[4][:-1], ["r"] * 300, ["a", "b"], [], ["b", "a", "b", "x", "a", "b"], ["a"], ["w", "v1", "q"] * 9]
+    items += [["v1"], ["q", "w", "v1"], ["a", "b", "x", "a"]]
     want = set()
     for d, text in enumerate(texts):
         for i, item in enumerate(items):
-            if len(item) < 5:
+            if len(item) < 5:  # one run of all its words
+                if item and any(text[s : s + len(item)] == item for s in range(len(text))):
+                    want.add((d, i, 1.0))
                 continue
             mine = counted(item)
             best = max(

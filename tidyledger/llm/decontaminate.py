@@ -8,14 +8,15 @@ within a Hamming distance of 15 agrees with the item in a block, so an equal blo
 size make a candidate.  Candidates are verified exactly: shingles weigh as often as
 they occur, and the smaller weights over the larger ones must reach the threshold.
 
-A text shorter than an item is one window.  Items with fewer than five words have no
-shingle and are not looked for; null texts and null items have no words.  Rows that
+A text shorter than an item is one window.  An item with fewer than five words is one
+shingle of all its words: a text holds it where the same words stand in a row.  Null texts
+and null items have no words.  Rows that
 repeat an item or a text give equal matches, which are reported once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ WORDS = 5
 PERCENT = 75
 BLOCKS, BLOCK_BITS = 16, 4
 
+Runs = Callable[[int], tuple[np.ndarray, np.ndarray]]
+
 
 def _sized(shingles: np.ndarray, size: int) -> np.ndarray:
     """A shingle of an item of ``size`` words."""
@@ -42,29 +45,39 @@ def simhash(shingles: np.ndarray) -> int:
     return int(np.packbits(2 * bits.sum(0, dtype=np.int64) > len(shingles), bitorder="little").view("<i8")[0])
 
 
-def _shingled(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """``(first row, words of each row, shingles in text order, where each row's start)`` for blocks of rows."""
+def _shingled(column: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, Runs]]:
+    """``(first row, words of each row, shingles in text order, where each row's start, runs)`` for blocks of rows.
+
+    ``runs(n)`` gives ``(row of the block, hash)`` of the runs of ``n`` words, in text order.
+    """
     data, offsets = text_bytes(column)
     for a, b in blocks(offsets):
         text, _, _, value = word_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
         sizes = np.bincount(text, minlength=b - a)
-        owner, shingles = shingle_hashes(text, value, b - a, words)
-        whole = sizes[owner] >= words
-        owner, shingles = owner[whole], shingles[whole]
+
+        def runs(n: int, text=text, value=value, sizes=sizes) -> tuple[np.ndarray, np.ndarray]:
+            owner, hashes = shingle_hashes(text, value, len(sizes), n)
+            whole = sizes[owner] >= n
+            return owner[whole], hashes[whole]
+
+        owner, shingles = runs(words)
         ends = np.searchsorted(owner, np.arange(b - a + 1))
-        yield a, sizes, shingles, ends
+        yield a, sizes, shingles, ends, runs
 
 
 def read_items(items: DataFrame, id_column: str, text_column: str, words: int = WORDS) -> DataFrame:
-    """``(item_id, item, size, print, shingles)`` of items with a shingle; ``item`` numbers the row."""
+    """``(item_id, item, size, print, shingles)`` of items with a word; ``item`` numbers the row."""
     kind = dict(items.dtypes)[id_column]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = []
-            for a, sizes, shingles, ends in _shingled(part.column(2), words):
-                for k in np.flatnonzero(np.diff(ends)).tolist():
-                    own = np.sort(shingles[ends[k] : ends[k + 1]])
+            for a, sizes, shingles, ends, runs in _shingled(part.column(2), words):
+                found = {k: np.sort(shingles[ends[k] : ends[k + 1]]) for k in np.flatnonzero(np.diff(ends)).tolist()}
+                for size in np.unique(sizes[(sizes > 0) & (sizes < words)]).tolist():
+                    owner, hashes = runs(size)
+                    found |= {int(owner[x]): hashes[x : x + 1] for x in np.flatnonzero(sizes[owner] == size)}
+                for k, own in sorted(found.items()):
                     rows.append((a + k, int(sizes[k]), simhash(own), own.tobytes()))
             if rows:
                 at, size, prints, raw = zip(*rows, strict=True)
@@ -82,13 +95,25 @@ def read_items(items: DataFrame, id_column: str, text_column: str, words: int =
 
 def _windows(rows: DataFrame, known: Membership, sizes: list[int], words: int, percent: int) -> DataFrame:
     """``(key, doc_id, size, start, print, shingles)`` of the windows with enough known shingles."""
-    needs = [(size, -(-percent * (size - words + 1) // 100)) for size in sizes]
+    needs = [(size, -(-percent * (size - words + 1) // 100)) for size in sizes if size >= words]
+    short = [size for size in sizes if size < words]
     fewest = min((need for _, need in needs), default=0)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = []
-            for a, _, shingles, ends in _shingled(part.column(1), words):
+            for a, _, shingles, ends, runs in _shingled(part.column(1), words):
+                for size in short:
+                    owner, hashes = runs(size)
+                    start = np.arange(len(owner)) - np.searchsorted(owner, owner)
+                    seen = set()
+                    for x in np.flatnonzero(known.match(_sized(hashes, size))).tolist():
+                        if (one := (int(owner[x]), int(hashes[x]))) not in seen:  # the first place in a text is enough
+                            seen.add(one)
+                            window = hashes[x : x + 1]
+                            found.append((a + one[0], size, int(start[x]), simhash(window), window.tobytes()))
+                if not needs:
+                    continue
                 hits = np.flatnonzero(known.match(shingles))
                 of = np.searchsorted(ends, hits, "right") - 1
                 for k in np.flatnonzero(np.bincount(of, minlength=len(ends)) >= max(fewest, 1)).tolist():
