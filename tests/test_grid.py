@@ -112,3 +112,24 @@ def test_run_log_trim(spark):
 def test_sink_cells(spark):
     frame = spark.sql("SELECT 5.0D a, 2.5D b, cast(NULL AS string) c, timestamp_ntz'2025-01-02 03:04:05' d, 7 e, double('nan') f, 1234.567D g, array('x','y') h")
     assert list(sinks.format_cells(frame).first()) == ["5", "2.5", "", "2025-01-02", "7", "", "1234.57", "x; y"]
+
+
+def test_unclosed_quotes_end_at_a_bound(spark):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    inside = [f"{n},z" for n in range(3, 40)]
+    lines = ["a,b", '1,"x', 'y"', '2,"open', *inside, '40,"shut"', '41,end"', '42,"two', 'lines"', "43,w", '44,"rest', *inside]
+    with open(f"{folder}/a.csv", "w") as handle:
+        handle.write("\n".join(lines))
+    records = grid.csv_records(spark, folder, most_lines=5).orderBy("_ordinal").collect()
+    # Both open quotes go on for too long, the second one to the end of the file.
+    want = [("a,b", False), ('1,"x\ny"', False), *[(x, True) for x in lines[3:43]], ('42,"two\nlines"', False), ("43,w", False)]
+    want += [(x, True) for x in lines[46:]]
+    assert [(r["value"], r["_given_up"]) for r in records] == want
+    assert [r["_ordinal"] for r in records] == list(range(len(want)))
+    found = grid.unclosed_lines(spark, folder, most_lines=5).orderBy("line").collect()
+    assert [(r["line"], r["value"]) for r in found] == [(4, '2,"open'), (43, '41,end"'), (47, '44,"rest')]
+    rows = grid.read_csv_grid(spark, folder, most_lines=5).orderBy(SOURCE_ROW).collect()
+    cells = [(r["a"], r["b"]) for r in rows]
+    assert cells[0] == ("1", "x\ny") and cells[2] == ("3", "z") and cells[-1] == ("39", "z")
+    assert [r[SOURCE_ROW] for r in rows] == list(range(2, len(want) + 1))
+    assert not grid.csv_records(spark, folder).where("_given_up").take(1)

@@ -327,6 +327,29 @@ ORACLE["rejected_display"] = f"""{BASE}, {ISSUES}, quarantine AS ({REJECTED.repl
     SELECT q.source_row, coalesce(q.order_id, '') AS order_id, q.codes, q.reasons AS reason, w.cells
     FROM quarantine q JOIN (SELECT source_row, {_CELLS} AS cells FROM checked) w USING (source_row)"""
 
+
+@query
+def csv_unclosed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a file in which some quotes are never closed."""
+    orders = tables.read_table(spark, sf_dir, "orders")
+    closes = F.when(F.col("o_orderkey") % 1000 == 7, "").otherwise('"')
+    line = F.concat(F.col("o_orderkey"), F.lit(',"'), F.col("o_orderpriority"), closes)
+    folder = shared_folder(spark, "csv")
+    rows = orders.select("o_orderkey", line.alias("value")).coalesce(1).sortWithinPartitions("o_orderkey", "value")
+    rows.select("value").write.text(folder)
+    return grid.csv_records(spark, folder, most_lines=50).select(
+        F.col("_ordinal").alias("ordinal"), "value", F.col("_given_up").alias("given_up")
+    )
+
+
+ORACLE["csv_unclosed"] = """
+    WITH o AS (SELECT o_orderkey % 1000 = 7 AS odd, o_orderkey,
+                      o_orderkey || ',"' || o_orderpriority || CASE WHEN o_orderkey % 1000 = 7 THEN '' ELSE '"' END AS value
+               FROM orders),
+    n AS (SELECT *, sum(odd::int) OVER w AS opened, row_number() OVER w - 1 AS ordinal FROM o
+          WINDOW w AS (ORDER BY o_orderkey, value ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+    SELECT ordinal, value, odd OR opened % 2 = 1 AS given_up FROM n"""
+
 EVENT_SCHEMA = (
     ColumnSpec("event", "text", headers=("event id",)),
     ColumnSpec("user", "integer", headers=("user id",), maximum=400),

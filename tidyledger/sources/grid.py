@@ -15,6 +15,7 @@ from tidyledger.schema import SOURCE_ROW, Schema, header_key
 from tidyledger.session import ensure_checkpoint_folder
 
 FIRST_DATA_ROW = 2
+MOST_LINES = 1000  # of a CSV record; a longer one has a quote that is never closed
 
 
 # ---------------------------------------------------------------------------
@@ -143,16 +144,19 @@ def _numbered_lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return numbered.withColumn("_line", F.col("_lines_before") + F.col("_place") - F.col("_first")), splits
 
 
-def csv_records(spark: SparkSession, path: str) -> DataFrame:
-    """``(_file, _ordinal, value)``: the records of CSV files, line breaks within quotes included.
+def csv_records(spark: SparkSession, path: str, most_lines: int = MOST_LINES) -> DataFrame:
+    """``(_file, _ordinal, _line, value, _given_up)``: the records of CSV files, line breaks within quotes included.
 
     A file in which every line closes its quotes has one record for each line and is not
     shuffled.  In other files a line starts a record if the quotes before it are closed;
-    the lines of a record are put together again, also across splits.  A quote that is
-    never closed makes the rest of its file one record.
+    the lines of a record are put together again, also across splits.  A record of more than
+    ``most_lines`` lines has a quote that was never closed: it is given up, and each of its lines is
+    a record of its own, so no line is lost and none gathers the rest of a file.
     """
     lines, _ = _numbered_lines(spark, path)
-    whole = lines.where("NOT _broken").select("_file", F.col("_line").alias("_ordinal"), "value")
+    whole = lines.where("NOT _broken").select(
+        "_file", F.col("_line").alias("_ordinal"), "_line", "value", F.lit(False).alias("_given_up")
+    )
     in_split = Window.partitionBy("_file", "_block").orderBy("_line")
     before = in_split.rowsBetween(Window.unboundedPreceding, -1)
     broken = lines.where("_broken").withColumn(
@@ -165,20 +169,52 @@ def csv_records(spark: SparkSession, path: str) -> DataFrame:
     counts = counts.select(
         "_file", "_block", F.coalesce(F.sum("_records").over(earlier), F.lit(0)).alias("_records_before")
     )
-    parts = broken.join(counts, ["_file", "_block"]).groupBy(
-        "_file", (F.col("_records_before") + F.col("_rank") - 1).alias("_ordinal")
+    placed = broken.join(counts, ["_file", "_block"]).select(
+        "_file", "_line", "value", (F.col("_records_before") + F.col("_rank") - 1).alias("_ordinal")
+    )
+    # Given-up records of a file, at most its lines over ``most_lines``; they move the ones behind them.
+    long = placed.groupBy("_file", "_ordinal").agg(F.count("*").alias("_n"), F.min("_line").alias("_first"))
+    long = long.where(F.col("_n") > most_lines).groupBy("_file").agg(
+        F.collect_list(F.struct("_ordinal", "_n", "_first")).alias("_long")
     )
+    passed = F.filter("_long", lambda x: x["_ordinal"] < F.col("_ordinal"))
+    own = F.get(F.filter("_long", lambda x: x["_ordinal"] == F.col("_ordinal")), F.lit(0))
+    more = F.aggregate(passed, F.lit(0).cast("bigint"), lambda total, x: total + x["_n"] - 1)
+    # In a step of their own: the new number must not be what they are looked up by.
+    moved = placed.join(long, "_file", "left").withColumns({"_own": own, "_more": F.coalesce(more, F.lit(0))})
+    parts = moved.select(
+        "_file",
+        "_line",
+        "value",
+        (F.col("_ordinal") + F.col("_more") + F.coalesce(F.col("_line") - F.col("_own._first"), F.lit(0))).alias("_ordinal"),
+        F.col("_own").isNotNull().alias("_given_up"),
+    ).groupBy("_file", "_ordinal")
     joined = F.array_sort(F.collect_list(F.struct("_line", "value")))
-    together = parts.agg(F.array_join(F.transform(joined, lambda x: x["value"]), "\n").alias("value"))
+    together = parts.agg(
+        F.min("_line").alias("_line"),
+        F.array_join(F.transform(joined, lambda x: x["value"]), "\n").alias("value"),
+        F.bool_or("_given_up").alias("_given_up"),
+    )
     return whole.unionByName(together)
 
 
+def unclosed_lines(spark: SparkSession, path: str, most_lines: int = MOST_LINES) -> DataFrame:
+    """``(file, line, value)``: the quarantine of a file's quotes, lines of given-up records with an odd number of them.
+
+    Lines count from 1.
+    """
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"')))
+    found = csv_records(spark, path, most_lines).where(F.col("_given_up") & (quotes % 2 == 1))
+    return found.select(F.col("_file").alias("file"), (F.col("_line") + 1).alias("line"), "value")
+
+
 def read_csv_grid(
     spark: SparkSession,
     path: str,
     width: int | None = None,
     separator: str = ",",
     schema: Schema | None = None,
+    most_lines: int = MOST_LINES,
 ) -> DataFrame:
     """Read ragged CSV exports, all cells as strings, numbered over all files by path.
 
@@ -186,9 +222,10 @@ def read_csv_grid(
     header, not by place, so files may order them differently; with a ``schema`` also by
     its spellings, and the result has its names.  Cells past a header are kept.  Blank
     records stay (as empty rows) and count as rows.  The distinct headers are read by
-    the driver, one for each layout of the files.
+    the driver, one for each layout of the files.  Records of more than ``most_lines`` lines
+    are given up (see :func:`csv_records`).
     """
-    records = csv_records(spark, path)
+    records = csv_records(spark, path, most_lines).select("_file", "_ordinal", "value")
     first = F.min(F.when(F.trim("value") != "", F.struct("_ordinal", "value")))
     files = records.groupBy("_file").agg((F.max("_ordinal") + 1).alias("_records"), first.alias("_head"))
     files = files.where("_head IS NOT NULL").select(
