@@ -52,6 +52,7 @@ BASE64_CHARACTERS = re.compile(r"[A-Za-z0-9+/_-]+")
 STREAM = re.compile("\x1f[\x8b\udc8b]\x08|x[\x01^\x9c\xda\udc9c\udcda]")
 LAYER_BYTES = 64 << 20  # unpacked data beyond is read in pieces with an overlap
 OVERLAP_BYTES = 8 << 20
+PIECE = 1 << 20  # characters hashed at a time
 STEP = 4096  # characters that are unpacked at once
 
 
@@ -219,6 +220,17 @@ def _base64(layer: Layer) -> Iterator[Layer]:
                 yield Layer(text, starts, ends, layer.end(m.end()))
 
 
+def _identity(layer: Layer) -> bytes:
+    """Digest of a decoded layer's text and places, read in pieces; unpacked data has one place for all characters."""
+    digest = hashlib.sha256()
+    for k in range(0, len(layer.text), PIECE):
+        digest.update(layer.text[k : k + PIECE].encode("utf-8", "surrogatepass"))
+    starts = layer.starts[:1] if layer.starts.strides == (0,) else layer.starts
+    for k in range(0, len(starts), PIECE):
+        digest.update(starts[k : k + PIECE].tobytes())
+    return digest.digest()
+
+
 def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Spans of the text itself, and those of all layers below it with them."""
     base = base_spans(text)
@@ -237,8 +249,7 @@ def spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, i
         for step in steps:
             for new in step(layer):
                 # The same content at another place is another layer.
-                key = hashlib.sha256(new.text.encode("utf-8", "surrogatepass") + new.starts.tobytes()).digest()
-                if new.text and key not in seen:
+                if new.text and (key := _identity(new)) not in seen:
                     seen.add(key)
                     work.append(new)
     return base, sorted(every)
