@@ -1,3 +1,4 @@
+import random
 import tempfile
 
 from pyspark.sql import functions as F
@@ -133,3 +134,16 @@ def test_unclosed_quotes_end_at_a_bound(spark):
     assert cells[0] == ("1", "x\ny") and cells[2] == ("3", "z") and cells[-1] == ("39", "z")
     assert [r[SOURCE_ROW] for r in rows] == list(range(2, len(want) + 1))
     assert not grid.csv_records(spark, folder).where("_given_up").take(1)
+
+
+def test_rows_of_one_file_are_not_dealt_by_file(spark):
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp") + "/one"
+    spark.range(1000).coalesce(1).write.parquet(folder)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        numbered = grid.read_numbered_parquet(spark, folder)
+        assert "SortMergeJoin" not in numbered._jdf.queryExecution().executedPlan().toString()
+        assert {(r[0], r[1]) for r in numbered.collect()} == {(k + 2, k) for k in range(1000)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
