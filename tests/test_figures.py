@@ -162,6 +162,17 @@ def test_keywords_take_the_first_rule(spark):
         (1, "a", "classified"), (2, "a", "classified"), (3, None, "unclassified")]
 
 
+def test_keywords_do_not_take_texts_along_with_words(spark):
+    texts_frame = spark.createDataFrame([(k, f"word{k % 3} " * 50) for k in range(9)], "id int, t string")
+    rules = spark.createDataFrame([(2, "b", "WORD1"), (1, "a", "word1"), (3, "c", "word2")], "rule int, category string, keyword string")
+    found = classify.classify_keywords(texts_frame, "t", rules).select("id", "category")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [_word" in plan
+    dealt = [line for line in plan.splitlines() if "hashpartitioning(" in line]
+    assert dealt and all("hashpartitioning(__digest" in line for line in dealt)
+    assert {r.id: r.category for r in found.collect()} == {k: (None, "a", "c")[k % 3] for k in range(9)}
+
+
 def shrunk(digest, budget):
     """Pop entries one by one until the text fits, the slow way."""
     found = json.loads(digest)
