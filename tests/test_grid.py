@@ -147,3 +147,42 @@ def test_rows_of_one_file_are_not_dealt_by_file(spark):
         assert {(r[0], r[1]) for r in numbered.collect()} == {(k + 2, k) for k in range(1000)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def csv_wanted(lines, most):
+    """Records of one file with their first line, as csv_records defines them."""
+    records, opened = [], 0
+    for number, line in enumerate(lines):
+        if opened % 2 == 0:
+            records.append([])
+        records[-1].append((number, line))
+        opened += line.count('"')
+    found = []
+    for record in records:
+        if len(record) > most:
+            found += [(number, line, True) for number, line in record]
+        else:
+            found.append((record[0][0], "\n".join(line for _, line in record), False))
+    return [(place, *x) for place, x in enumerate(found)]
+
+
+def test_many_records_that_are_given_up(spark):
+    draw = random.Random(5)
+    folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    want = []
+    for name, share in (("a", 0.1), ("b", 0.3), ("c", 0)):
+        lines = [f'{k},"x{k}' + ("" if draw.random() < share else '"') for k in range(4000)]
+        with open(f"{folder}/{name}.csv", "w") as handle:
+            handle.write("\n".join(lines) + "\n")
+        want += [(name, *x) for x in csv_wanted(lines, 5)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # several splits of each file
+    try:
+        records = grid.csv_records(spark, folder, most_lines=5)
+        # No row carries all given-up records of its file.
+        assert "collect_list(struct(_ordinal" not in records._jdf.queryExecution().optimizedPlan().toString()
+        found = [(r["_file"][-5], r["_ordinal"], r["_line"], r["value"], r["_given_up"]) for r in records.collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sorted(found) == sorted(want)
+    assert sum(x[-1] for x in want) > 2000
