@@ -172,6 +172,29 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, a[:10] + b[:3] + a[10:]) == distance(a, a[:10] + b[:3] + a[10:])
 
 
+def test_alike_is_the_edit_distance_within_a_limit():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        a = [f"w{k}" for k in rng.integers(0, 40, rng.integers(1, 40))]
+        b = list(a) if rng.random() < 0.8 else [f"w{k}" for k in rng.integers(0, 40, rng.integers(1, 40))]
+        for _ in range(int(rng.integers(0, 8))):
+            k, way = int(rng.integers(0, len(b) + 1)), int(rng.integers(0, 3))
+            b[k : k + (way > 0)] = [f"x{way}é"] * (way < 2)
+        a, b = " ".join(a), " ".join(b)
+        right, limit = distance(a, b), 0.15 * max(len(a), len(b)) + 1e-9
+        near = line_dedup._by_words(a, b, limit)
+        assert near is None or right <= near <= limit
+        given_up = line_dedup.edit_distance(a, b, limit)
+        assert given_up == right if right <= limit else given_up > limit
+        assert line_dedup.alike(a, b, limit) == (right <= limit)
+
+
+def test_strangers_are_given_up_before_their_end():
+    rng = np.random.default_rng(8)
+    a, b = ("".join(rng.choice(list("abcdefgh "), 2000)) for _ in range(2))
+    assert 300 < line_dedup.edit_distance(a, b, 300) < line_dedup.edit_distance(a, b)
+
+
 def line_texts():
     rng = np.random.default_rng(6)
     draw = lambda n: [f"word{k}" for k in rng.integers(0, 3000, n)]
