@@ -1,11 +1,32 @@
 """What steps send, hold and start, so that none of it grows faster than the input."""
 
 import numpy as np
+import pyarrow as pa
 
-from tidyledger.llm import line_dedup
+from tidyledger.llm import jaccard_join, line_dedup
 from tidyledger.llm.filters import membership
 
 
+def test_segments_are_small(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 400)) for _ in range(40)]
+    docs = spark.createDataFrame([(x,) for x in texts], "text string").coalesce(1)
+    # Nearly every n-gram is a segment of its own.
+    rows = jaccard_join._fragments(docs, 1 << 13, 5).collect()
+    grams = sum(len(x["grams"]) for x in rows) // 6
+    assert grams > 40 * 390
+    assert sum(len(x["segments"]) for x in rows) < 14 * grams
+
+
+def test_segments_are_read_back():
+    segments = np.zeros(3, jaccard_join._SEGMENT)
+    segments["class"], segments["n"], segments["size"] = [5, -7, 2**62], [9, 0, 70000], [1, 255, 3]
+    large = segments.copy()
+    large["size"][1] = 70000
+    sent = pa.chunked_array([[jaccard_join._packed(x) for x in (segments, segments[:0], large)]], pa.binary())
+    assert jaccard_join._segments(sent).tolist() == [*segments.tolist(), *large.tolist()]
+
+
 def test_membership_is_fetched_in_one_job(spark):
     settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
     before = {name: spark.conf.get(name) for name in settings}

@@ -94,9 +94,29 @@ def _eight(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+#: ``n`` stands in the first segment of a class that a task sends, and is 0 in the others.
 _SEGMENT = np.dtype([("class", "<i8"), ("n", "<u4"), ("size", "<u4")])
 
 
+def _packed(segments: np.ndarray) -> bytes:
+    """Segments field by field, sizes in as few bytes as they need: with many fragments there are nearly as many segments as n-grams."""
+    size = "<u1" if segments["size"].max(initial=0) < 256 else "<u4"
+    fields = [segments["class"], segments["n"], segments["size"].astype(size)]
+    return b"".join([np.dtype(size).itemsize.to_bytes(1), *(np.ascontiguousarray(x).tobytes() for x in fields)])
+
+
+def _segments(column: pa.ChunkedArray) -> np.ndarray:
+    found = [np.zeros(0, _SEGMENT)]
+    for raw in (x.as_buffer().to_pybytes() for x in column):
+        width = raw[0]
+        own = np.zeros((len(raw) - 1) // (12 + width), _SEGMENT)
+        own["class"] = np.frombuffer(raw, "<i8", len(own), 1)
+        own["n"] = np.frombuffer(raw, "<u4", len(own), 1 + 8 * len(own))
+        own["size"] = np.frombuffer(raw, f"<u{width}", len(own), 1 + 12 * len(own))
+        found.append(own)
+    return np.concatenate(found)
+
+
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Places ``start, start + 1, ...`` of all segments."""
     ends = np.cumsum(sizes)
@@ -116,14 +136,16 @@ def _fragments(docs: DataFrame, count: int, size: int) -> DataFrame:
         first[1:] = (owner[1:] != owner[:-1]) | (fragment[1:] != fragment[:-1])
         starts = np.flatnonzero(first)
         segments = np.zeros(len(starts), _SEGMENT)
-        segments["class"], segments["n"] = classes[owner[starts]], sizes[owner[starts]]
+        segments["class"] = classes[owner[starts]]
+        sent, leading = np.unique(owner[starts], return_index=True)
+        segments["n"][leading] = sizes[sent]
         segments["size"] = np.diff(np.append(starts, len(owner)))
         of = fragment[starts]
         for k in np.unique(of):
             a, b = np.searchsorted(of, [k, k + 1])
             grams = values[starts[a] : starts[b] if b < len(starts) else len(values)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), pa.array([segments[a:b].tobytes()]), pa.array([_six(grams)])],
+                [pa.array([k], pa.int32()), pa.array([_packed(segments[a:b])]), pa.array([_six(grams)])],
                 names=["fragment", "segments", "grams"],
             )
 
@@ -153,7 +175,7 @@ def _count_fragment(buckets: int):
     """How often each n-gram of a fragment occurs; sends those in several texts to their texts."""
 
     def run(group: pa.Table) -> pa.Table:
-        segments = np.concatenate([np.frombuffer(x.as_buffer(), _SEGMENT) for x in group.column("segments")])
+        segments = _segments(group.column("segments"))
         grams = np.concatenate([_eight(x.as_buffer()) for x in group.column("grams")])
         starts = np.cumsum(segments["size"].astype(np.int64)) - segments["size"]
         # A class comes once from each task; one of them counts.
@@ -178,13 +200,13 @@ def _count_fragment(buckets: int):
         ends = np.concatenate(([0], np.cumsum(counts)))
         grams, often = grams[shared], often[shared]
         rows: list[tuple[int, bytes, bytes, bytes]] = []
-        for k in np.unique(bucket[counts > 0]):
+        told = (counts > 0) | (segments["n"] > 0)
+        for k in np.unique(bucket[told]):
             a, b = np.searchsorted(bucket, [k, k + np.uint64(1)])
-            own = segments[a:b]
             rows.append(
                 (
                     int(k),
-                    own[own["size"] > 0].tobytes(),
+                    _packed(segments[a:b][told[a:b]]),
                     _six(grams[ends[a] : ends[b]]),
                     often[ends[a] : ends[b]].astype("<u4").tobytes(),
                 )
@@ -203,13 +225,13 @@ def _survivors(percent: int):
     """Sums the partial overlaps of each text; keeps those that can reach the threshold."""
 
     def run(group: pa.Table) -> pa.Table:
-        segments = np.concatenate([np.frombuffer(x.as_buffer(), _SEGMENT) for x in group.column("segments")])
+        segments = _segments(group.column("segments"))
         sizes = segments["size"].astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         classes, of = np.unique(segments["class"], return_inverse=True)
         sums = np.bincount(of, weights=sizes).astype(np.int64)
         n = np.zeros(len(classes), np.int64)
-        n[of] = segments["n"]
+        np.maximum.at(n, of, segments["n"].astype(np.int64))
         need = -(-percent * n // 100)
         kept = sums >= need
         order = np.argsort(of, kind="stable")
