@@ -2,8 +2,9 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tidyledger.llm import jaccard_join, line_dedup
+from tidyledger.llm import jaccard_join, katz, line_dedup
 from tidyledger.llm.filters import membership
 
 
@@ -50,3 +51,24 @@ def test_candidates_come_with_the_least_of_their_key(spark):
     met = spark.createDataFrame(rows, "meet long, node long, low long, high long, size int")
     found = line_dedup._with_candidate(met, 0.85)
     assert sorted(map(tuple, found.select("node", "root").collect())) == [(2, 2), (3, 2), (5, 5), (6, 5)]
+
+
+def test_links_of_a_part_are_merged_early(spark, monkeypatch):
+    text = " ".join(f"w{k}" for k in np.random.default_rng(7).integers(0, 100, 20_000))
+    docs = spark.createDataFrame([(1, text)], "id long, text string").withColumn("learn", F.lit(True))
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    batches = katz._pairs(docs, 1, none[0], none[1]).toArrow().to_batches()
+    words = katz.Words(20_001, 101, [1, 0, 0, 0, 0, 0], 1, none)
+    held, merged = [], katz._merged
+
+    def watched(links):
+        held.append(len(links))
+        return merged(links)
+
+    monkeypatch.setattr(katz, "_merged", watched)
+    rows = [x for batch in katz._count_pairs(words, 1, 1, 200)(iter(batches)) for x in batch.to_pylist()]
+    links = np.concatenate([katz._unpacked(pa.py_buffer(x["records"]), katz._LINK) for x in rows if x["kind"] in ("link", "hot")])
+    assert len(links) == 101
+    assert links["large"].sum() + (links["types"] * np.arange(1, 6)).sum() == 20_001
+    # A context comes with nearly every step; it is not held once for each.
+    assert max(held) < 1500

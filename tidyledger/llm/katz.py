@@ -339,6 +339,7 @@ def _count_pairs(words: Words, buckets: int, parts_of: int, step_tokens: int):
         cuts = [low + (high - low) * k // steps for k in range(steps + 1)]
         cuts[0], cuts[-1] = 0, 1 << (48 if alone else 64)
         links: list[np.ndarray] = []
+        room = step_tokens  # records that may wait until the contexts of several steps are merged
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             step = [x.of_contexts(a, b) if alone else x.between(a, b) for x in sent]
             word, context, runs, row, learn = (np.concatenate(x) for x in zip(*step, strict=True))
@@ -388,6 +389,9 @@ def _count_pairs(words: Words, buckets: int, parts_of: int, step_tokens: int):
             for r in range(1, DISCOUNTED + 1):
                 link["types"][:, r - 1] = counts == r
             links.append(_merged(link))
+            if sum(map(len, links)) > room:
+                links = [_merged(np.concatenate(links))]
+                room = len(links[0]) + max(step_tokens, len(links[0]) // 2)
         step = word = context = row = learn = came_word = came_context = value = c12t = kind = None  # noqa: F841
         merged = _merged(np.concatenate(links)) if links else np.zeros(0, _LINK)
         links.clear()
