@@ -1,11 +1,15 @@
 """What steps send, hold and start, so that none of it grows faster than the input."""
 
+from urllib.parse import unquote, urlparse
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidyledger.llm import jaccard_join, katz, line_dedup
 from tidyledger.llm.filters import membership
+from tidyledger.session import stored
 
 
 def test_segments_are_small(spark):
@@ -72,3 +76,47 @@ def test_links_of_a_part_are_merged_early(spark, monkeypatch):
     assert links["large"].sum() + (links["types"] * np.arange(1, 6)).sum() == 20_001
     # A context comes with nearly every step; it is not held once for each.
     assert max(held) < 1500
+
+
+def test_records_go_in_bounded_rows():
+    links = np.zeros(50_000, katz._LINK)
+    links["context"] = np.arange(50_000)
+    rows = katz._bucketed("link", links, np.zeros(50_000, np.uint64), 3)
+    assert max(len(x) for _, _, x in rows) <= katz.ROW_BYTES
+    back = np.concatenate([katz._unpacked(pa.py_buffer(x), katz._LINK) for _, _, x in rows])
+    assert (back == links).all()
+
+
+def test_unseen_pairs_wait_for_links_in_any_order():
+    rng = np.random.default_rng(11)
+    links, opened = np.zeros(400, katz._LINK), np.zeros(900, katz._OPEN)
+    links["context"], links["lower"] = rng.integers(0, 90, 400), rng.random(400) / 1000
+    links["types"] = rng.integers(0, 3, (400, katz.DISCOUNTED)) + 1
+    opened["key"], opened["context"] = rng.integers(-20, 20, 900), rng.integers(0, 120, 900)
+    discount = np.array([1, 0.4, 0.6, 0.7, 0.8, 0.9])
+    merged = katz._merged(links)
+    weight = dict(zip(merged["context"].tolist(), katz.backoff(merged, discount).tolist(), strict=True))
+    want = {}
+    for key, context in opened.tolist():
+        want[key] = want.get(key, 0.0) + weight.get(context, 0.0)
+    rows = [("open", opened[k : k + 90]) for k in range(0, 900, 90)] + [("link", links[k : k + 40]) for k in range(0, 400, 40)]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([0]), pa.array([katz._packed(x)])], names=["kind", "bucket", "records"])
+        for kind, x in (rows[k] for k in rng.permutation(len(rows)))
+    ]
+    for step in (1, 100, 10**6):
+        run = katz._back_off(discount, np.zeros(0, katz._LINK), 4, step)
+        sent = [x for batch in run(iter(batches)) for x in batch.to_pylist()]
+        found = np.concatenate([katz._unpacked(pa.py_buffer(x["records"]), katz._ADD) for x in sent])
+        assert len(found) == len(want) and {x["bucket"] for x in sent} <= set(range(4))
+        for key, total in found.tolist():
+            assert abs(total - want[key]) < 1e-9
+
+
+def test_row_groups_are_bounded(spark):
+    rows = spark.range(0, 600, 1, 1).selectExpr("id", "repeat(sha2(string(id), 512), 500) AS records")
+    table = stored(rows, "row-groups", row_group=1 << 20)
+    footers = [pq.ParquetFile(unquote(urlparse(x).path)) for x in table.inputFiles()]
+    # 64 kB a row: the writer looks at its buffer now and then, after 100 rows at the earliest.
+    assert max(x.metadata.row_group(k).num_rows for x in footers for k in range(x.num_row_groups)) < 300
+    assert table.count() == 600 and table.selectExpr("sum(length(records)) AS n").first()["n"] == 600 * 64000

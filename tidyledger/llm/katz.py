@@ -44,6 +44,8 @@ PART_BYTES = 20 << 20  # of text, for one part
 STEP_TOKENS = 150_000  # tokens of a part that are counted at a time
 SEND_TOKENS = 500_000  # tokens that a task gathers before it sends them
 HOT_WORDS = 1 << 20
+ROW_BYTES = 1 << 17  # of records in one row: Parquet pages hold 100 rows or more, and a page is (un)packed whole
+ROW_GROUP_BYTES = 8 << 20  # of the table of these rows
 END = np.uint64(0xE0D0E0D0E0D0E0D0)  # fixed values: the marks' places among the hashes
 START = np.uint64(0x57A57A57A57A57A5)
 _CONTEXT = np.uint64(16)
@@ -446,10 +448,11 @@ def _bucketed(kind: str, records: np.ndarray, spread: np.ndarray, buckets: int)
     bucket = (spread % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     records, bucket = records[order], bucket[order]
-    found = []
+    found, most = [], ROW_BYTES // records.dtype.itemsize
     for k in np.unique(bucket):
-        a, b = np.searchsorted(bucket, [k, k + 1])
-        found.append((kind, int(k), _packed(records[a:b])))
+        first, last = np.searchsorted(bucket, [k, k + 1])
+        for a in range(int(first), int(last), most):
+            found.append((kind, int(k), _packed(records[a : min(a + most, last)])))
     return found
 
 
@@ -477,25 +480,52 @@ def _hot_links(group: pa.Table) -> pa.Table:
     return pa.table([pa.array([_packed(_merged(_gather(group, "hot", _LINK)))], pa.binary())], names=["records"])
 
 
-def _back_off(discount: np.ndarray, hot: np.ndarray, buckets: int):
+def _back_off(discount: np.ndarray, hot: np.ndarray, buckets: int, step_tokens: int):
     """Adds the backoff weight for the unseen pairs of each row; those of hot contexts come by row."""
 
-    def run(group: pa.Table) -> pa.Table:
-        opened = _gather(group, "open", _OPEN)
-        links = _merged(np.concatenate((_gather(group, "link", _LINK), hot)))
-        add = np.zeros(len(opened), _ADD)
-        add["key"] = opened["key"]
-        if len(links) and len(opened):
-            weight = backoff(links, discount)
-            at = np.minimum(np.searchsorted(links["context"], opened["context"]), len(links) - 1)
-            add["sum"] = np.where(links["context"][at] == opened["context"], weight[at], 0.0)
-        add = _added(add)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Links are merged as they come; unseen pairs wait packed until all links are there.
+        links, waiting, room = [hot], [], step_tokens
+        for batch in batches:
+            for raw, kind in zip(batch.column("records"), batch.column("kind").to_pylist(), strict=True):
+                if kind == "open":
+                    waiting.append(raw.as_buffer().to_pybytes())
+                    continue
+                links.append(_unpacked(raw.as_buffer(), _LINK))
+                if sum(map(len, links)) > room:
+                    links = [_merged(np.concatenate(links))]
+                    room = len(links[0]) + max(step_tokens, len(links[0]) // 2)
+        merged = _merged(np.concatenate(links))
+        links.clear()
+        contexts, weight = merged["context"].copy(), backoff(merged, discount)
+        del merged
+        adds, step, size, room = [], [], 0, step_tokens
+        waiting.reverse()
+        while waiting:
+            step.append(_unpacked(pa.py_buffer(waiting.pop()), _OPEN))
+            size += len(step[-1])
+            if waiting and size < step_tokens:
+                continue
+            opened = np.concatenate(step)
+            step, size = [], 0
+            add = np.zeros(len(opened), _ADD)
+            add["key"] = opened["key"]
+            if len(contexts) and len(opened):
+                at = np.minimum(np.searchsorted(contexts, opened["context"]), len(contexts) - 1)
+                add["sum"] = np.where(contexts[at] == opened["context"], weight[at], 0.0)
+            adds.append(_added(add))
+            if sum(map(len, adds)) > room:
+                adds = [_added(np.concatenate(adds))]
+                room = len(adds[0]) + max(step_tokens, len(adds[0]) // 2)
+        add = _added(np.concatenate(adds)) if adds else np.zeros(0, _ADD)
+        adds.clear()
         rows = _bucketed("add", add, add["key"].view(np.uint64), buckets)
-        columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
         kinds = [pa.string(), pa.int32(), pa.binary()]
-        return pa.table(
-            [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["kind", "bucket", "records"]
-        )
+        for at in range(0, len(rows), 16):
+            columns = zip(*rows[at : at + 16], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["kind", "bucket", "records"]
+            )
 
     return run
 
@@ -577,6 +607,7 @@ def katz_scores(
             thrifty(_count_pairs(words, parts_of, parts_of, step_tokens)), schema
         ),
         "katz-pairs",
+        ROW_GROUP_BYTES,
     )
     twos = pairs.where("kind = 'some'").agg(*[F.sum(F.col("some")[r]).alias(f"n{r}") for r in range(DISCOUNTED + 1)])
     discount = discounts([x or 0 for x in twos.first()])
@@ -586,7 +617,7 @@ def katz_scores(
     frequent = [_unpacked(pa.py_buffer(x["records"]), _LINK) for x in frequent.collect()]
     frequent = np.concatenate([np.zeros(0, _LINK), *frequent])
     back = pairs.where("kind IN ('link', 'open')").select(plain).groupBy("bucket").applyInArrow(
-        thrifty(_back_off(discount, frequent, parts_of)), schema
+        thrifty(_back_off(discount, frequent, parts_of, step_tokens)), schema
     )
     total = pairs.where("kind = 'doc'").select(plain).unionByName(back).groupBy("bucket").applyInArrow(
         thrifty(_sum_rows(discount)), "key long, sum double, base double, known long"
