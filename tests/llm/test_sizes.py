@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
-from tidyledger.llm import jaccard_join, katz, line_dedup
+from tidyledger.llm import jaccard_join, katz, line_dedup, packing
 from tidyledger.llm.filters import membership
 from tidyledger.session import stored
 
@@ -120,3 +120,13 @@ def test_row_groups_are_bounded(spark):
     # 64 kB a row: the writer looks at its buffer now and then, after 100 rows at the earliest.
     assert max(x.metadata.row_group(k).num_rows for x in footers for k in range(x.num_row_groups)) < 300
     assert table.count() == 600 and table.selectExpr("sum(length(records)) AS n").first()["n"] == 600 * 64000
+
+
+def test_chunks_of_texts_count_bytes():
+    texts = ["\u4e16" * 40, None, "", "a" * 90, "b" * 500, "\u4e16" * 20, None, "c"]
+    part = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["id", "text"])
+    chunks = list(packing._chunks(part.slice(1), 150)) + list(packing._chunks(part, 150))
+    assert all(sum(len(x.encode()) for x in found) <= 150 or len(found) == 1 for _, found in chunks)
+    assert [x for docs, _ in chunks for x in docs] == [*range(1, 8), *range(8)]
+    assert [x for _, found in chunks for x in found] == [x or "" for x in texts[1:] + texts]
+    assert len(list(packing._chunks(part.slice(0, 0)))) == 0

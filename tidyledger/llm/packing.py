@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidyledger.llm.common import thrifty
+from tidyledger.llm.common import blocks, text_bytes, thrifty
 from tidyledger.session import stored
 
 CAPACITY = 2048
 END_ID = 1
 SALT_PIECES = 50_000  # pieces of one length that one task ranks, on average
-CHUNK_BYTES = 1 << 22  # texts whose words are looked up together
+CHUNK_BYTES = 1 << 21  # texts whose words are looked up together
 KNOWN_WORDS, KNOWN_BYTES = 1 << 19, 1 << 25  # beyond these a worker starts to remember words anew
 
 
@@ -133,15 +133,12 @@ def tokenizer(ranks: str, pattern: str, special: tuple[tuple[str, int], ...] = (
     return Tokenizer(ranks, pattern, special)
 
 
-def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    first, size = 0, 0
-    for k, text in enumerate(texts):
-        if k > first and size + len(text) > CHUNK_BYTES:
-            yield first, k
-            first, size = k, 0
-        size += len(text)
-    if first < len(texts):
-        yield first, len(texts)
+def _chunks(part: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
+    """Ids and texts of at most ``limit`` bytes, or of one longer text; only they become Python strings."""
+    _, offsets = text_bytes(part.column(1))
+    for a, b in blocks(offsets, limit):
+        docs, texts = (x.slice(a, b - a) for x in part.columns)
+        yield docs.to_pylist(), texts.fill_null("").to_pylist()
 
 
 def pieces(
@@ -159,10 +156,9 @@ def pieces(
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(ranks, pattern, special)
         for part in parts:
-            docs, texts = part.column(0).to_pylist(), part.column(1).fill_null("").to_pylist()
-            for a, b in _chunks(texts):
+            for docs, texts in _chunks(part):
                 rows = []
-                for doc, ids in zip(docs[a:b], words.many(texts[a:b]), strict=True):
+                for doc, ids in zip(docs, words.many(texts), strict=True):
                     raw = np.append(ids, np.uint32(END_ID)).astype("<u4").tobytes()
                     for at in range(0, len(raw), 4 * capacity):
                         window = raw[at : at + 4 * capacity]
