@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidyledger.llm import exact_dedup, jaccard_join, line_dedup
+from tidyledger.llm import edits, exact_dedup, jaccard_join, line_dedup
 from tidyledger.llm.common import components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -277,3 +277,56 @@ def test_fuzzy_repeats_by_edit_similarity_alone(spark):
 def test_ten_equal_places_always_meet():
     for points in combinations(range(line_dedup.PLACES), 6):
         assert any(set(points).isdisjoint(x) for x in line_dedup.PLANE)
+
+
+def near_texts(rng, count, size, letters):
+    """Texts of about one length, half of them with a few edits of another one."""
+    texts = []
+    for _ in range(count):
+        text = list(rng.choice(list(letters), int(size * rng.uniform(0.9, 1.1)) + 1))
+        texts.append("".join(text))
+        for _ in range(int(rng.integers(0, max(2, size // 5)))):
+            k, way = int(rng.integers(0, len(text) + 1)), int(rng.integers(0, 3))
+            text[k : k + (way > 0)] = [str(rng.choice(list(letters)))] * (way < 2)
+        texts.append("".join(text) or "a")
+    return texts
+
+
+@pytest.mark.parametrize("size", [1, 20, 64, 150, 700])
+def test_many_pairs_are_compared_at_once(size):
+    rng = np.random.default_rng(size)
+    texts = near_texts(rng, 40, size, "abc é漢\U0001f600x")
+    a = rng.integers(0, len(texts), 200)
+    b = np.where(rng.random(200) < 0.6, a ^ 1, rng.integers(0, len(texts), 200))
+    sizes = np.array([len(x) for x in texts])
+    limits = 0.15 * np.maximum(sizes[a], sizes[b]) + 1e-9
+    right = [line_dedup.edit_distance(texts[i], texts[j]) <= x for i, j, x in zip(a, b, limits, strict=True)]
+    assert edits.within(texts, a, b, limits).tolist() == right
+    assert 0 < sum(right) < 200
+
+
+@pytest.mark.parametrize("left", [None, 3])
+def test_links_of_groups_that_are_compared_together(left, monkeypatch):
+    rng = np.random.default_rng(9)
+    same = np.zeros(line_dedup.PLACES, np.uint16).tobytes()
+    groups = [near_texts(rng, int(n), 60, "abcdefgh ") for n in (1, 2, 9, 30, 60)]
+    alone = []
+    monkeypatch.setattr(line_dedup, "alike", lambda *x: alone.append(x) or line_dedup.edit_distance(*x) <= x[2])
+    found = line_dedup.line_links(0.85)([([(x, same) for x in texts], left and min(left, len(texts))) for texts in groups])
+    pairs = 0
+    for texts, links in zip(groups, found, strict=True):
+        roots, right = list(range(len(texts))), list(range(len(texts)))
+        for a in range(len(texts) if left is None else min(left, len(texts))):
+            for b in range(len(texts)):
+                limit = 0.15 * max(len(texts[a]), len(texts[b])) + 1e-9
+                pairs += a < b
+                if line_dedup.edit_distance(texts[a], texts[b]) <= limit:
+                    right = [right[a] if x == right[b] else x for x in right]
+        for a, b in links:
+            assert left is None or a < left
+            assert line_dedup.edit_distance(texts[a], texts[b]) <= 0.15 * max(len(texts[a]), len(texts[b])) + 1e-9
+            roots = [roots[a] if x == roots[b] else x for x in roots]
+        assert {tuple(np.flatnonzero(np.array(roots) == x)) for x in roots} == {
+            tuple(np.flatnonzero(np.array(right) == x)) for x in right
+        }
+    assert len(alone) < 0.1 * pairs  # most pairs are not compared one by one

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidyledger.llm.common import blocks, components, local_forest, mix, shingle_hashes, text_bytes, thrifty, word_hashes
-from tidyledger.llm.groups import GROUP, Forest, group_links
+from tidyledger.llm.groups import GROUP, Forest, group_links, one_by_one
 from tidyledger.session import stored
 
 PERCENT = 75  # least similarity, in hundredths
@@ -333,7 +333,7 @@ def jaccard_components(
     )
     groups = stored(components(local_forest(near).distinct(), "jaccard-candidates"), "jaccard-groups")
     members = sets.select(F.col("class").alias("node"), "n", "tokens")
-    links = group_links(members, groups, set_links(percent), "jaccard", group)
+    links = group_links(members, groups, one_by_one(set_links(percent)), "jaccard", group)
     roots = components(links, "jaccard-links")
     own = facts.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     own = own.join(roots.withColumnRenamed("node", "class"), "class", "left")
