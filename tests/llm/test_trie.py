@@ -138,3 +138,12 @@ def test_blocks_of_a_long_conversation(spark):
     assert found[0] == found[1]  # shared depths of neighbouring blocks agree as well
     assert found[0][1, 600] == found[0][2, 600]
     assert found[0][1, 600][2] == sum(len(t) for _, t in turns[:600])
+
+
+def test_no_plan_holds_the_whole_search(spark, monkeypatch):
+    written, stored = [], pt.stored
+    monkeypatch.setattr(pt, "stored", lambda df, *x: written.append(df) or stored(df, *x))
+    sequences = {k: [("user", str(k % 7 + d // 9)) for d in range(150 + k)] for k in range(40)}
+    assert trie_of(spark, sequences, batches=(8, 16)) == slow(sequences)
+    joins = [df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in written]
+    assert len(joins) > 10 and max(joins) <= 9  # a search of eight steps was one plan

@@ -39,6 +39,7 @@ from tidyledger.session import stored
 
 BLOCK = 1024
 BATCHES = (1, 4, 16)  # a sequence belongs to the first batch above its hash modulo 16
+STEPS = 3  # of a search in one plan
 
 _RADIX = (0x9E3779B97F4A7C55, 0xC2B2AE3D27D4EB4F)  # odd
 _PATH = "conv long, block long, p array<long>, q array<long>, s array<long>"
@@ -192,6 +193,10 @@ class Trie:
         )
         return found.select(rows.columns)
 
+    def _paused(self, state: DataFrame, step: int) -> DataFrame:
+        """Writes the search after some steps: the driver holds a plan's description once for each of its stages."""
+        return stored(state, "trie-search") if step % STEPS == STEPS - 1 else state
+
     def from_root(self, batch: DataFrame) -> DataFrame:
         return batch.select(
             "conv", "length", "p", "q", self.root.alias("exit"), F.lit(0).cast("long").alias("common")
@@ -207,23 +212,24 @@ class Trie:
         fattest = two_fattest(low, high)
         if self.longest >= block:
             state = state.join(self._coarse(), "conv", "left")
-            for _ in range((self.longest // block).bit_length()):
+            for step in range((self.longest // block).bit_length()):
                 active = F.floor(low / block) < F.floor(high / block)
                 place, whole = F.floor(fattest / block).cast("int"), fattest == F.col("length")
                 p = F.when(whole, F.col("p")).otherwise(F.try_element_at("cp", place))
                 q = F.when(whole, F.col("q")).otherwise(F.try_element_at("cq", place))
-                state = self._probe(state, active, fattest, p, q)
+                state = self._paused(self._probe(state, active, fattest, p, q), step)
             state = state.drop("cp", "cq")
         path = self.paths.select(F.col("conv").alias("c"), F.col("block").alias("k"), F.col("p").alias("bp"), F.col("q").alias("bq"))
         number = F.floor(high / block).cast("long")
         state = state.join(path, (F.col("conv") == F.col("c")) & (number == F.col("k")), "left").drop("c", "k")
         state = state.withColumn("k", number)
-        for _ in range(min(self.longest, block - 1).bit_length()):
+        for step in range(min(self.longest, block - 1).bit_length()):
             place = (fattest - F.col("k") * block + 1).cast("int")
-            state = self._probe(
+            found = self._probe(
                 state, low < high, fattest, F.try_element_at("bp", place), F.try_element_at("bq", place)
             )
-        state = state.select("conv", "length", "p", "q", "node")
+            state = self._paused(found, step)
+        state = stored(state.select("conv", "length", "p", "q", "node"), "trie-search")
         # The deepest node whose handle is on the path; the exit may be its child along the next turn.
         below = F.when(F.col("node.depth") < F.col("length"), F.col("node.depth") + 1)
         state = self.at(state, "conv", below, "n").withColumns(
@@ -441,7 +447,7 @@ def prefix_trie(
     upward = trie.steps(shared, F.lit(0), F.col("above"), ["saved"]).select("saved", *_KEY)
     upward = upward.unionByName(shared.select("saved", *zero)).groupBy(_KEY).agg(F.sum("saved").alias("saved_below"))
     nodes = nodes.join(upward, _KEY, "left").na.fill(0, ["saved_below"])
-    nodes = nodes.join(ends_digest(members), _KEY, "left")
+    nodes = stored(nodes.join(ends_digest(members), _KEY, "left"), "trie-summed")
 
     # Parents' smallest members, then every edge as the nodes on it.
     parents = nodes.select(*_KEY, F.col("conv_id").alias("parent")).toDF("above", "ap", "aq", "parent")
