@@ -241,8 +241,16 @@ def trailing_total(
     at = rows.withColumns({**named, "_at": micros(time), "_value": value})
     at = at.withColumn("_own", _block(F.col("_at"), seconds))
     dealt = at.where("_at IS NOT NULL").withColumn("_block", F.explode(F.array(F.col("_own"), F.col("_own") + 1)))
-    frame = Window.partitionBy(*named, "_block").orderBy("_at").rangeBetween(1 - width, 0)
-    found = dealt.withColumn(name, F.coalesce(F.sum("_value").over(frame), F.lit(0))).where("_block = _own")
-    kind = found.schema[name].dataType
+    # A frame that moves at both ends is summed anew for each row, which is quadratic in a block.  These
+    # two only grow: the rows of the own block up to the row, and those of the block before from its end back.
+    inside = Window.partitionBy(*named, "_block")
+    own = inside.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    before = inside.orderBy(F.desc("_at")).rangeBetween(Window.unboundedPreceding, width - 1)
+    mine = F.col("_own") == F.col("_block")
+    found = dealt.withColumn("_sum", F.sum(F.when(mine, F.col("_value"))).over(own))
+    found = found.withColumn("_sum_before", F.sum(F.when(~mine, F.col("_value"))).over(before)).where(mine)
+    kind = found.select(F.coalesce("_sum", F.lit(0))).schema[0].dataType
+    both = F.coalesce("_sum", F.lit(0)) + F.coalesce("_sum_before", F.lit(0))
+    found = found.withColumn(name, both.cast(kind))
     unknown = rows.where(micros(time).isNull()).withColumn(name, F.lit(None).cast(kind))
     return found.select(*rows.columns, name).unionByName(unknown)
