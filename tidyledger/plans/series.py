@@ -15,7 +15,7 @@ from tidyledger.plans import quality, report
 from tidyledger.plans.oracle import BASE, COLUMNS, ISSUES, REJECTED, shown
 from tidyledger.plans.queries import MONEY, _clean, _run
 from tidyledger.schema import ORDER_MONTH, ORDER_SCHEMA, SOURCE_ROW, ColumnSpec, QualityPolicy
-from tidyledger.session import shared_folder, stored
+from tidyledger.session import deliver, shared_folder, stored
 from tidyledger.sources import clustered, grid, tables
 from tidyledger.streaming import figures
 
@@ -266,9 +266,10 @@ def maintained_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrivals, out = f"{root}/arrivals", f"{root}/out"
     valid = validate.valid_rows(_run(spark, sf_dir).checked)
     names = [SOURCE_ROW, "order_id", "customer", "category", "region", "status", "quantity", "revenue", ORDER_MONTH]
-    rows = stored(clean.apply_value_rules(valid, ORDER_SCHEMA).select(*names), "figure-rows")
+    rows = clean.apply_value_rules(valid, ORDER_SCHEMA).select(*names)
+    parts = tables.staged_parts(rows, f"{root}/staged", 3)
     for part in (2, 1, 0):
-        rows.where(F.pmod(SOURCE_ROW, F.lit(3)) == part).write.mode("append").parquet(arrivals)
+        deliver(spark, parts[part], arrivals)
         figures.maintain(spark.readStream.schema(rows.schema).parquet(arrivals), out, KEPT)
         if part == 1:
             figures.compact(spark, out, KEPT)

@@ -9,7 +9,7 @@ all taken back is no longer counted.
 
 Folders below the run's folder, one directory for each batch, overwritten if a batch is repeated:
 
-* ``batches``: the best row of each key of the batch,
+* ``batches``: the best row of each key of the batch, emptied when the batch is done,
 * ``winners``: keys whose row changed, with the row before; a row only gives way to a smaller
   one, so the smallest entry of a key is its present row,
 * ``deltas``: differences of the cells.
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidyledger.session import CLEANUP, setting
 from tidyledger.streaming.incremental import EPOCH, _numbers, _write, output
 
 BUCKET = "bucket"
@@ -75,7 +76,8 @@ def _read_all(spark: SparkSession, paths: Sequence[str], schema: str | None = No
 
 
 def _bucketed(df: DataFrame, path: str) -> None:
-    df.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
+    with setting(df.sparkSession, CLEANUP, "true"):
+        df.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
 
 def present_rows(spark: SparkSession, folder: str, before: int, buckets: Sequence[int]) -> DataFrame | None:
@@ -109,6 +111,8 @@ def apply_batch(rows: DataFrame, epoch: int, folder: str, plan: FigurePlan) -> N
     _bucketed(moved.select("key", "won", "was", BUCKET), winners)
     written = _read_all(spark, [winners], _winner_schema(spark, folder, epoch))
     _write(_differences(written, plan), output(folder, "deltas"), epoch, EPOCH)
+    # The winners hold what counts; later batches only read the columns' types here.
+    _write(spark.createDataFrame([], best.schema), output(folder, "batches"), epoch, EPOCH)
 
 
 def _best(spark: SparkSession, folder: str, epoch: int) -> DataFrame:
